@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import barlens
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the settings results depend on (not the cluster sizing)."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Ship the few task-side helpers inside the job: executors need no install.
+    cloudpickle.register_pickle_by_value(barlens)
     return spark
 
 
