@@ -15,7 +15,13 @@ from barlens.operators.smoothing import BLOCK, wilder
 KEYS = ["market", "symbol"]
 SHIFT = 26
 MIN_BARS = 80
-SERIES = Window.partitionBy(*KEYS).orderBy("blk", "session_date")
+
+
+def series() -> Window:
+    """The date order of a series (blocks are consecutive dates)."""
+    return Window.partitionBy(*KEYS).orderBy("blk", "session_date")
+
+
 
 FEATURES = [
     "rsi14", "close_sma5_pct", "close_sma20_pct", "close_sma60_pct", "sma5_sma20_pct",
@@ -32,7 +38,7 @@ def pct(left: Column, right: Column) -> Column:
 
 def back(n: int) -> Window:
     """The last ``n`` rows including the current one."""
-    return SERIES.rowsBetween(-(n - 1), 0)
+    return series().rowsBetween(-(n - 1), 0)
 
 
 def number_rows(bars: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -51,7 +57,7 @@ def cloud(numbered: DataFrame) -> DataFrame:
     """Conversion and base line, leading spans and the displaced cloud."""
     df = numbered.withColumns({"tenkan": _midpoint(9), "kijun": _midpoint(26), "span_b": _midpoint(52)})
     df = df.withColumn("span_a", (F.col("tenkan") + F.col("kijun")) / 2.0)
-    df = df.withColumns({c: F.lag(s, SHIFT).over(SERIES) for c, s in (("cloud_a", "span_a"), ("cloud_b", "span_b"))})
+    df = df.withColumns({c: F.lag(s, SHIFT).over(series()) for c, s in (("cloud_a", "span_a"), ("cloud_b", "span_b"))})
     # greatest/least skip nulls: a half-built cloud counts, as in a row-wise max.
     return df.withColumns({
         "cloud_top": F.greatest("cloud_a", "cloud_b"),
@@ -61,7 +67,7 @@ def cloud(numbered: DataFrame) -> DataFrame:
 
 def liquidity(df: DataFrame) -> DataFrame:
     """Average volume and value of the 20 rows before this one, and the volume ratio."""
-    prior = SERIES.rowsBetween(-20, -1)
+    prior = series().rowsBetween(-20, -1)
 
     def mean(c: str) -> Column:
         return F.when(F.count(c).over(prior) >= 10, F.avg(c).over(prior))
@@ -71,7 +77,7 @@ def liquidity(df: DataFrame) -> DataFrame:
 
 
 def previous(df: DataFrame) -> DataFrame:
-    return df.withColumns({f"prev_{c}": F.lag(c, 1).over(SERIES) for c in ("high", "low", "close")})
+    return df.withColumns({f"prev_{c}": F.lag(c, 1).over(series()) for c in ("high", "low", "close")})
 
 
 def movement(df: DataFrame) -> DataFrame:
@@ -132,13 +138,13 @@ def averages(df: DataFrame) -> DataFrame:
 
 def momentum(df: DataFrame) -> DataFrame:
     return df.withColumns({
-        f"return{n}_pct": (F.col("close") / F.lag("close", n).over(SERIES) - 1.0) * 100.0 for n in (5, 20)
+        f"return{n}_pct": (F.col("close") / F.lag("close", n).over(series()) - 1.0) * 100.0 for n in (5, 20)
     })
 
 
 def slope_class(df: DataFrame) -> DataFrame:
     """Base-line slope over five rows, flat within 0.15 %."""
-    change = (F.col("kijun") / F.lag("kijun", 5).over(SERIES) - 1.0) * 100.0
+    change = (F.col("kijun") / F.lag("kijun", 5).over(series()) - 1.0) * 100.0
     return df.withColumn("_slope", change).withColumn(
         "kijun_slope",
         F.when(F.col("_slope") > 0.15, "rising").when(F.col("_slope") < -0.15, "falling").otherwise("flat"),
@@ -148,7 +154,7 @@ def slope_class(df: DataFrame) -> DataFrame:
 def lagging_state(df: DataFrame) -> DataFrame:
     """Current close against the bar and the cloud 26 rows ago; no cloud then counts as passed."""
     df = df.withColumns({
-        f"_then_{c}": F.lag(c, SHIFT).over(SERIES) for c in ("high", "close", "cloud_top", "cloud_bottom")
+        f"_then_{c}": F.lag(c, SHIFT).over(series()) for c in ("high", "close", "cloud_top", "cloud_bottom")
     })
     close, top, bottom = F.col("close"), F.col("_then_cloud_top"), F.col("_then_cloud_bottom")
     state = (
@@ -208,11 +214,11 @@ def research_invalidation(df: DataFrame) -> DataFrame:
 
 def pattern_labels(df: DataFrame, horizon: int = 10) -> DataFrame:
     """Forward labels of a history row: return from the next open, level touched or not."""
-    ahead = SERIES.rowsBetween(1, horizon)
+    ahead = series().rowsBetween(1, horizon)
     df = df.withColumns({
         "future_low_10": F.when(F.count("low").over(ahead) == horizon, F.min("low").over(ahead)),
-        "_entry": F.lead("open", 1).over(SERIES),
-        "_exit": F.lead("close", horizon).over(SERIES),
+        "_entry": F.lead("open", 1).over(series()),
+        "_exit": F.lead("close", horizon).over(series()),
     })
     return df.withColumns({
         "pattern_hit": F.col("future_low_10") <= F.col("research_invalidation_price"),

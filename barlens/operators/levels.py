@@ -111,8 +111,7 @@ def _profile(price: np.ndarray, weight: np.ndarray, close: np.ndarray):
     return picked, weights
 
 
-@F.pandas_udf(RESULT)
-def levels_udf(span_b: pd.Series, prices: pd.Series, weights: pd.Series, close: pd.Series) -> pd.DataFrame:
+def _batch_levels(span_b: pd.Series, prices: pd.Series, weights: pd.Series, close: pd.Series) -> pd.DataFrame:
     price_now = close.to_numpy(dtype=float)
     profile, binned = _profile(_padded(prices), _padded(weights), price_now)
     return pd.DataFrame({
@@ -124,6 +123,7 @@ def levels_udf(span_b: pd.Series, prices: pd.Series, weights: pd.Series, close:
 
 def add_levels(df: DataFrame) -> DataFrame:
     """Add flat_levels, profile_levels (price order) and the 18 profile weights."""
+    levels_udf = F.pandas_udf(_batch_levels, RESULT)
     df = df.withColumn("_levels", levels_udf("_span_b", "_prices", "_weights", "close"))
     return df.select(
         *[c for c in df.columns if c not in ("_span_b", "_prices", "_weights", "_levels")], "_levels.*"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barlens.operators.indicators import KEYS, MIN_BARS, SERIES
+from barlens.operators.indicators import KEYS, MIN_BARS, series
 
 HORIZONS = (1, 5, 10, 20)
 PRICES = ("open", "high", "low", "close")
@@ -48,13 +48,13 @@ def decision_grid(numbered: DataFrame, step: int = 1, horizons: tuple[int, ...]
 
 def forward_paths(numbered: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
     """Add ``paths``: one struct per horizon, from the rows after each row."""
-    df = numbered.withColumn("_entry", F.lead("open", 1).over(SERIES))
+    df = numbered.withColumn("_entry", F.lead("open", 1).over(series()))
     longest = max(horizons)
-    df = df.withColumn("_closes", F.collect_list("close").over(SERIES.rowsBetween(1, longest)))
+    df = df.withColumn("_closes", F.collect_list("close").over(series().rowsBetween(1, longest)))
     cols = {}
     for h in horizons:
-        ahead = SERIES.rowsBetween(1, h)
-        cols[f"_exit_{h}"] = F.lead("close", h).over(SERIES)
+        ahead = series().rowsBetween(1, h)
+        cols[f"_exit_{h}"] = F.lead("close", h).over(series())
         cols[f"_low_{h}"] = F.min("low").over(ahead)
         cols[f"_high_{h}"] = F.max("high").over(ahead)
     df = df.withColumns(cols)

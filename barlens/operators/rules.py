@@ -8,16 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from barlens.operators import levels
-from barlens.operators.indicators import SERIES, back, indicator_frame, state_columns
+from barlens.operators.indicators import back, indicator_frame, series, state_columns
+
 
-TRUE, FALSE = F.lit(True), F.lit(False)
 
 
 def crosses(df: DataFrame) -> DataFrame:
     """Latest conversion/base cross within five steps and the cross count of 15 rows."""
     diff = F.col("tenkan") - F.col("kijun")
     df = df.withColumn("_d", diff)
-    df = df.withColumn("_p", F.lag("_d", 1).over(SERIES))
+    df = df.withColumn("_p", F.lag("_d", 1).over(series()))
     df = df.withColumns({
         "_cross": F.when((F.col("_p") <= 0) & (F.col("_d") > 0), 1).when((F.col("_p") >= 0) & (F.col("_d") < 0), -1),
         "_sign": F.signum("_d").cast("int"),
@@ -53,7 +53,7 @@ def tk_state(df: DataFrame) -> DataFrame:
 
 def breakout(df: DataFrame) -> DataFrame:
     """Cloud break against the previous row (needs ``prev_close``)."""
-    df = df.withColumns({f"_prev_{c}": F.lag(c, 1).over(SERIES) for c in ("cloud_top", "cloud_bottom")})
+    df = df.withColumns({f"_prev_{c}": F.lag(c, 1).over(series()) for c in ("cloud_top", "cloud_bottom")})
     close, prev = F.col("close"), F.col("prev_close")
     top, bottom, ptop, pbottom = (F.col(c) for c in ("cloud_top", "cloud_bottom", "_prev_cloud_top", "_prev_cloud_bottom"))
     state = (

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barlens.operators.indicators import FEATURES, KEYS, SERIES, STATES
+from barlens.operators.indicators import FEATURES, KEYS, series, STATES
 
 HORIZON = 10
 NEIGHBORS = 30
@@ -42,7 +42,7 @@ def with_candidates(frame: DataFrame) -> DataFrame:
     same = Window.partitionBy(*GROUP).orderBy("i").rangeBetween(Window.unboundedPreceding, -HORIZON)
     return frame.withColumns({
         "history_count": F.count(F.when(F.col("_usable"), 1)).over(
-            SERIES.rowsBetween(Window.unboundedPreceding, -HORIZON)),
+            series().rowsBetween(Window.unboundedPreceding, -HORIZON)),
         "candidate_count": F.count(F.when(F.col("_usable"), 1)).over(same),
     })
 

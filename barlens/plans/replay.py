@@ -97,12 +97,12 @@ def signals(bars: DataFrame, proxies: DataFrame, config: Replay = Replay(),
 
 def _foreign_paths(rated: DataFrame, bars: DataFrame, outcome_bars: DataFrame, config: Replay) -> DataFrame:
     """Paths from adjusted prices, lows for the level test from signal prices."""
-    from barlens.operators.indicators import SERIES, number_rows
+    from barlens.operators.indicators import series, number_rows
 
     keys = ["market", "symbol", "session_date"]
     paths = oc.forward_paths(number_rows(outcome_bars), config.horizons).select(*keys, "paths")
     lows = number_rows(bars).select(*keys, F.array(*[
-        F.min("low").over(SERIES.rowsBetween(1, h)) for h in config.horizons]).alias("signal_lows"))
+        F.min("low").over(series().rowsBetween(1, h)) for h in config.horizons]).alias("signal_lows"))
     return rated.join(paths, keys).join(lows, keys)
 
 
