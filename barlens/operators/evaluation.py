@@ -167,25 +167,23 @@ def signal_correlations(signals: DataFrame, booleans: tuple[str, ...] = SIGNALS)
     """All pairs of decision flags and of features, one wide aggregate, one pass."""
     plan = [("decision_signal", a, b, a, b, 3) for a, b in combinations(booleans, 2)]
     plan += [("similarity_feature", a, b, f"f_{a}", f"f_{b}", 20) for a, b in combinations(FEATURES, 2)]
+    names = dict.fromkeys(c for p in plan for c in p[3:5])
+    x = signals.select(*[F.col(c).cast("double").alias(c) for c in names])
     aggs = []
     for k, (_, _, _, a, b, _) in enumerate(plan):
-        x, y = F.col(a).cast("double"), F.col(b).cast("double")
-        both = x.isNotNull() & y.isNotNull()
-        x, y = F.when(both, x), F.when(both, y)
-        aggs.append(F.struct(
-            F.count(x).alias("n"), F.corr(x, y).alias("r"), F.min(x).alias("x0"), F.max(x).alias("x1"),
-            F.min(y).alias("y0"), F.max(y).alias("y1")).alias(f"p{k}"))
-    wide = signals.agg(*aggs)
+        # corr skips a row with a null side; so does this count.
+        aggs += [F.corr(a, b).alias(f"r{k}"), F.count(F.col(a) + F.col(b)).alias(f"n{k}")]
+    wide = x.agg(*aggs)
     rows = F.array(*[
         F.struct(F.lit(cat).alias("category"), F.lit(a).alias("signal_a"), F.lit(b).alias("signal_b"),
-                 F.lit(least).alias("least"), F.col(f"p{k}").alias("p"))
+                 F.lit(least).alias("least"), F.col(f"n{k}").alias("sample_count"), F.col(f"r{k}").alias("r"))
         for k, (cat, a, b, _, _, least) in enumerate(plan)])
-    p = F.col("p")
-    usable = (p["n"] >= F.col("least")) & (p["x0"] < p["x1"]) & (p["y0"] < p["y1"])
+    # A constant side has no spread: corr is NaN there and the pair stays empty.
+    known = (F.col("sample_count") >= F.col("least")) & ~F.isnan("r")
     return wide.select(F.inline(rows)).select(
-        "category", "signal_a", "signal_b", p["n"].alias("sample_count"),
-        F.when(usable, p["r"]).alias("phi_correlation"),
-        F.when(usable, F.abs(p["r"])).alias("absolute_correlation"),
+        "category", "signal_a", "signal_b", "sample_count",
+        F.when(known, F.col("r")).alias("phi_correlation"),
+        F.when(known, F.abs("r")).alias("absolute_correlation"),
     ).orderBy(F.col("absolute_correlation").desc_nulls_last())
 
 

@@ -18,6 +18,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from barlens.session import cut
+
 BINS = 1024
 MAX_GROUPS = 10_000
 
@@ -49,46 +51,55 @@ def _before(counts: DataFrame, keys: list[str], order: str) -> DataFrame:
     return counts.withColumn("before", upto - F.col("c"))
 
 
-def two_level(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows with bin/sub, per-bin counts with ``before``, per-group bounds)."""
+def binned(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with ``bin``, per-bin counts with ``before``, per-group bounds).
+
+    Bounds and bin counts are a few rows per group; they are checkpointed so that
+    the later steps read them back instead of planning their scans again.
+    """
     rows = df.select(*keys, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    bounds = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    bounds = cut(rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")))
     rows = _attach(rows, bounds, keys, ["low", "high"])
     rows = rows.withColumn("bin", _bin(F.col("v"), F.col("low"), F.col("high"))).drop("low", "high")
-    bins = rows.groupBy(*keys, "bin").agg(
-        F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
-    bins = _before(bins, keys, "bin")
+    bins = cut(rows.groupBy(*keys, "bin").agg(
+        F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high")))
+    return rows, _before(bins, keys, "bin"), bounds
+
+
+def _subdivide(rows: DataFrame, bins: DataFrame, keys: list[str]) -> DataFrame:
     rows = _attach(rows, bins, [*keys, "bin"], ["low", "high"])
-    rows = rows.withColumn("sub", _bin(F.col("v"), F.col("low"), F.col("high"))).drop("low", "high")
-    return rows, bins, bounds
+    return rows.withColumn("sub", _bin(F.col("v"), F.col("low"), F.col("high"))).drop("low", "high")
+
+
+def _locate(ranks: DataFrame, counts: DataFrame, on: list[str], take: list[str]) -> DataFrame:
+    """The bin each wanted rank falls into, and the rank left inside it."""
+    match = _same("k", "c", on) if on else F.lit(True)
+    hit = (F.col("k.rest") >= F.col("c.before")) & (F.col("k.rest") < F.col("c.before") + F.col("c.c"))
+    return cut(ranks.alias("k").join(F.broadcast(counts.alias("c")), match & hit).select(
+        *[F.col(f"k.{c}") for c in ranks.columns if c != "rest"],
+        *[F.col(f"c.{c}") for c in take],
+        (F.col("k.rest") - F.col("c.before")).alias("rest"),
+    ))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """One row per group with a linearly interpolated quantile per name in ``probs``."""
-    rows, bins, bounds = two_level(df, keys, value)
+    """One row per group with a linearly interpolated quantile per name in ``probs``.
+
+    Four passes over the input (keep it persisted), each a map-side combined count.
+    """
+    rows, bins, bounds = binned(df, keys, value)
     spots = [(F.col("n") - 1) * p for p in probs.values()]
     wanted = F.array_distinct(F.flatten(F.array(*[
         F.array(F.floor(s).cast("long"), F.ceil(s).cast("long")) for s in spots])))
-    ranks = bounds.select(*keys, F.explode(wanted).alias("rank"))
-
-    def locate(ranks: DataFrame, counts: DataFrame, on: list[str], take: list[str]) -> DataFrame:
-        match = _same("k", "c", on) if on else F.lit(True)
-        hit = (F.col("k.rest") >= F.col("c.before")) & (F.col("k.rest") < F.col("c.before") + F.col("c.c"))
-        return ranks.alias("k").join(F.broadcast(counts.alias("c")), match & hit).select(
-            *[F.col(f"k.{c}") for c in ranks.columns if c != "rest"],
-            *[F.col(f"c.{c}") for c in take],
-            (F.col("k.rest") - F.col("c.before")).alias("rest"),
-        )
-
-    ranks = locate(ranks.withColumn("rest", F.col("rank")), bins, keys, ["bin"])
-    target = ranks.select(*keys, "bin").distinct()
-    subs = _attach(rows, target, [*keys, "bin"], []).groupBy(*keys, "bin", "sub").agg(F.count(F.lit(1)).alias("c"))
-    ranks = locate(ranks, _before(subs, [*keys, "bin"], "sub"), [*keys, "bin"], ["sub"])
-    target = ranks.select(*keys, "bin", "sub").distinct()
-    values = _attach(rows, target, [*keys, "bin", "sub"], []).groupBy(*keys, "bin", "sub", "v").agg(
-        F.count(F.lit(1)).alias("c"))
-    found = locate(ranks, _before(values, [*keys, "bin", "sub"], "v"), [*keys, "bin", "sub"], ["v"])
+    ranks = bounds.select(*keys, F.explode(wanted).alias("rank")).withColumn("rest", F.col("rank"))
+    ranks = _locate(ranks, bins, keys, ["bin", "low", "high"])
+    rows = _subdivide(rows, ranks.select(*keys, "bin", "low", "high").distinct(), keys)
+    subs = rows.groupBy(*keys, "bin", "sub").agg(F.count(F.lit(1)).alias("c"))
+    ranks = _locate(ranks.drop("low", "high"), _before(subs, [*keys, "bin"], "sub"), [*keys, "bin"], ["sub"])
+    spot = [*keys, "bin", "sub"]
+    values = _attach(rows, ranks.select(*spot).distinct(), spot, []).groupBy(*spot, "v").agg(F.count(F.lit(1)).alias("c"))
+    found = _locate(ranks, _before(values, spot, "v"), spot, ["v"])
     lookup = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
     joined = _attach(bounds, lookup, keys, ["at"])
     out = []
@@ -101,8 +112,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
 
 def average_ranks(df: DataFrame, value: str) -> DataFrame:
     """(v, rank): average rank of every distinct value over the whole input."""
-    rows, bins, _ = two_level(df, [], value)
-    values = rows.groupBy("bin", "sub", "v").agg(F.count(F.lit(1)).alias("c"))
+    rows, bins, _ = binned(df, [], value)
+    bins = cut(bins)
+    values = _subdivide(rows, bins, []).groupBy("bin", "sub", "v").agg(F.count(F.lit(1)).alias("c"))
     inner = Window.partitionBy("bin", "sub").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     values = values.withColumn("_upto", F.sum("c").over(inner))
     subs = _before(values.groupBy("bin", "sub").agg(F.sum("c").alias("c")), ["bin"], "sub")

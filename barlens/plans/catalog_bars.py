@@ -37,7 +37,7 @@ def cloud_position(spark, sf):
 
 def liquidity_averages(spark, sf):
     df = millions(shared.frame(spark, sf), "avg_value_20")
-    return rounded(df, ID, ["avg_volume_20", "avg_value_20", "volume_ratio"], 8)
+    return rounded(df, ID, ["avg_volume_20", "avg_value_20", "volume_ratio"], 7)
 
 
 def bar_validity(spark, sf):
@@ -208,7 +208,7 @@ def nearest_neighbors(spark, sf):
 
 def weekly(spark, sf):
     return millions(context.weekly_bars(shared.bars(spark, sf)), "trade_value").select(
-        *ID, "open", "high", "low", "close", "volume", F.round("trade_value", 2).alias("trade_value"))
+        *ID, "open", "high", "low", "close", "volume", F.round("trade_value", 6).alias("trade_value"))
 
 
 def weekly_as_of(spark, sf):

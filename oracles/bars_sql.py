@@ -271,7 +271,7 @@ def oracles() -> dict[str, str]:
         "win_i1_lines": _frame(r4("tenkan", "kijun")),
         "win_i2_spans": _frame(r4("span_a", "span_b")),
         "win_i3_cloud": _frame(r4("cloud_a", "cloud_b", "cloud_top", "cloud_bottom")),
-        "win_i4_liquidity": _frame("round(avg_volume_20, 8) AS avg_volume_20, round(avg_value_20 / 1e6, 8) AS avg_value_20, round(volume_ratio, 8) AS volume_ratio"),
+        "win_i4_liquidity": _frame("round(avg_volume_20, 7) AS avg_volume_20, round(avg_value_20 / 1e6, 7) AS avg_value_20, round(volume_ratio, 7) AS volume_ratio"),
         "win_i5_volume_ratio": _frame(r4("volume_ratio")),
         "win_i6_true_range": _frame(r4("true_range")),
         "win_i7_atr": _frame(r4("atr14")),
@@ -346,7 +346,7 @@ def oracles() -> dict[str, str]:
  round(CASE WHEN bs > 0 THEN bm / bs END, 4) AS baseline_return_to_volatility, CASE WHEN family <> 'fixed' AND vs > 0 THEN round(vm / vs, 4) END AS ablated_return_to_volatility,
  CASE WHEN family <> 'fixed' AND vs > 0 AND bs > 0 THEN round(vm / vs - bm / bs, 4) END AS return_to_volatility_delta FROM g""",
         "agg8_correlations": _correlations(),
-        "agg10_quartiles": f"""{OUT}, e AS (SELECT horizon, quantile_cont(mae_pct, [0.25, 0.5, 0.75]) AS q FROM outc GROUP BY horizon),
+        "agg10_quartiles": f"""{OUT}, e AS (SELECT horizon, quantile_cont(mae_pct, [0.25, 0.5, 0.75]) AS q FROM outc GROUP BY horizon HAVING min(mae_pct) < q[1] AND q[1] < q[2] AND q[2] < q[3] AND q[3] < max(mae_pct)),
  l AS (SELECT horizon, mae_pct, CASE WHEN mae_pct <= q[1] THEN 'Q1' WHEN mae_pct <= q[2] THEN 'Q2' WHEN mae_pct <= q[3] THEN 'Q3' ELSE 'Q4' END AS quartile FROM outc JOIN e USING (horizon))
  SELECT horizon, quartile, count(*) AS rows, round(min(mae_pct), 4) AS low, round(max(mae_pct), 4) AS high FROM l GROUP BY ALL""",
         "agg12_robust_scale": f"""{FEAT}, cur AS (SELECT * FROM feat WHERE i = n - 1),
@@ -355,7 +355,7 @@ def oracles() -> dict[str, str]:
  md AS (SELECT symbol, feature, median(x) AS m, stddev_pop(x) AS sd, count(x) AS candidates FROM lng GROUP BY ALL),
  ma AS (SELECT l.symbol, l.feature, sd, candidates, median(abs(x - m)) * 1.4826 AS mad FROM lng l JOIN md USING (symbol, feature) GROUP BY ALL)
  SELECT symbol, feature, candidates, round(CASE WHEN (CASE WHEN mad > 1e-8 THEN mad ELSE sd END) > 1e-8 THEN (CASE WHEN mad > 1e-8 THEN mad ELSE sd END) ELSE 1.0 END, 4) AS scale FROM ma""",
-        "agg14_weekly": f"WITH {BARS}, {WEEKLY} SELECT symbol, session_date, open, high, low, close, volume, round(trade_value / 1e6, 2) AS trade_value FROM wk",
+        "agg14_weekly": f"WITH {BARS}, {WEEKLY} SELECT symbol, session_date, open, high, low, close, volume, round(trade_value / 1e6, 6) AS trade_value FROM wk",
         "agg15_profile": f"""WITH {BARS}, n AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY session_date) - 1 AS i, (high + low + close) / 3.0 AS p, volume FROM bars),
  e AS (SELECT a.symbol, a.i, b.p, b.volume FROM n a JOIN n b ON a.symbol = b.symbol AND b.i BETWEEN a.i - 139 AND a.i WHERE a.i >= 79),
  r AS (SELECT *, min(p) OVER w AS lo, max(p) OVER w AS hi FROM e WINDOW w AS (PARTITION BY symbol, i)),
