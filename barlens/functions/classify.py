@@ -12,24 +12,27 @@ def event_type(text: Column, form: Column | None = None, items: Column | None =
     form = F.coalesce(form if form is not None else F.lit(""), F.lit(""))
     items = F.coalesce(items if items is not None else F.lit(""), F.lit(""))
     joined = t.fold(F.concat_ws(" ", F.coalesce(text, F.lit("")), form, items))
-    result = F.when(F.upper(form).isin(*fixed.EARNINGS_FORMS), "EARNINGS")
     numbers = F.split(items, "[,; ]+")
-    for item, kind in fixed.ITEM_TYPES:
-        result = result.when(F.startswith(F.upper(form), F.lit("8-K")) & F.array_contains(numbers, item), kind)
-    for kind, terms in fixed.EVENT_TERMS:
-        result = result.when(t.any_term(joined, terms), kind)
-    return result.otherwise("OTHER")
+
+    def decide(words: Column) -> Column:
+        result = F.when(F.upper(form).isin(*fixed.EARNINGS_FORMS), "EARNINGS")
+        for item, kind in fixed.ITEM_TYPES:
+            result = result.when(F.startswith(F.upper(form), F.lit("8-K")) & F.array_contains(numbers, item), kind)
+        for kind, terms in fixed.EVENT_TERMS:
+            result = result.when(t.any_term(words, terms), kind)
+        return result.otherwise("OTHER")
+
+    return t.let(joined, decide)
 
 
 def scope(text: Column, default: Column | str = "COMPANY") -> Column:
-    joined = t.fold(text)
     default = F.lit(default) if isinstance(default, str) else default
-    return (
+    return t.let(t.fold(text), lambda joined: (
         F.when(t.any_term(joined, fixed.GLOBAL_TERMS), "GLOBAL_EVENT")
         .when(t.any_term(joined, fixed.MACRO_TERMS), "MACRO")
         .when(t.any_term(joined, fixed.MARKET_TERMS), "MARKET")
         .otherwise(default)
-    )
+    ))
 
 
 def source_level(source_type: Column) -> Column:
@@ -38,15 +41,14 @@ def source_level(source_type: Column) -> Column:
 
 
 def sentiment(title: Column) -> Column:
-    text = t.fold(title)
-    good, bad = t.term_hits(text, fixed.POSITIVE_TERMS), t.term_hits(text, fixed.NEGATIVE_TERMS)
-    return (good - bad) / F.greatest(F.lit(1.0), good + bad)
+    hits = t.let(t.fold(title), lambda text: F.struct(
+        t.term_hits(text, fixed.POSITIVE_TERMS).alias("good"), t.term_hits(text, fixed.NEGATIVE_TERMS).alias("bad")))
+    return (hits["good"] - hits["bad"]) / F.greatest(F.lit(1.0), hits["good"] + hits["bad"])
 
 
 def headline_risk(title: Column) -> Column:
-    text = t.fold(title)
-    hits, strong = t.term_hits(text, fixed.RISK_TERMS), t.term_hits(text, fixed.STRONG_RISK_TERMS)
-    return F.least(F.lit(1.0), 0.28 * hits + 0.35 * strong)
+    return t.let(t.fold(title), lambda text: F.least(
+        F.lit(1.0), 0.28 * t.term_hits(text, fixed.RISK_TERMS) + 0.35 * t.term_hits(text, fixed.STRONG_RISK_TERMS)))
 
 
 def canonical_action(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 from functools import reduce
 
 import pandas as pd
@@ -18,8 +19,14 @@ def fold(text: Column) -> Column:
     return F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("ß"), F.lit("ss"))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def any_term(text: Column, terms: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in terms])
+    """Does the text contain one of the terms (one pass over the text)?"""
+    return F.regexp(text, F.lit("|".join(re.escape(t) for t in terms)))
 
 
 def term_hits(text: Column, terms: tuple[str, ...]) -> Column:
