@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlens.functions import classify, fixed_values as fixed, text as t
@@ -12,6 +13,7 @@ from barlens.session import cut
 SCOPE = ["market", "symbol"]
 WINDOW_HOURS = 36
 SIMILAR, SIMILAR_WITH_NUMBERS = 0.58, 0.35
+BATCH = 1000  # rows of one group settled per round
 
 
 def order() -> Column:
@@ -174,44 +176,88 @@ def _buckets(rows: DataFrame) -> DataFrame:
         "event_id", "ord", F.xxhash64(*SCOPE, "event_type", "name", "s").alias("bucket"))
 
 
-def cluster(events: DataFrame) -> DataFrame:
+def _lead_batch(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sequential leader rule over one bounded batch of one group."""
+    pdf = pdf.sort_values(["event_time", "source_type", "event_id"])
+    reach = pd.Timedelta(hours=WINDOW_HOURS)
+    leaders: list[tuple] = []
+    out = []
+    for row in pdf.itertuples(index=False):
+        me = (row.event_id, row.event_time, row.explicit_key, frozenset(row.tokens), frozenset(row.numbers), frozenset(row.names), row.titled)
+        chosen, method = row.event_id, "singleton"
+        for other in leaders:
+            if me[1] - other[1] > reach or (me[4] and other[4] and me[4].isdisjoint(other[4])) or (
+                    me[5] and other[5] and me[5].isdisjoint(other[5])):
+                continue
+            if me[2] and me[2] == other[2]:
+                chosen, method = other[0], "source_event_id"
+                break
+            if me[6] and other[6] and me[3] and other[3]:
+                shared = len(me[3] & other[3])
+                near = shared / (len(me[3]) + len(other[3]) - shared)
+                if near >= SIMILAR:
+                    chosen, method = other[0], "title_entity_time_candidate"
+                    break
+                if me[4] and me[4] == other[4] and near >= SIMILAR_WITH_NUMBERS:
+                    chosen, method = other[0], "title_number_entity_time_candidate"
+                    break
+        if method == "singleton":
+            leaders = [x for x in leaders if me[1] - x[1] <= reach]
+            leaders.append(me)
+        out.append((row.event_id, chosen, method))
+    return pd.DataFrame(out, columns=["event_id", "leader_id", "method"])
+
+
+def _follow(rest: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Rows of ``rest`` that match one of the earlier ``leaders``: the first such leader.
+
+    Rows meet leaders only in shared hash buckets; every pair is then verified.
+    """
+    led = _buckets(leaders).select("bucket", F.col("event_id").alias("leader_id"))
+    pairs = _buckets(rest).select("bucket", "event_id").join(led, "bucket").select("event_id", "leader_id").distinct()
+    a, b = rest.alias("a"), leaders.alias("b")
+    checked = pairs.alias("p").join(a, F.col("p.event_id") == F.col("a.event_id")).join(b, F.col("p.leader_id") == F.col("b.event_id"))
+    same = (F.col("a.market") == F.col("b.market")) & (F.col("a.symbol") == F.col("b.symbol")) & (F.col("a.event_type") == F.col("b.event_type"))
+    checked = checked.filter(same).select(
+        "p.event_id", F.col("b.ord").alias("leader_ord"), match_method("a", "b").alias("method")).filter("method is not null")
+    first = checked.groupBy("event_id").agg(F.min_by(F.struct("leader_ord.event_id", "method"), "leader_ord").alias("m"))
+    return first.select("event_id", F.col("m.event_id").alias("leader_id"), "m.method")
+
+
+def cluster(events: DataFrame, batch: int = BATCH) -> DataFrame:
     """Leader clusters: (event_id, leader_id, cluster_id, cluster_method).
 
     In time order a row joins the first earlier leader that matches it, else it
-    leads.  A row that is first among the undecided of all its buckets cannot
-    match an undecided earlier row, so it leads; each round compares only the new
-    leaders with the rows of their buckets (one leader per bucket, linear work).
-    Equal titles were merged by ``deduplicate``, which callers run first.
+    leads.  Each round settles the first ``batch`` open rows of every (market,
+    symbol, type) exactly, one bounded task per group, and then removes from the
+    remaining rows all followers of the new leaders.  Those leaders precede every
+    remaining row, so a follower's choice is final; a hot group of near copies
+    is gone after one round.  Callers run ``deduplicate`` first.
     """
-    rows = cut(comparable(events))
-    buckets = cut(_buckets(rows))
-    open_ids = cut(rows.select("event_id"))
-    leaders, found = None, None
-    while not open_ids.isEmpty():
-        undecided = buckets.join(open_ids, "event_id", "left_semi")
-        follows = undecided.join(undecided.groupBy("bucket").agg(F.min("ord").alias("head")), "bucket").filter(
-            F.col("ord") > F.col("head")).select("event_id").distinct()
-        new = cut(open_ids.join(follows, "event_id", "left_anti"))
-        led = buckets.join(new, "event_id", "left_semi").select("bucket", F.col("event_id").alias("leader_id"), F.col("ord").alias("leader_ord"))
-        pairs = buckets.join(led, "bucket").filter(F.col("ord") > F.col("leader_ord")).select("event_id", "leader_id").distinct()
-        a, b = rows.alias("a"), rows.alias("b")
-        matches = pairs.alias("p").join(a, F.col("p.event_id") == F.col("a.event_id")).join(b, F.col("p.leader_id") == F.col("b.event_id"))
-        same = (F.col("a.market") == F.col("b.market")) & (F.col("a.symbol") == F.col("b.symbol")) & (F.col("a.event_type") == F.col("b.event_type"))
-        matches = cut(matches.filter(same).select(
-            "p.event_id", "p.leader_id", F.col("b.ord").alias("leader_ord"), match_method("a", "b").alias("method")).filter("method is not null"))
-        open_ids = cut(open_ids.join(new, "event_id", "left_anti").join(matches.select("event_id").distinct(), "event_id", "left_anti"))
-        leaders = new if leaders is None else leaders.unionByName(new)
-        found = matches if found is None else found.unionByName(matches)
-    if leaders is None:
-        raise ValueError("no events to cluster")
-    first = found.groupBy("event_id").agg(F.min_by(F.struct("leader_id", "method"), "leader_ord").alias("m"))
-    members = events.join(first, "event_id", "left").withColumn("leader_id", F.coalesce("m.leader_id", "event_id"))
+    group = [*SCOPE, "event_type"]
+    rows = cut(comparable(events).withColumn("source_type", F.col("ord.source_type")))
+    turn = Window.partitionBy(*group).orderBy("event_time", "source_type", "event_id")
+    settled = None
+    open_rows = rows
+    while True:
+        head = cut(open_rows.withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= batch).drop("_turn"))
+        done = cut(head.groupBy(*group).applyInPandas(_lead_batch, "event_id string, leader_id string, method string"))
+        settled = done if settled is None else settled.unionByName(done)
+        rest = cut(open_rows.join(head.select("event_id"), "event_id", "left_anti"))
+        if rest.isEmpty():
+            break
+        leaders = head.join(done.filter("method = 'singleton'").select("event_id"), "event_id", "left_semi")
+        followers = cut(_follow(rest, leaders))
+        settled = settled.unionByName(followers)
+        open_rows = cut(rest.join(followers.select("event_id"), "event_id", "left_anti"))
+        if open_rows.isEmpty():
+            break
     seed = F.coalesce(F.nullif("explicit_key", F.lit("")), F.nullif("title_key", F.lit("")), F.nullif("article_id", F.lit("")), F.col("event_id"))
-    ids = events.join(leaders, "event_id", "left_semi").select(
+    names = events.select(
         F.col("event_id").alias("leader_id"),
         t.stable_id("cluster", F.col("market"), F.col("symbol"), F.col("event_type"), F.to_date("event_time"), seed).alias("cluster_id"))
-    return members.join(ids, "leader_id").select(
-        "event_id", "leader_id", "cluster_id", F.coalesce("m.method", F.lit("singleton")).alias("cluster_method"))
+    return settled.join(names, "leader_id").select(
+        "event_id", "leader_id", "cluster_id", F.col("method").alias("cluster_method"))
 
 
 # ---- store merge ------------------------------------------------------------------------------

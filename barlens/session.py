@@ -33,4 +33,5 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder: lineage ends here and a lost
     executor costs a re-read, not a replay of every earlier round."""
     use_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # New column identities, so that rounds of one loop can be unioned and joined.
+    return df.checkpoint(eager=True).toDF(*df.columns)
