@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from barlens.plans import catalog_bars, catalog_events, shared
+from barlens.plans import catalog_bars, catalog_data, catalog_events, shared
 from barlens.operators import rules
 from barlens.session import prepare
 
@@ -28,5 +28,5 @@ def _ready(run: Callable) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = {**catalog_bars.QUERIES, **catalog_events.QUERIES}
+    named = {**catalog_bars.QUERIES, **catalog_events.QUERIES, **catalog_data.QUERIES}
     return {name: _ready(run) for name, run in named.items()}
