@@ -19,8 +19,8 @@ def at(text: str = NOW):
 def provider(market):
     def run(spark, sf):
         b = cleaning.provider_bars(tables.provider_records(spark, sf)).filter(F.col("market") == market)
-        return b.select("symbol", "session_date", *[F.round(c, 2).alias(c) for c in ("open", "high", "low", "close")],
-                        "volume", F.round(F.col("trade_value") / 1e6, 6).alias("trade_value"))
+        return b.select("symbol", "session_date", *[F.round(c, 4).alias(c) for c in ("open", "high", "low", "close")],
+                        "volume", F.round(F.col("trade_value") / 1e6, 8).alias("trade_value"))
     return run
 
 
@@ -199,7 +199,7 @@ def types(spark, sf):
 
 def blended(spark, sf):
     b = universe.blend_rankings(universe.ranked(tables.ranking_rows(spark, sf), 480))
-    return b.select("exchange", "symbol", "cap_rank", "value_rank", *[F.round(c, 2).alias(c) for c in ("market_cap_usd", "trade_value_usd", "price")])
+    return b.select("exchange", "symbol", "cap_rank", "value_rank", *[F.round(c, 4).alias(c) for c in ("market_cap_usd", "trade_value_usd", "price")])
 
 
 def _candidates(spark, sf):

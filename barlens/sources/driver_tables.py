@@ -89,16 +89,16 @@ def provider_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     sign = F.when(F.col("l_returnflag") == "R", "-").otherwise("")
 
     def text(value: Column) -> Column:
-        return F.concat(sign, F.format_number(value, 2))
+        return F.concat(sign, F.format_number(value, 4))
 
     record = F.to_json(F.struct(
         F.date_format("session_date", "yyyyMMdd").alias("dt"),
-        text(F.round(price * (1 - F.col("l_discount")), 2)).alias("open_pric"),
+        text(price * (1 - F.col("l_discount"))).alias("open_pric"),
         text(price).alias("high_pric"),
-        text(F.round(price * 0.85, 2)).alias("low_pric"),
-        text(F.round(price * (1 - F.col("l_tax")), 2)).alias("cur_prc"),
+        text(price * 0.85).alias("low_pric"),
+        text(price * (1 - F.col("l_tax"))).alias("cur_prc"),
         F.when(F.col("l_linenumber") != 7, F.format_number(F.col("l_quantity") * LOT, 0)).alias("acc_trde_qty"),
-        F.when(F.col("l_linenumber") > 3, text(F.round(price * 100, 2))).alias("acc_trde_prica"),
+        F.when(F.col("l_linenumber") > 3, text(price * 100)).alias("acc_trde_prica"),
     ))
     return t.select(
         market_of(F.col("symbol")).alias("market"), "symbol", record.alias("record"),
@@ -151,7 +151,7 @@ def ranking_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = master(spark, sf_dir)
     r = part_turnover(spark, sf_dir).join(m, F.col("l_partkey") == F.col("part_key"))
     base = [F.col("exchange").alias("stex_tp"), F.col("symbol").alias("stk_cd"),
-            (F.col("list_price") / 200).alias("cur_prc")]
+            (F.col("market_cap") / 1000 - 80).alias("cur_prc")]
     # Each list is a view of the same rows; a security may be on one list only.
     cap = r.filter(F.col("trades") >= 20).select(F.lit("cap").alias("kind"), *base, F.col("market_cap").alias("amount"))
     value = r.filter(F.col("traded_units") >= 60000).select(

@@ -21,8 +21,8 @@ MASTER = """ms AS (SELECT 'P' || lpad(p_partkey::VARCHAR, 5, '0') AS symbol, p_p
  p_brand || CASE WHEN p_size % 13 = 0 THEN '우' ELSE '' END AS korean_name, CASE WHEN p_size % 17 = 0 THEN '' ELSE p_type END AS sector, p_size % 19 = 0 AS is_etf, p_retailprice, p_size FROM part)"""
 COMMON = "NOT is_etf AND NOT (p_size % 11 = 0 OR p_size % 7 = 0)"
 RANKS = f"""{MASTER}, tv AS (SELECT l_partkey, sum(l_quantity * 100) AS u, max(l_extendedprice) AS mc, count(*) AS c FROM lineitem GROUP BY l_partkey),
-rk0 AS (SELECT 'cap' AS kind, exchange, symbol, p_retailprice / 200 AS price, mc AS amount FROM tv JOIN ms ON l_partkey = p_partkey WHERE c >= 20
- UNION ALL SELECT 'value', exchange, symbol, p_retailprice / 200, u FROM tv JOIN ms ON l_partkey = p_partkey WHERE u >= 60000),
+rk0 AS (SELECT 'cap' AS kind, exchange, symbol, abs(mc / 1000 - 80) AS price, mc AS amount FROM tv JOIN ms ON l_partkey = p_partkey WHERE c >= 20
+ UNION ALL SELECT 'value', exchange, symbol, abs(mc / 1000 - 80), u FROM tv JOIN ms ON l_partkey = p_partkey WHERE u >= 60000),
 rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY amount DESC, symbol) AS position FROM rk0) WHERE position <= 480),
 bl AS (SELECT coalesce(a.exchange, b.exchange) AS exchange, coalesce(a.symbol, b.symbol) AS symbol, a.position AS cap_rank, b.position AS value_rank, a.amount * 1000.0 AS market_cap_usd,
  b.amount * 1000.0 AS trade_value_usd, coalesce(a.price, b.price) AS price FROM (SELECT * FROM rk WHERE kind = 'cap') a FULL JOIN (SELECT * FROM rk WHERE kind = 'value') b ON a.exchange = b.exchange AND a.symbol = b.symbol),
@@ -51,9 +51,9 @@ def provider(market: str) -> str:
     value = "coalesce(CASE WHEN l_linenumber > 3 THEN round(l_extendedprice * 100, 2) END, close * volume)" if market == "US" else "close * volume"
     vol = "CASE WHEN l_linenumber <> 7 THEN l_quantity * 5000.0 ELSE 0 END" if market == "US" else "CASE WHEN l_linenumber <> 7 THEN l_quantity * 5000.0 END"
     return f"""WITH r AS (SELECT {PER_BAR} AS market, p_brand AS symbol, CAST(l_shipdate AS DATE) AS session_date, l.*, row_number() OVER (PARTITION BY p_brand, l_shipdate ORDER BY {ORDER}) AS k
- FROM lineitem l JOIN part ON l_partkey = p_partkey), f AS (SELECT symbol, session_date, l_linenumber, l_extendedprice, round({price} * (1 - l_discount), 2) AS open, {price} AS high, round({price} * 0.85, 2) AS low,
- round({price} * (1 - l_tax), 2) AS close, {vol} AS volume FROM r WHERE k = 1 AND market = '{market}')
- SELECT symbol, session_date, open, high, low, close, volume, round({value} / 1e6, 6) AS trade_value FROM f"""
+ FROM lineitem l JOIN part ON l_partkey = p_partkey), f AS (SELECT symbol, session_date, l_linenumber, l_extendedprice, round({price} * (1 - l_discount), 4) AS open, {price} AS high, round({price} * 0.85, 4) AS low,
+ round({price} * (1 - l_tax), 4) AS close, {vol} AS volume FROM r WHERE k = 1 AND market = '{market}')
+ SELECT symbol, session_date, open, high, low, close, volume, round({value} / 1e6, 8) AS trade_value FROM f"""
 
 
 def oracles() -> dict[str, str]:
@@ -109,7 +109,7 @@ def oracles() -> dict[str, str]:
         "flt3_us_common": f"WITH {MASTER} SELECT symbol, {COMMON} AND p_size % 13 <> -1 AS common FROM ms",
         "flt4_kr_common": f"""WITH {MASTER} SELECT symbol, exchange <> 'AMEX' AND NOT is_etf AND (NOT (p_retailprice % 3 < 1) OR exchange = 'NYSE') AND p_size % 13 <> 0 AND sector NOT IN ('SMALL', 'PROMO') AS common FROM ms""",
         "flt5_security_type": "SELECT p_brand AS \"ISU_ABBRV\", CASE WHEN num % 6 = 0 THEN 'preferred_stock' WHEN num % 7 = 0 THEN 'unknown_stock_type' ELSE 'common_stock' END AS security_type FROM (SELECT DISTINCT p_brand, CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INT) AS num FROM part)",
-        "join1_rankings": f"WITH {RANKS} SELECT exchange, symbol, cap_rank, value_rank, round(market_cap_usd, 2) AS market_cap_usd, round(trade_value_usd, 2) AS trade_value_usd, round(price, 2) AS price FROM bl",
+        "join1_rankings": f"WITH {RANKS} SELECT exchange, symbol, cap_rank, value_rank, round(market_cap_usd, 4) AS market_cap_usd, round(trade_value_usd, 4) AS trade_value_usd, round(price, 4) AS price FROM bl",
         "join2_rul18_candidates": f"WITH {RANKS} SELECT exchange, symbol, verdict, round(rank_score, 4) AS rank_score FROM cd",
         "top1_win_r2_selection": f"WITH {RANKS} SELECT * FROM pk",
         "agg25_stats": f"""WITH {RANKS} SELECT (SELECT count(*) FROM cd) AS ranked_unique, (SELECT count(*) FROM cd WHERE verdict = 'excluded') AS excluded, (SELECT count(*) FROM cd WHERE verdict = 'unverified') AS unverified,
