@@ -18,6 +18,11 @@ SIGNALS = (
 )
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation as an aggregate; null where a side is constant."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], take: list[str]) -> DataFrame:
     on = F.lit(True)
     for k in keys:
@@ -84,7 +89,7 @@ def cross_sections(outcomes: DataFrame, scores: list[str], min_rows: int) -> Dat
 
 def rank_ic(sections: DataFrame) -> DataFrame:
     daily = sections.groupBy("as_of", "horizon", "score").agg(
-        F.corr("score_rank", "return_rank").alias("spearman"))
+        correlation(F.col("score_rank"), F.col("return_rank")).alias("spearman"))
     mean = daily.groupBy("horizon", "score").agg(
         F.count_distinct("as_of").alias("date_count"), F.avg("spearman").alias("mean_spearman"))
     median = exact_quantiles(daily, ["horizon", "score"], "spearman", {"median_spearman": 0.5})
@@ -164,26 +169,26 @@ def with_split(rows: DataFrame, splits: DataFrame) -> DataFrame:
 
 
 def signal_correlations(signals: DataFrame, booleans: tuple[str, ...] = SIGNALS) -> DataFrame:
-    """All pairs of decision flags and of features, one wide aggregate, one pass."""
+    """All pairs of decision flags and of features in one pass.
+
+    Each row becomes one short row per pair and is combined map-side, so only
+    partial moments of the few pairs are shuffled.
+    """
     plan = [("decision_signal", a, b, a, b, 3) for a, b in combinations(booleans, 2)]
     plan += [("similarity_feature", a, b, f"f_{a}", f"f_{b}", 20) for a, b in combinations(FEATURES, 2)]
-    names = dict.fromkeys(c for p in plan for c in p[3:5])
-    x = signals.select(*[F.col(c).cast("double").alias(c) for c in names])
-    aggs = []
-    for k, (_, _, _, a, b, _) in enumerate(plan):
-        # corr skips a row with a null side; so does this count.
-        aggs += [F.corr(a, b).alias(f"r{k}"), F.count(F.col(a) + F.col(b)).alias(f"n{k}")]
-    wide = x.agg(*aggs)
-    rows = F.array(*[
-        F.struct(F.lit(cat).alias("category"), F.lit(a).alias("signal_a"), F.lit(b).alias("signal_b"),
-                 F.lit(least).alias("least"), F.col(f"n{k}").alias("sample_count"), F.col(f"r{k}").alias("r"))
-        for k, (cat, a, b, _, _, least) in enumerate(plan)])
-    # A constant side has no spread: corr is NaN there and the pair stays empty.
-    known = (F.col("sample_count") >= F.col("least")) & ~F.isnan("r")
-    return wide.select(F.inline(rows)).select(
-        "category", "signal_a", "signal_b", "sample_count",
-        F.when(known, F.col("r")).alias("phi_correlation"),
-        F.when(known, F.abs("r")).alias("absolute_correlation"),
+    pairs = F.array(*[
+        F.struct(F.lit(k).alias("k"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        for k, (_, _, _, a, b, _) in enumerate(plan)])
+    long = signals.select(F.inline(pairs)).withColumn("both", F.col("x").isNotNull() & F.col("y").isNotNull())
+    x, y = F.when(F.col("both"), F.col("x")), F.when(F.col("both"), F.col("y"))
+    moments = long.groupBy("k").agg(F.count(x).alias("sample_count"), correlation(x, y).alias("r"))
+    names = F.array(*[
+        F.struct(F.lit(c).alias("category"), F.lit(a).alias("signal_a"), F.lit(b).alias("signal_b"), F.lit(n).alias("least"))
+        for c, a, b, _, _, n in plan])
+    named = moments.withColumn("p", F.get(names, F.col("k")))
+    r = F.when(F.col("sample_count") >= F.col("p.least"), F.col("r"))
+    return named.select(
+        "p.category", "p.signal_a", "p.signal_b", "sample_count", r.alias("phi_correlation"), F.abs(r).alias("absolute_correlation"),
     ).orderBy(F.col("absolute_correlation").desc_nulls_last())
 
 

@@ -65,11 +65,11 @@ def _row_issues(columns: list[str]) -> list[Column]:
     raw, adjusted = [f"raw_{c}" for c in PRICES], [f"adjusted_{c}" for c in PRICES]
     have = [c in columns for c in raw + adjusted]
     if all(have):
-        ratios = [F.col(a) / F.col(r) for a, r in zip(adjusted, raw)]
+        ratios = [F.col(a) / F.nullif(F.col(r), F.lit(0.0)) for a, r in zip(adjusted, raw)]
         spread = F.greatest(*ratios) - F.least(*ratios)
         out.append(issue("error", "inconsistent_ohlc_adjustment", cells([spread > 1e-6])))
         if "adjustment_factor" in columns:
-            close = F.col("adjusted_close") / F.col("raw_close")
+            close = F.col("adjusted_close") / F.nullif(F.col("raw_close"), F.lit(0.0))
             wrong = F.coalesce(F.abs(F.col("adjustment_factor") - close) > 1e-10 + 1e-8 * F.abs(close), F.lit(True))
             out.append(issue("error", "adjustment_factor_mismatch", cells([wrong])))
     return out
