@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlens.operators.indicators import FEATURES
 from barlens.operators.quantiles import exact_quantiles, spearman
+from barlens.session import cut
 
 ACTIONS = ("interest", "wait", "avoid")
 GRADES = ("A+", "A", "B", "C", "D")
@@ -231,7 +232,9 @@ def _similarity_table(rows: DataFrame, test: str, group: Column) -> DataFrame:
 
 
 def similarity_sample(outcomes: DataFrame) -> DataFrame:
-    return outcomes.filter((F.col("horizon") == 10) & (F.col("similar_sample_count") > 0))
+    """Ten-session outcomes with a pattern sample: the few columns the tests read, stored once."""
+    return cut(outcomes.filter((F.col("horizon") == 10) & (F.col("similar_sample_count") > 0)).select(
+        "horizon", "forward_return_pct", "similar_sample_count", "up_rate", "nearest_distance", "market_context"))
 
 
 def similarity_groups(sample: DataFrame) -> DataFrame:
