@@ -314,6 +314,17 @@ def latest_scan(spark, sf):
     return scan(shared.bars(spark, sf), shared.proxies(spark, sf), shared.snapshots(spark, sf))
 
 
+def bucket_counts(spark, sf):
+    """Scan summary over the replay: ratings per market and final action."""
+    s = shared.full_signals(spark, sf)
+    return s.groupBy("market", F.col("action").alias("final_action")).agg(F.count(F.lit(1)).alias("ratings"))
+
+
+def bucket_lists(spark, sf):
+    from barlens.plans.scan import bucket_lists as lists
+    return lists(latest_scan(spark, sf)).select("market", "symbol", "final_action", "bucket_position", "grade")
+
+
 def watch_state(spark, sf):
     from barlens.plans.scan import watch_price_state, sample_note
     df = rules.complete_rows(shared.frame(spark, sf))
@@ -433,4 +444,6 @@ QUERIES = {
     "top4_neighbors": nearest_neighbors,
     "flt16_liquidity_gate": liquidity_gate,
     "scan_latest": latest_scan,
+    "agg29_bucket_counts": bucket_counts,
+    "top3_bucket_lists": bucket_lists,
 }
