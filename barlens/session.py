@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -18,15 +20,33 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Point the context at the shared folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir`` names, which driver and executors share.
 
-    Only where a session names none (tests, a laptop) a scratch folder is used.
+    Only a session that runs inside one process may do without it: there the driver's
+    disk is every executor's disk.  Elsewhere a missing setting is an error.
     """
-    if spark.sparkContext.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="barlens-cp-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="barlens-cp-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def use_checkpoints(spark: SparkSession) -> None:
+    """Point the context at the shared folder."""
+    folder = shared_folder(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back: lineage ends here."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/barlens-{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
