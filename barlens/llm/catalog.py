@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from barlens.llm import classifier, mixing, quality_rules, secrets
+from barlens.llm import classifier, mixing, near_duplicates, neighbours, page_text, quality_rules, secrets, token_codec
 from barlens.session import prepare
 
 
@@ -49,8 +49,45 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed", "kept", "rule")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(articles(spark, sf_dir), shingle_words=4).withColumnRenamed("event_id", "doc_id")
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def token_digests(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        F.col("event_id").alias("doc_id"), F.size("token_ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op7_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_file()
+    rows = articles(spark, sf_dir).select("event_id", "title")
+    return token_digests(token_codec.decode_articles(token_codec.encode_articles(rows, path).drop("title"), path))
+
+
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(
+        F.col("page_id").alias("article_id"), F.col("url").alias("source_url"), "html")
+    return page_text.extract_pages(pages).select(
+        F.col("article_id").alias("page_id"), F.col("source_url").alias("url"), "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    patterns = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        F.col("vec_id").alias("pattern_id"), F.col("embedding").alias("features"))
+    return neighbours.nearest_patterns(patterns, patterns.filter("pattern_id % 50 = 0")).select(
+        "query_id", "rank", F.col("pattern_id").alias("vec_id"), "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secrets, op3_mixing, op4_quality_classifier, op5_quality_rules)}
+    f.__name__: f for f in (op1_secrets, op2_near_duplicates, op3_mixing, op4_quality_classifier, op5_quality_rules, op6_page_text, op7_token_codec, op8_neighbours)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

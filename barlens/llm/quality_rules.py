@@ -105,19 +105,20 @@ def _bin(value: Column, edges: list[float]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(e) for e in edges]).cast("array<double>"), lambda e: e < value))
 
 
-def judge_articles(articles: DataFrame, judgements: DataFrame) -> DataFrame:
+def judge_articles(articles: DataFrame, judgements: DataFrame, *keep: str) -> DataFrame:
     """Statistics and verdict of every article.
 
     ``articles``: ``event_id``, ``title`` (the whole text); ``judgements``: ``event_id``,
     ``accepted`` (1 good, 0 bad).  Output per input row: ``event_id``, the counts,
     ``base_failed`` (under 50 words, or over half of them in repeated 3-word windows),
-    ``rule`` (number of the learned rule that rejects it, or null) and ``kept``.
+    ``rule`` (number of the learned rule that rejects it, or null) and ``kept``; the columns
+    of ``articles`` named in ``keep`` are passed through.
 
     A null or empty title has zero counts and fails the base.  Rows without an id get a
     verdict but teach nothing; repeated rows are judged alike; an id judged both ways
     teaches nothing; without judgements only the base rejects.
     """
-    counts = stored(text_statistics(articles, "event_id"), "text-statistics")
+    counts = stored(text_statistics(articles, "event_id", *keep), "text-statistics")
     labels = (judgements.filter(F.col("accepted").isin(0, 1) & F.col("event_id").isNotNull())
               .groupBy("event_id").agg(F.min("accepted").alias("accepted"), F.max("accepted").alias("other"))
               .filter(F.col("accepted") == F.col("other")).drop("other"))

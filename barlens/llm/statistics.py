@@ -25,7 +25,8 @@ def text_statistics(articles: DataFrame, *keep: str) -> DataFrame:
     ``n_repeat_words`` counts the words inside any 3-word window found at least twice in
     the text; windows are compared by 64-bit hashes chained over their words.  A null or
     empty title, or one of white space alone, has zeros throughout."""
-    words = articles.select(*keep, F.coalesce("title", F.lit("")).alias("title")).withColumn(
+    # The kept columns travel apart, so that none clashes with what is made here.
+    words = articles.select(F.struct(*keep).alias("kept_columns"), F.coalesce("title", F.lit("")).alias("title")).withColumn(
         "words", F.array_remove(F.split("title", GAP), ""))
     n = F.size("words")
     window = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))
@@ -46,7 +47,7 @@ def text_statistics(articles: DataFrame, *keep: str) -> DataFrame:
                           F.lit(0), lambda a, x: a + x)
     big = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
     return rows.select(
-        *keep, big(n).alias("n_words"), big(F.length(F.array_join("words", ""))).alias("word_chars"),
+        *[F.col("kept_columns")[c].alias(c) for c in keep], big(n).alias("n_words"), big(F.length(F.array_join("words", ""))).alias("word_chars"),
         big(F.regexp_count("title", F.lit(r"[#*$%&|<>]"))).alias("n_symbols"),
         big(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         big(covered).alias("n_repeat_words"), big(F.size("lines")).alias("n_lines"),
