@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from barlens.llm import classifier, mixing, near_duplicates, neighbours, page_text, quality_rules, secrets, token_codec
+from barlens.llm import classifier, mixing, near_duplicates, neighbours, page_text, quality_rules, repeated_passages, secrets, token_codec
 from barlens.session import prepare
 
 
@@ -86,8 +86,15 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
         "query_id", "rank", F.col("pattern_id").alias("vec_id"), "score")
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeated_passages.repeated_passages(articles(spark, sf_dir))
+    removed = F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["start"])
+    return rows.select(F.col("event_id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("runs").cast("bigint").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secrets, op2_near_duplicates, op3_mixing, op4_quality_classifier, op5_quality_rules, op6_page_text, op7_token_codec, op8_neighbours)}
+    f.__name__: f for f in (op1_secrets, op2_near_duplicates, op3_mixing, op4_quality_classifier, op5_quality_rules, op6_page_text, op7_token_codec, op8_neighbours, op10_repeated_passages)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
