@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from barlens.llm import classifier, mixing, near_duplicates, neighbours, page_text, quality_rules, repeated_passages, secrets, token_codec
+from barlens.llm import classifier, language_model, mixing, near_duplicates, neighbours, page_text, quality_rules, repeated_passages, secrets, token_codec
 from barlens.session import prepare
 
 
@@ -86,6 +86,10 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
         "query_id", "rank", F.col("pattern_id").alias("vec_id"), "score")
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_titles(articles(spark, sf_dir)).withColumnRenamed("event_id", "doc_id")
+
+
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repeated_passages.repeated_passages(articles(spark, sf_dir))
     removed = F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["start"])
@@ -94,7 +98,7 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secrets, op2_near_duplicates, op3_mixing, op4_quality_classifier, op5_quality_rules, op6_page_text, op7_token_codec, op8_neighbours, op10_repeated_passages)}
+    f.__name__: f for f in (op1_secrets, op2_near_duplicates, op3_mixing, op4_quality_classifier, op5_quality_rules, op6_page_text, op7_token_codec, op8_neighbours, op9_language_model, op10_repeated_passages)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
