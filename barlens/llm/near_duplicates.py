@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -21,6 +22,8 @@ SHINGLE_WORDS = 5
 LINK_PERCENT = 80
 #: Shingles hashed at once: bounds the memory of very long texts.
 CHUNK = 4096
+#: Members of one block of a bucket.
+BLOCK_MEMBERS = 256
 WORD_CACHE = 300_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -128,6 +131,46 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .withColumn("union", F.size("sa") + F.size("sb") - F.col("common")).drop("sa", "sb"))
 
 
+def _between(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between members of different components in one bucket.
+
+    Blocks of a bucket meet in pairs, so a group is two blocks at most; intersections are
+    counted there, on full sets, and only links come out."""
+    kind = left.schema["id"].dataType.simpleString()
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    rows = (left.join(sets.withColumnRenamed("event_id", "id"), "id").withColumn("own", own)
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+            .withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")))
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id").drop_duplicates("id")
+        ids, labels, own = (group[c].to_numpy() for c in ("id", "label", "own"))
+        sizes = group["shingles"].map(len).to_numpy()
+        values, places = np.unique(np.concatenate(group["shingles"].to_list()), return_inverse=True)
+        # Shingles that one member alone has add to no intersection.
+        column = np.cumsum(np.bincount(places) > 1) - 1
+        shared = (np.bincount(places) > 1)[places]
+        row, col = np.repeat(np.arange(len(ids)), sizes)[shared], column[places][shared]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        common = np.zeros((len(ids), len(ids)), np.float32)
+        for begin in range(0, int(col[-1]) + 1 if len(col) else 0, CHUNK):
+            lo, hi = np.searchsorted(col, [begin, begin + CHUNK])
+            part = np.zeros((len(ids), CHUNK), np.float32)
+            part[row[lo:hi], col[lo:hi] - begin] = 1
+            common += part @ part.T
+        common = common.astype(np.int64)
+        fine = 100 * common >= LINK_PERCENT * (sizes[:, None] + sizes[None, :] - common)
+        fine &= labels[:, None] != labels[None, :]
+        if key[1] != key[2]:
+            fine &= own[:, None] != own[None, :]
+        x, y = np.nonzero(np.triu(fine, 1))
+        return pd.DataFrame({"a": ids[x], "b": ids[y]})
+
+    return rows.select("band", "low", "high", "id", "label", "own", "shingles").groupBy("band", "low", "high").applyInPandas(
+        run, f"a {kind}, b {kind}")
+
+
 def near_duplicates(articles: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """Components of articles whose titles are near duplicates.
 
@@ -137,9 +180,8 @@ def near_duplicates(articles: DataFrame, shingle_words: int = SHINGLE_WORDS) ->
 
     Texts with one shingle set form one class.  A class is compared with the smallest member
     of every band bucket it falls in; buckets that still hold several components then
-    compare members of different components, but for pairs that the sizes or the known
-    distances to the bucket's smallest member rule out (Jaccard distance is a metric).
-    Every link is confirmed on full sets; none is emitted inside a class or component.
+    compare members of different components, in pairs of bounded blocks.  Every link is
+    confirmed on full sets; no pair that is no link leaves a block.
 
     A null or empty title, or one without words, has no shingles and stands alone.  Rows
     without an id take part in no link: their component is null, they are kept.  Repeated
@@ -156,7 +198,6 @@ def near_duplicates(articles: DataFrame, shingle_words: int = SHINGLE_WORDS) ->
     near_size = lambda x, y: 100 * F.least(x, y) >= LINK_PERCENT * F.greatest(x, y)
     wanted = stored(members.select(F.col("id").alias("event_id")).distinct(), "bucket-ids")
     texts = articles.select("event_id", "title").join(bounded(wanted, 16), "event_id")
-    # A repeated id has one set: that of its class' smallest text hash is as good as any, as its rows are equal.
     sets = stored(shingle_sets(texts, shingle_words).dropDuplicates(["event_id"]), "shingle-sets")
     stars = (members.filter(F.col("id") != F.col("pivot")).filter(near_size(F.col("n"), F.col("pivot_n")))
              .select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
@@ -165,16 +206,10 @@ def near_duplicates(articles: DataFrame, shingle_words: int = SHINGLE_WORDS) ->
     links = stars.filter(link).select("a", "b")
     labels = components(links)
     placed = members.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band")
-    far = stars.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("common") / F.col("union")).alias("distance"))
-    left = stored(placed.join(mixed, "band").filter(F.col("id") != F.col("pivot")).join(far, ["pivot", "id"], "left")
-                  .select("band", "id", "n", "label", "distance"), "mixed-members")
-    x, y = left.alias("x"), left.alias("y")
-    gap = F.coalesce(F.abs(F.col("x.distance") - F.col("y.distance")), F.lit(0.0)) <= 1 - LINK_PERCENT / 100 + 1e-9
-    rest = (x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.id") < F.col("y.id"))
-                   & near_size(F.col("x.n"), F.col("y.n")) & gap)
-            .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-    more = stored(_linked(rest, sets).filter(link).select("a", "b"), "more-links")
+    mixed = (placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"))
+             .filter("low <> high").select("band", F.ceil(F.col("members") / BLOCK_MEMBERS).alias("blocks")))
+    left = stored(placed.join(mixed, "band").select("band", "blocks", "id", "label"), "mixed-members")
+    more = stored(_between(left, sets).distinct(), "more-links")
     if not more.isEmpty():
         labels = components(links.union(more))
     rows = signed.select("event_id", "n_shingles", "set_key").join(classes.select("set_key", "id"), "set_key", "left")
