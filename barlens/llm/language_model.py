@@ -16,8 +16,9 @@ from barlens.session import stored
 
 #: Rows of every HELD_OUT-th fold are scored, never learned from.
 HELD_OUT = 10
-#: Contexts: the last byte of the word before, or the start of the text.  There are no more.
-START, CONTEXTS = 256, 257
+#: Contexts: how the word before ends.  There are no more than these.
+KINDS = ("start of the text", "letter beyond ASCII", "sentence end", "other sign", "digit", "vowel", "consonant")
+CONTEXTS = len(KINDS)
 #: Gibbs sweeps, and how many of the first are left out of the average.
 SWEEPS, BURN_IN = 4, 1
 #: Concentrations of the contexts' restaurants and of the one they share.
@@ -27,10 +28,21 @@ SINGLY = 64
 #: Weight that the base gives a token it never saw.
 ADDED = 0.1
 #: Tokens numbered together, and words remembered by a task.
-BATCH_TOKENS, WORD_CACHE = 2_000_000, 300_000
+BATCH_TOKENS, WORD_CACHE = 5_000_000, 300_000
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word holds a line end
 
 
+def _kind(last: int) -> int:
+    if last >= 128:
+        return 1
+    letter = chr(last)
+    return 2 if letter in ".!?" else 5 if letter in "aeiou" else 6 if letter.isalpha() else 4 if letter.isdigit() else 3
+
+
+#: Context by last byte; 256 stands for the start.
+CONTEXT_OF = np.array([_kind(b) for b in range(256)] + [0], np.int32)
+
+
 def _uniform(*parts: np.ndarray | int) -> np.ndarray:
     x = np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
@@ -109,7 +121,7 @@ def numbered(articles: DataFrame) -> DataFrame:
                 word = np.empty(len(parts) + 1, np.uint64)
                 word[:-1] = np.fromiter(map(known.__getitem__, parts), np.uint64, len(parts))
                 word[-1] = END
-                context = np.array([START] + [w[-1] for w in parts], np.int32)
+                context = CONTEXT_OF[[256] + [w[-1] for w in parts]]
                 held.append((event_id, out, word, context))
                 total += len(word)
                 if total >= BATCH_TOKENS:
@@ -198,8 +210,7 @@ def score_titles(articles: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
     (words, A-Z lower-cased, and one end), ``n_known`` (tokens seen in training),
     ``train_tokens``, ``base_score`` (add-0.1 unigram) and ``score``.
 
-    Every context (the last byte of the word before) is a restaurant whose dishes are the
-    next words; all share one parent restaurant over words, whose base is uniform over
+    Every context (how the word before ends) is a restaurant whose dishes are the next words; all share one parent restaurant over words, whose base is uniform over
     the words seen in training and one for all others.  Gibbs sweeps reseat all customers
     of a dish given everybody else's tables; probabilities are averaged over the sweeps
     after the burn-in.  Discounts come from the counts of counts.  Counts, sweeps and
