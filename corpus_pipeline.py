@@ -61,10 +61,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = _articles(docs).withColumn("text_key", F.xxhash64("title")).alias("d")
     same = F.col("d.event_id").eqNullSafe(F.col("m.event_id")) & (F.col("text_key") == F.col("m.key"))
     rows = rows.join(parts.alias("m"), same).withColumn("pass", F.explode(F.array_distinct(F.transform("parts", lambda p: p["pass"]))))
-    mine = F.sort_array(F.transform(F.filter("parts", lambda p: p["pass"] == F.col("pass")), lambda p: F.struct(p["start"], p["end"])))
+    mine = F.sort_array(F.transform(F.filter("parts", lambda p: p["pass"] == F.col("pass")), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"))))
     rows = rows.select("d.*", "size", mine.alias("runs"), F.regexp_extract_all("title", F.lit(PIECE), F.lit(0)).alias("pieces"))
-    whole = F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r["col2"] - r["col1"]) == F.col("size")
-    cut = F.ltrim(F.array_join(F.flatten(F.transform("runs", lambda r: F.slice("pieces", (r["col1"] + 1).cast("int"), (r["col2"] - r["col1"]).cast("int")))), ""))
+    whole = F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["start"]) == F.col("size")
+    cut = F.ltrim(F.array_join(F.flatten(F.transform("runs", lambda r: F.slice("pieces", (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int")))), ""))
     rows = rows.withColumn("title", F.when(whole, F.col("title")).otherwise(cut)).withColumn("n_chars", F.length("title").cast("bigint"))
     return _documents(rows)
 
