@@ -48,23 +48,26 @@ def weekly_direction(bars: DataFrame) -> DataFrame:
     )
 
 
-def completed_week(rows: DataFrame) -> DataFrame:
+def _label(day: Column) -> Column:
+    return F.datediff(week_end(day), F.lit("1970-01-01").cast("date"))
+
+
+def completed_week(rows: DataFrame, bars: DataFrame) -> DataFrame:
     """Add ``week``: the newest Friday label known at each daily row.
 
     On its Friday a week is complete; before that the newest earlier week with
-    sessions counts.  A running maximum over week numbers, no inequality join.
+    sessions counts.  Weeks come from ``bars``, whatever rows are asked for.
     """
-    label = F.datediff(week_end(F.col("session_date")), F.lit("1970-01-01").cast("date"))
-    rows = rows.withColumn("_label", label)
-    earlier = Window.partitionBy(*KEYS).orderBy("_label").rangeBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_before", F.max("_label").over(earlier))
+    by_week = Window.partitionBy(*KEYS).orderBy("_label")
+    weeks = bars.select(*KEYS, _label(F.col("session_date")).alias("_label")).distinct().withColumn("_before", F.lag("_label").over(by_week))
+    rows = rows.withColumn("_label", _label(F.col("session_date"))).join(weeks, [*KEYS, "_label"], "left")
     own = F.dayofweek("session_date") == 6
     number = F.when(own, F.col("_label")).otherwise(F.col("_before"))
     return rows.withColumn("week", F.date_add(F.lit("1970-01-01").cast("date"), number)).drop("_label", "_before")
 
 
 def with_weekly(rows: DataFrame, bars: DataFrame) -> DataFrame:
-    return completed_week(rows).join(weekly_direction(bars), [*KEYS, "week"], "left").drop("week")
+    return completed_week(rows, bars).join(weekly_direction(bars), [*KEYS, "week"], "left").drop("week")
 
 
 # ---- market direction ------------------------------------------------------------------
