@@ -91,10 +91,11 @@ def resolve(queries: DataFrame, master: DataFrame) -> DataFrame:
 # ---- US ranking blend -----------------------------------------------------------------------------
 
 
-def ranked(rows: DataFrame, depth: int) -> DataFrame:
-    """The first ``depth`` rows of each rank list with their position."""
+def ranked(rows: DataFrame, depth: int | None = None) -> DataFrame:
+    """Each rank list with positions; only its first ``depth`` rows where a page size is given."""
     w = Window.partitionBy("kind").orderBy(F.col("amount").desc(), "stk_cd")
-    return rows.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= depth)
+    placed = rows.withColumn("position", F.row_number().over(w))
+    return placed if depth is None else placed.filter(F.col("position") <= depth)
 
 
 def blend_rankings(ranks: DataFrame) -> DataFrame:

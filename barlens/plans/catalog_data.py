@@ -198,12 +198,12 @@ def types(spark, sf):
 
 
 def blended(spark, sf):
-    b = universe.blend_rankings(universe.ranked(tables.ranking_rows(spark, sf), 480))
-    return b.select("exchange", "symbol", "cap_rank", "value_rank", *[F.round(c, 4).alias(c) for c in ("market_cap_usd", "trade_value_usd", "price")])
+    b = universe.blend_rankings(universe.ranked(tables.ranking_rows(spark, sf)))
+    return b.select("exchange", "symbol", "cap_rank", "value_rank", *[F.round(c, 4).alias(c) for c in ("market_cap_usd", "trade_value_usd")], "price")
 
 
 def _candidates(spark, sf):
-    b = universe.blend_rankings(universe.ranked(tables.ranking_rows(spark, sf), 480))
+    b = universe.blend_rankings(universe.ranked(tables.ranking_rows(spark, sf)))
     return universe.us_candidates(b, tables.master(spark, sf).filter("part_key % 23 <> 0"))
 
 
@@ -299,7 +299,7 @@ def board_selection(spark, sf):
 def resolved(spark, sf):
     m = tables.master(spark, sf).select("symbol", F.col("english_name").alias("name"))
     p = tables.table(spark, sf, "part")
-    words = p.select(F.explode(F.array(F.col("p_name"), F.concat("p_name", F.lit(" corp")), F.concat(F.lit("p"), F.lpad(F.col("p_partkey").cast("string"), 5, "0")),
+    words = p.select(F.explode(F.array(F.col("p_name"), F.concat("p_name", F.lit(" corp")), F.concat(F.lit("p"), tables.padded(F.col("p_partkey"), 5)),
                                        F.col("p_type"), F.split("p_name", " ")[0])).alias("query")).distinct()
     return universe.resolve(words, m)
 
@@ -328,7 +328,7 @@ def raw_artifacts(spark, sf):
 def symbols(spark, sf):
     m = tables.master(spark, sf)
     raw = F.concat(F.lower("symbol"), F.when(F.col("part_key") % 2 == 0, "_al").otherwise(" "))
-    isin = F.concat(F.lit("KR7"), F.lpad(F.col("part_key").cast("string"), 6, "0"), F.lit("003"))
+    isin = F.concat(F.lit("KR7"), tables.padded(F.col("part_key"), 6), F.lit("003"))
     share = F.when(F.col("part_key") % 5 == 0, "brk.b").otherwise(F.col("symbol"))
     return m.select("symbol", universe.base_symbol(raw).alias("base"), universe.exchange_code(F.lit(""), isin).alias("code"), universe.normalize_us_symbol(share).alias("us"))
 

@@ -107,6 +107,12 @@ def provider_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def padded(number: Column, width: int) -> Column:
+    """The number's text with leading zeros; longer numbers keep all their digits."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0"))
+
+
 def minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intraday observations: one per event, symbol = event type, price = value."""
     e = table(spark, sf_dir, "events")
@@ -123,7 +129,7 @@ def master(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Security master: one row per part, names and sectors from the part columns."""
     p = table(spark, sf_dir, "part")
     return p.select(
-        F.concat(F.lit("P"), F.lpad(F.col("p_partkey").cast("string"), 5, "0")).alias("symbol"),
+        F.concat(F.lit("P"), padded(F.col("p_partkey"), 5)).alias("symbol"),
         F.when(F.col("p_size") % 3 == 0, "NASDAQ").when(F.col("p_size") % 3 == 1, "NYSE")
         .otherwise("AMEX").alias("exchange"),
         F.concat(F.initcap("p_name"), F.when(F.col("p_size") % 11 == 0, " Warrants")
@@ -163,7 +169,7 @@ def cross_section_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
     """Exchange daily rows and basic-info rows (all text), one board per brand parity."""
     bars = daily_bars(spark, sf_dir)
     number = F.regexp_extract("symbol", "([0-9]+)$", 1).cast("int")
-    code = F.lpad(number.cast("string"), 6, "0")
+    code = padded(number, 6)
     board = F.when(number % 2 == 0, "KOSDAQ").otherwise("KOSPI")
     daily = bars.select(
         "session_date", board.alias("board"), code.alias("ISU_SRT_CD"), F.col("symbol").alias("ISU_NM"),
@@ -201,7 +207,7 @@ def news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     shift = F.make_dt_interval(hours=((doc % 7) - 1).cast("int"))
     source_type = F.element_at(F.array(*[F.lit(x) for x in SOURCE_TYPES]), n % 6 + 1)
     return d.select(
-        F.concat(F.lit("evt_"), F.lpad(doc.cast("string"), 9, "0")).alias("event_id"),
+        F.concat(F.lit("evt_"), padded(doc, 9)).alias("event_id"),
         F.when(F.col("lang") == "de", "KR").otherwise(market_of(symbol)).alias("market"),
         symbol.alias("symbol"),
         event_time.alias("event_time"),

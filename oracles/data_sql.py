@@ -16,14 +16,14 @@ mis AS (SELECT g.symbol, g.session_date, 'missing_exchange_session' AS code FROM
 ext AS (SELECT a.symbol, a.session_date, 'non_session_date' AS code FROM act a ANTI JOIN cal ON cal.session_date = a.session_date),
 gp AS (SELECT * FROM mis UNION ALL SELECT * FROM ext)"""
 GAP_ROWS = f"""lg AS (SELECT symbol, close, session_date, lag(close) OVER (PARTITION BY symbol ORDER BY session_date) AS pc FROM bars)"""
-MASTER = """ms AS (SELECT 'P' || lpad(p_partkey::VARCHAR, 5, '0') AS symbol, p_partkey, CASE p_size % 3 WHEN 0 THEN 'NASDAQ' WHEN 1 THEN 'NYSE' ELSE 'AMEX' END AS exchange,
+MASTER = """ms AS (SELECT 'P' || lpad(p_partkey::VARCHAR, greatest(length(p_partkey::VARCHAR), 5)::INT, '0') AS symbol, p_partkey, CASE p_size % 3 WHEN 0 THEN 'NASDAQ' WHEN 1 THEN 'NYSE' ELSE 'AMEX' END AS exchange,
  array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') || CASE WHEN p_size % 11 = 0 THEN ' Warrants' WHEN p_size % 7 = 0 THEN ' Corp Preferred' ELSE ' Corp' END AS english_name,
  p_brand || CASE WHEN p_size % 13 = 0 THEN '우' ELSE '' END AS korean_name, CASE WHEN p_size % 17 = 0 THEN '' ELSE p_type END AS sector, p_size % 19 = 0 AS is_etf, p_retailprice, p_size FROM part)"""
 COMMON = "NOT is_etf AND NOT (p_size % 11 = 0 OR p_size % 7 = 0)"
 RANKS = f"""{MASTER}, tv AS (SELECT l_partkey, sum(l_quantity * 100) AS u, max(l_extendedprice) AS mc, count(*) AS c FROM lineitem GROUP BY l_partkey),
 rk0 AS (SELECT 'cap' AS kind, exchange, symbol, abs(mc / 1000 - 80) AS price, mc AS amount FROM tv JOIN ms ON l_partkey = p_partkey WHERE c >= 20
  UNION ALL SELECT 'value', exchange, symbol, abs(mc / 1000 - 80), u FROM tv JOIN ms ON l_partkey = p_partkey WHERE u >= 60000),
-rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY amount DESC, symbol) AS position FROM rk0) WHERE position <= 480),
+rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY amount DESC, symbol) AS position FROM rk0)),
 bl AS (SELECT coalesce(a.exchange, b.exchange) AS exchange, coalesce(a.symbol, b.symbol) AS symbol, a.position AS cap_rank, b.position AS value_rank, a.amount * 1000.0 AS market_cap_usd,
  b.amount * 1000.0 AS trade_value_usd, coalesce(a.price, b.price) AS price FROM (SELECT * FROM rk WHERE kind = 'cap') a FULL JOIN (SELECT * FROM rk WHERE kind = 'value') b ON a.exchange = b.exchange AND a.symbol = b.symbol),
 cd AS (SELECT bl.*, m.sector, CASE WHEN m.symbol IS NULL THEN 'unverified' WHEN price < 5 OR NOT ({COMMON}) THEN 'excluded' ELSE 'candidate' END AS verdict,
@@ -35,7 +35,7 @@ ok AS (SELECT symbol, sector, round(rank_score, 4) AS rank_score, CASE WHEN coal
 pk AS (SELECT symbol, sector, rank_score, r > cap AS deferred FROM ok ORDER BY r > cap, rank_score DESC, symbol LIMIT 120)"""
 BOARD = "CASE WHEN num % 2 = 0 THEN 'KOSDAQ' ELSE 'KOSPI' END"
 SECTION = f"""{BARS}, br AS (SELECT DISTINCT p_brand AS symbol, CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INT) AS num FROM part),
-bx AS (SELECT symbol, num, {BOARD} AS board, lpad(num::VARCHAR, 6, '0') AS code, DATE '1995-01-01' + (num * 30) AS listing_date,
+bx AS (SELECT symbol, num, {BOARD} AS board, lpad(num::VARCHAR, greatest(length(num::VARCHAR), 6)::INT, '0') AS code, DATE '1995-01-01' + (num * 30) AS listing_date,
  CASE WHEN num % 6 = 0 THEN 'preferred_stock' WHEN num % 7 = 0 THEN 'unknown_stock_type' ELSE 'common_stock' END AS security_type FROM br),
 dd AS (SELECT DISTINCT session_date, board FROM bars JOIN bx USING (symbol)),
 cs AS (SELECT dd.session_date, dd.board, code AS symbol, 'KR7' || code || '003' AS permanent_id, security_type, security_type = 'common_stock' AND dd.session_date >= listing_date AS eligible,
@@ -109,7 +109,7 @@ def oracles() -> dict[str, str]:
         "flt3_us_common": f"WITH {MASTER} SELECT symbol, {COMMON} AND p_size % 13 <> -1 AS common FROM ms",
         "flt4_kr_common": f"""WITH {MASTER} SELECT symbol, exchange <> 'AMEX' AND NOT is_etf AND (NOT (p_retailprice % 3 < 1) OR exchange = 'NYSE') AND p_size % 13 <> 0 AND sector NOT IN ('SMALL', 'PROMO') AS common FROM ms""",
         "flt5_security_type": "SELECT p_brand AS \"ISU_ABBRV\", CASE WHEN num % 6 = 0 THEN 'preferred_stock' WHEN num % 7 = 0 THEN 'unknown_stock_type' ELSE 'common_stock' END AS security_type FROM (SELECT DISTINCT p_brand, CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INT) AS num FROM part)",
-        "join1_rankings": f"WITH {RANKS} SELECT exchange, symbol, cap_rank, value_rank, round(market_cap_usd, 4) AS market_cap_usd, round(trade_value_usd, 4) AS trade_value_usd, round(price, 4) AS price FROM bl",
+        "join1_rankings": f"WITH {RANKS} SELECT exchange, symbol, cap_rank, value_rank, round(market_cap_usd, 4) AS market_cap_usd, round(trade_value_usd, 4) AS trade_value_usd, price FROM bl",
         "join2_rul18_candidates": f"WITH {RANKS} SELECT exchange, symbol, verdict, round(rank_score, 4) AS rank_score FROM cd",
         "top1_win_r2_selection": f"WITH {RANKS} SELECT * FROM pk",
         "agg25_stats": f"""WITH {RANKS} SELECT (SELECT count(*) FROM cd) AS ranked_unique, (SELECT count(*) FROM cd WHERE verdict = 'excluded') AS excluded, (SELECT count(*) FROM cd WHERE verdict = 'unverified') AS unverified,
@@ -127,7 +127,7 @@ def oracles() -> dict[str, str]:
         "join3_board_candidates": f"""WITH {SECTION}, sc AS (SELECT p_brand AS symbol, arg_min(p_type, p_partkey) AS sector FROM part GROUP BY p_brand),
  r AS (SELECT b.session_date AS as_of, code AS symbol, board, sector, close, row_number() OVER (PARTITION BY b.session_date, board ORDER BY round(close) * volume DESC, code) AS k FROM bars b JOIN bx USING (symbol) JOIN sc USING (symbol))
  SELECT as_of, symbol, board, sector, greatest(0.0, 500.0 - k)::DOUBLE AS rank_score FROM r WHERE close >= 5000""",
-        "flt18_resolution": f"""WITH {MASTER}, qs AS (SELECT DISTINCT unnest([p_name, p_name || ' corp', 'p' || lpad(p_partkey::VARCHAR, 5, '0'), p_type, string_split(p_name, ' ')[1]]) AS query FROM part),
+        "flt18_resolution": f"""WITH {MASTER}, qs AS (SELECT DISTINCT unnest([p_name, p_name || ' corp', 'p' || lpad(p_partkey::VARCHAR, greatest(length(p_partkey::VARCHAR), 5)::INT, '0'), p_type, string_split(p_name, ' ')[1]]) AS query FROM part),
  h AS (SELECT query, symbol, 0 AS level FROM qs JOIN ms ON lower(query) = lower(symbol) UNION ALL SELECT query, symbol, 1 FROM qs JOIN ms ON lower(query) = lower(english_name)
  UNION ALL SELECT query, symbol, 2 FROM qs JOIN ms ON contains(lower(english_name), lower(query))), b AS (SELECT query, min(level) AS level FROM h GROUP BY query),
  g AS (SELECT query, count(DISTINCT symbol) AS matches, min(symbol) AS symbol FROM h JOIN b USING (query, level) GROUP BY query)
@@ -135,7 +135,7 @@ def oracles() -> dict[str, str]:
         "top8_tails": f"WITH {BARS}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY session_date DESC) AS k FROM bars) SELECT symbol, count(*) AS rows, min(session_date) AS first FROM r WHERE k <= 650 GROUP BY symbol",
         "src13_batch_gaps": """WITH h AS (SELECT DISTINCT event_type, time_bucket(INTERVAL 15 MINUTE, ts) AS b FROM events), g AS (SELECT event_type, unnest(generate_series(min(b), max(b), INTERVAL 15 MINUTE)) AS b FROM h GROUP BY event_type)
  SELECT g.event_type, strftime(g.b, '%Y%m%d%H%M%S') AS batch FROM g ANTI JOIN h ON h.event_type = g.event_type AND h.b = g.b""",
-        "scl_s12_symbols": f"WITH {MASTER} SELECT symbol, symbol AS base, lpad(p_partkey::VARCHAR, 6, '0') AS code, CASE WHEN p_partkey % 5 = 0 THEN 'BRKB' ELSE symbol END AS us FROM ms",
+        "scl_s12_symbols": f"WITH {MASTER} SELECT symbol, symbol AS base, lpad(p_partkey::VARCHAR, greatest(length(p_partkey::VARCHAR), 6)::INT, '0') AS code, CASE WHEN p_partkey % 5 = 0 THEN 'BRKB' ELSE symbol END AS us FROM ms",
         "scl_s11_numbers": "SELECT o_orderkey, CASE WHEN o_custkey % 7 <> 0 THEN CASE WHEN o_custkey % 2 = 0 THEN -o_totalprice ELSE o_totalprice END END AS value, CASE WHEN o_custkey % 7 <> 0 THEN o_totalprice END AS magnitude FROM orders",
         "str1_closed_buckets": """SELECT event_type AS symbol, epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS bucket, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, row(ts, event_id)) AS close,
  count(*)::DOUBLE AS volume, count(*) AS trades FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-20 12:30:00' GROUP BY event_type, time_bucket(INTERVAL 1 HOUR, ts)""",

@@ -41,7 +41,7 @@ SOURCES = "['OPENDART', 'SEC_EDGAR', 'NAVER_NEWS', 'GOOGLE_NEWS_RSS', 'GDELT_GKG
 SYMBOL = "CASE WHEN lang = 'de' THEN '*' ELSE 'Brand#' || (doc_id % 25 + 1) END"
 NEWS = f"""nw0 AS (SELECT *, CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) AS sn, {fold('text')} AS ft, {norm('text')} AS title_key,
  {SYMBOL} AS symbol FROM documents),
-nw AS (SELECT 'evt_' || lpad(doc_id::VARCHAR, 9, '0') AS event_id, CASE WHEN lang = 'de' OR (doc_id % 25 + 1) % 2 = 0 THEN 'KR' ELSE 'US' END AS market, symbol,
+nw AS (SELECT 'evt_' || lpad(doc_id::VARCHAR, greatest(length(doc_id::VARCHAR), 9)::INT, '0') AS event_id, CASE WHEN lang = 'de' OR (doc_id % 25 + 1) % 2 = 0 THEN 'KR' ELSE 'US' END AS market, symbol,
  TIMESTAMP '2024-01-01' + to_minutes(doc_id) AS event_time,
  CASE WHEN doc_id % 11 <> 0 THEN TIMESTAMP '2024-01-01' + to_minutes(doc_id) + to_hours((doc_id % 7 - 1)::INT) END AS first_seen_at,
  {SOURCES}[sn % 6 + 1] AS source_type,
@@ -132,7 +132,7 @@ def oracles() -> dict[str, str]:
         "scl_s3_similarity": f"""WITH d AS (SELECT doc_id, source, {tok} AS tok FROM documents), f AS (SELECT source, arg_min(tok, doc_id) AS first FROM d GROUP BY source)
  SELECT doc_id, round(CASE WHEN len(tok) = 0 OR len(first) = 0 THEN 0 ELSE len(list_intersect(tok, first)) / len(list_distinct(list_concat(tok, first))) END, 4) AS similarity FROM d JOIN f USING (source)""",
         "scl_s4_numeric_facts": f"SELECT doc_id, {facts('text')} AS facts FROM documents",
-        "scl_s5_entities": f"""WITH m AS (SELECT 'P' || lpad(p_partkey::VARCHAR, 5, '0') AS symbol, {en} AS n FROM part)
+        "scl_s5_entities": f"""WITH m AS (SELECT 'P' || lpad(p_partkey::VARCHAR, greatest(length(p_partkey::VARCHAR), 5)::INT, '0') AS symbol, {en} AS n FROM part)
  SELECT symbol, {ent("n || ' Co., Ltd.'")} AS entity, trim(regexp_replace({ent("n || ' Co., Ltd.'")}, '(?:(?:^| )(?:{"|".join(fixed.LEGAL_SUFFIXES)}))+$', '')) AS root, true AS named FROM m""",
         "scl_s6_alias": f"SELECT doc_id, {sq('source')} = 'src7' AS by_source, contains({sq('text')}, 'ation') AS by_word, {sq('text')} = 'src' AS short_alias FROM documents",
         "scl_s7_urls": f"SELECT page_id, {plain_url} AS canonical, CASE WHEN contains(url, '#') THEN {plain_url} ELSE {extra_url} END AS tracked FROM pages",

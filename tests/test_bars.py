@@ -227,3 +227,31 @@ def test_context_gates_differ_by_market(spark):
     got = {(r["market"], r["label"]): (r["action"], r["confidence"], r["n_blocks"]) for r in df.select("*", *[v.alias(k) for k, v in gate.items()]).collect()}
     assert got == {("US", "mixed"): ("wait", "medium", 1), ("KR", "mixed"): ("wait", "medium", 0),
                    ("US", "both_up"): ("interest", "high", 0), ("KR", "unknown"): ("wait", "medium", 1)}
+
+
+def test_weekly_context_of_few_rows(spark):
+    """The weeks of a subset of rows are those of all rows: last row, every 5th, every 20th."""
+    from barlens.operators import context
+
+    bars = _weekday_bars(spark)
+    every = {(r["session_date"]): r["week"] for r in context.completed_week(bars, bars).collect()}
+    days = sorted(every)
+    for some in (days[-1:], days[::5], days[::20]):
+        rows = bars.filter(bars["session_date"].isin(some))
+        assert {r["session_date"]: r["week"] for r in context.completed_week(rows, bars).collect()} == {d: every[d] for d in some}
+
+
+def test_long_keys_stay_distinct(spark):
+    from barlens.sources.driver_tables import padded
+    from pyspark.sql import functions as F
+
+    got = [r[0] for r in spark.createDataFrame([(7,), (10000,), (100000,)], "k bigint").select(padded(F.col("k"), 5)).collect()]
+    assert got == ["00007", "10000", "100000"]
+
+
+def _weekday_bars(spark):
+    import datetime
+
+    first = datetime.date(2024, 1, 1)
+    days = [first + datetime.timedelta(d) for d in range(0, 120) if (first + datetime.timedelta(d)).weekday() < 5]
+    return spark.createDataFrame([("US", "A", d) for d in days], "market string, symbol string, session_date date")
