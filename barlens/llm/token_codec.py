@@ -18,9 +18,13 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 #: Words in the lexicon at most.
-LEXICON_WORDS = 65_536
+LEXICON_WORDS = 131_072
 #: Words a task counts before it hands them on, and word encodings a task remembers.
 COUNT_FLUSH, REMEMBERED = 400_000, 300_000
+#: Pieces of up to so many bytes look through all their pairs for the next merge; longer ones keep a heap.
+SHORT = 24
+#: Texts handled together: bounds what a task holds beside an Arrow batch.
+GROUP = 256
 #: How byte-level vocabularies cut text before merging: a fixed value of the format.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -51,7 +55,15 @@ class Vocabulary:
     def merged(self, piece: bytes) -> tuple[int, ...]:
         """Apply the lowest-ranked merge, leftmost first, until none applies."""
         ids = [self.single[b] for b in piece]
-        if len(ids) < 2:
+        if len(ids) <= SHORT:
+            get, none = self.merges.get, (len(self.merges), 0)
+            while len(ids) > 1:
+                found = [get(pair, none) for pair in zip(ids, ids[1:])]
+                best = min(found)
+                if best is none:
+                    break
+                i = found.index(best)
+                ids[i:i + 2] = [best[1]]
             return tuple(ids)
         after = list(range(1, len(ids))) + [-1]
         before = list(range(-1, len(ids) - 1))
@@ -221,6 +233,12 @@ class Encoder:
         return np.fromiter(chain.from_iterable(out), np.int32)
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, max(1, len(batch)), GROUP):
+            yield batch.slice(at, GROUP)
+
+
 def word_counts(articles: DataFrame) -> DataFrame:
     """(word, n) over all whole titles; tasks count before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +293,7 @@ def encode_articles(articles: DataFrame, tokenizer: str, lexicon_words: int = LE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary(shared.value), _mapped(name))
-        for batch in batches:
+        for batch in _groups(batches):
             ids = [encoder.encode(t.as_py() or "") for t in batch.column("title")]
             offsets = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
@@ -296,11 +314,11 @@ def decode_articles(encoded: DataFrame, tokenizer: str) -> DataFrame:
     rows = encoded.select(*columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = vocabulary(shared.value).bytes_of
-        for batch in batches:
-            column = batch.column("token_ids")
-            flat, offsets = column.values.to_pylist(), column.offsets.to_pylist()
-            texts = [b"".join(map(table.__getitem__, flat[a:b])).decode("utf-8", "replace") for a, b in zip(offsets, offsets[1:])]
+        known = vocabulary(shared.value).bytes_of
+        table = [known.get(i, b"") for i in range(max(known) + 1)]
+        for batch in _groups(batches):
+            texts = [b"".join(map(table.__getitem__, ids.values.to_numpy().tolist())).decode("utf-8", "replace") if ids.is_valid else ""
+                     for ids in batch.column("token_ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*columns, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
