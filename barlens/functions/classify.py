@@ -102,7 +102,7 @@ def company_relevance(title: Column, company: Column, symbol: Column, aliases: C
                         found.alias("matches"), as_col(reason).alias("reason"))
 
     return (
-        F.when(affiliate, verdict(False, "REJECTED_GENERIC", default_scope, nothing, "different_affiliate"))
+        F.when(affiliate, verdict(False, "REJECTED_GENERIC", default_scope, nothing, "different_samsung_affiliate"))
         .when(accepted, verdict(True, "DIRECT_COMPANY", "COMPANY", matches, "exact_company_name_or_verified_alias"))
         .otherwise(verdict(
             False, F.when(product | ticker, "REJECTED_GENERIC").otherwise("UNASSESSED"), default_scope, matches,

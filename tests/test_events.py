@@ -81,7 +81,7 @@ def test_visibility_reasons(spark):
     ("Apple unveils iPhone as revenue grows", "Apple Inc", "AAPL", [], True, "exact_company_name_or_verified_alias"),
     ("Shares of ($AAPL) in focus", "Apple Inc", "AAPL", [], False, "ticker_only_low_trust"),
     ("Microsoft Office tips for teams", "Microsoft", "MSFT", [], False, "product_only_context"),
-    ("삼성생명 실적 발표", "삼성전자", "005930", [], False, "different_affiliate"),
+    ("삼성생명 실적 발표", "삼성전자", "005930", [], False, "different_samsung_affiliate"),
 ])
 def test_company_relevance(spark, title, name, symbol, aliases, accepted, reason):
     none = F.array().cast("array<string>")
