@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import json
 import os
+import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -21,12 +22,13 @@ from pyspark.sql import DataFrame, functions as F
 LEXICON_WORDS = 131_072
 #: Words a task counts before it hands them on, and word encodings a task remembers.
 COUNT_FLUSH, REMEMBERED = 400_000, 300_000
-#: Pieces of up to so many bytes look through all their pairs for the next merge; longer ones keep a heap.
-SHORT = 24
-#: Texts handled together: bounds what a task holds beside an Arrow batch.
-GROUP = 256
+#: Pieces of up to so many bytes are merged together in arrays; longer ones keep a heap each.
+SHORT = 64
+#: Texts and characters handled together: bounds what a task holds beside an Arrow batch.
+GROUP, GROUP_CHARS = 256, 1 << 20
 #: How byte-level vocabularies cut text before merging: a fixed value of the format.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+DOUBLE_SPACE = re.compile(r"\s\s")
 
 
 def byte_letters() -> list[str]:
@@ -47,6 +49,15 @@ class Vocabulary:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in told["model"]["merges"]]
         self.single = [ids[letter] for letter in byte_letters()]
         self.merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        # The same merges as arrays: keys of pairs in order, their ranks, and what each rank makes.
+        self.width = max(ids.values()) + 1
+        keys = np.fromiter((a * self.width + b for a, b in self.merges), np.int64, len(self.merges))
+        ranks = np.fromiter((rank for rank, _ in self.merges.values()), np.int64, len(self.merges))
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks, self.none = keys[order], ranks[order], len(pairs)
+        self.made = np.zeros(len(pairs), np.int32)
+        self.made[ranks] = [new for _, new in self.merges.values()]
+        self.letters = np.array(self.single, np.int32)
         self.added = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.bytes_of = {i: raw(t) for t, i in ids.items() if t not in self.added} | {i: t.encode() for t, i in self.added.items()}
         self.pieces = regex.compile(PIECES)
@@ -55,16 +66,6 @@ class Vocabulary:
     def merged(self, piece: bytes) -> tuple[int, ...]:
         """Apply the lowest-ranked merge, leftmost first, until none applies."""
         ids = [self.single[b] for b in piece]
-        if len(ids) <= SHORT:
-            get, none = self.merges.get, (len(self.merges), 0)
-            while len(ids) > 1:
-                found = [get(pair, none) for pair in zip(ids, ids[1:])]
-                best = min(found)
-                if best is none:
-                    break
-                i = found.index(best)
-                ids[i:i + 2] = [best[1]]
-            return tuple(ids)
         after = list(range(1, len(ids))) + [-1]
         before = list(range(-1, len(ids) - 1))
         found = self.merges.get
@@ -84,6 +85,50 @@ class Vocabulary:
                 heapq.heappush(heap, (m[0], k, ids[k], new, m[1]))
         return tuple(i for i in ids if i >= 0)
 
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if not self.none:
+            return np.full(len(left), self.none)
+        key = left.astype(np.int64) * self.width + right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], self.none)
+
+    def merged_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``merged`` of many pieces: their ids one after the other, and how many each has.
+
+        Every round applies to each piece its lowest-ranked merge, leftmost first; pieces
+        without one leave."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ids = self.letters[np.frombuffer(b"".join(pieces), np.uint8)]
+        own = np.repeat(np.arange(len(pieces)), sizes)
+        rank = np.full(len(ids), self.none)
+        inside = np.flatnonzero(own[1:] == own[:-1])
+        rank[inside] = self.rank_of(ids[inside], ids[inside + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            low = np.minimum.reduceat(rank, starts)
+            sizes = np.diff(np.append(starts, len(ids)))
+            if (low == self.none).any():
+                stays = np.repeat(low < self.none, sizes)
+                done.append((ids[~stays], own[~stays]))
+                ids, own, rank = ids[stays], own[stays], rank[stays]
+                sizes, low = sizes[low < self.none], low[low < self.none]
+            at = np.flatnonzero(rank == np.repeat(low, sizes))
+            at = at[np.append(True, own[at[1:]] != own[at[:-1]])] if len(at) else at
+            ids[at] = self.made[rank[at]]
+            stays = np.ones(len(ids), bool)
+            stays[at + 1] = False
+            ids, own, rank = ids[stays], own[stays], rank[stays]
+            at -= np.arange(len(at))
+            rank[at] = self.none
+            left = np.concatenate([at[at + 1 < len(ids)], at[at > 0] - 1])
+            left = left[own[left] == own[left + 1]]
+            rank[left] = self.rank_of(ids[left], ids[left + 1])
+        if not done:
+            return np.empty(0, np.int32), np.zeros(len(pieces), np.int64)
+        ids, own = (np.concatenate(part) for part in zip(*done, strict=True))
+        return ids[np.argsort(own, kind="stable")], np.bincount(own, minlength=len(pieces))
+
 
 @cache
 def vocabulary(text: str) -> Vocabulary:
@@ -92,6 +137,11 @@ def vocabulary(text: str) -> Vocabulary:
 
 def words(text: str) -> list[str]:
     """Cut before single spaces between other characters; tokens never cross such a place."""
+    if not text:
+        return []
+    if text[0] != " " and text[-1] != " " and not DOUBLE_SPACE.search(text):
+        first, *others = text.split(" ")
+        return [first, *map(" ".__add__, others)]
     out: list[str] = []
     joined = False  # the last word cannot end here: white space stands at the cut
     for k, part in enumerate(text.split(" ")):
@@ -168,8 +218,8 @@ class Lexicon:
         return np.concatenate([head, np.ascontiguousarray(table[:, 0]).view(np.int32), table[:, 1].astype(np.int32), table[:, 2].astype(np.int32),
                                final, starts.astype(np.int32), ids])
 
-    def find(self, words: list[bytes]) -> list[tuple[int, ...] | None]:
-        """Ids of each word, or None where the lexicon lacks it; all words walk together."""
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word, or -1 where the lexicon lacks it; all words walk together."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         flat, begins = np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths
         state, number = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
@@ -185,9 +235,11 @@ class Lexicon:
             number[alive] += self.adds[at]
             state[alive] = self.target[at]
             step += 1
-        found = ~lost & (self.final[state] == 1)
-        starts, ids = self.starts, self.ids
-        return [tuple(ids[starts[n]:starts[n + 1]].tolist()) if f else None for f, n in zip(found.tolist(), number.tolist(), strict=True)]
+        return np.where(~lost & (self.final[state] == 1), number, -1)
+
+    def find(self, words: list[bytes]) -> list[tuple[int, ...] | None]:
+        """Ids of each word, or None where the lexicon lacks it."""
+        return [tuple(self.ids[self.starts[n]:self.starts[n + 1]].tolist()) if n >= 0 else None for n in self.numbers(words).tolist()]
 
 
 @lru_cache(maxsize=1)
@@ -195,42 +247,97 @@ def _mapped(name: str) -> Lexicon:
     return Lexicon(np.memmap(SparkFiles.get(name), np.int32, "r"))
 
 
+def taken(ids: np.ndarray, starts: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``ids[starts[n]:starts[n + 1]]`` of all ``numbers``, one after the other, and their lengths."""
+    begins = starts[numbers].astype(np.int64)
+    lengths = starts[numbers + 1] - begins
+    at = np.arange(lengths.sum()) + np.repeat(begins - (np.cumsum(lengths) - lengths), lengths)
+    return ids[at], lengths
+
+
+class Memory:
+    """Encodings by string, in one array of ids."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def add(self, strings: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.number.update(zip(strings, range(len(self.number), len(self.number) + len(strings)), strict=True))
+        self.ids = np.concatenate([self.ids, ids])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+
+    def of(self, strings: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        return taken(self.ids, self.starts, np.fromiter(map(self.number.__getitem__, strings), np.int64))
+
+
 class Encoder:
     def __init__(self, vocab: Vocabulary, lexicon: Lexicon) -> None:
         self.vocab, self.lexicon = vocab, lexicon
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.piece_ids: dict[str, tuple[int, ...]] = {}
-
-    def _learn(self, new: Iterable[str]) -> None:
-        new = list(new)
-        for word, ids in zip(new, self.lexicon.find([w.encode() for w in new]), strict=True):
-            self.known[word] = self.exact(word) if ids is None else ids
-
-    def exact(self, word: str) -> tuple[int, ...]:
-        out: tuple[int, ...] = ()
-        for piece in self.vocab.pieces.findall(word):
-            ids = self.piece_ids.get(piece)
-            if ids is None:
-                if len(self.piece_ids) > REMEMBERED:
-                    self.piece_ids.clear()
-                ids = self.piece_ids[piece] = self.vocab.merged(piece.encode())
-            out += ids
-        return out
-
-    def encode(self, text: str) -> np.ndarray:
-        parts = [text] if self.vocab.split_added is None else self.vocab.split_added.split(text)
-        out: list[Iterable[int]] = []
-        for part in parts:
-            if part in self.vocab.added:
-                out.append((self.vocab.added[part],))
-            elif part:
-                cut = words(part)
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-                if new := set(cut).difference(self.known):
-                    self._learn(new)
-                out.append(chain.from_iterable(map(self.known.__getitem__, cut)))
-        return np.fromiter(chain.from_iterable(out), np.int32)
+        self.words, self.pieces = Memory(), Memory()
+
+    def exact(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and lengths of ``words`` by merging alone."""
+        cut = list(map(self.vocab.pieces.findall, words))
+        if len(self.pieces.number) > REMEMBERED:
+            self.pieces.clear()
+        new = list(set(chain.from_iterable(cut)).difference(self.pieces.number))
+        raw = [piece.encode() for piece in new]
+        short = [k for k, piece in enumerate(raw) if len(piece) <= SHORT]
+        self.pieces.add([new[k] for k in short], *self.vocab.merged_all([raw[k] for k in short]))
+        for k in set(range(len(raw))).difference(short):
+            ids = np.array(self.vocab.merged(raw[k]), np.int32)
+            self.pieces.add([new[k]], ids, np.array([len(ids)]))
+        ids, lengths = self.pieces.of(chain.from_iterable(cut))
+        ends = np.append(0, np.cumsum(lengths))[np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))]
+        return ids, np.diff(ends, prepend=0)
+
+    def _learn(self, new: list[str]) -> None:
+        numbers = self.lexicon.numbers([w.encode() for w in new])
+        known, lacking = np.flatnonzero(numbers >= 0), np.flatnonzero(numbers < 0)
+        self.words.add([new[k] for k in known], *taken(self.lexicon.ids, self.lexicon.starts, numbers[known]))
+        rare = [new[k] for k in lacking]
+        self.words.add(rare, *self.exact(rare))
+
+    def _cut(self, text: str) -> list[str]:
+        if self.vocab.split_added is None:
+            return words(text)
+        # An added token inside a text is a word of its own.
+        parts = self.vocab.split_added.split(text)
+        return words(text) if len(parts) == 1 else [
+            w for part in parts for w in ([part] if part in self.vocab.added else words(part))]
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``texts``, one after the other, and how many each has."""
+        cut = list(map(self._cut, texts))
+        new = set().union(*cut).difference(self.words.number)
+        if len(self.words.number) + len(new) > REMEMBERED:
+            self.words.clear()
+            new = set().union(*cut)
+        added = [w for w in new if w in self.vocab.added]
+        self.words.add(added, np.array([self.vocab.added[w] for w in added], np.int32), np.ones(len(added), np.int64))
+        self._learn(list(new.difference(added)))
+        ids, lengths = self.words.of(chain.from_iterable(cut))
+        ends = np.append(0, np.cumsum(lengths))[np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))]
+        return ids, np.diff(ends, prepend=0)
+
+    def encode_in_parts(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` in parts of about ``GROUP_CHARS`` characters."""
+        made: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int32), np.empty(0, np.int64))]
+        part: list[str] = []
+        held = 0
+        for text in texts:
+            part.append(text)
+            held += len(text)
+            if held > GROUP_CHARS:
+                made.append(self.encode(part))
+                part, held = [], 0
+        made.append(self.encode(part))
+        ids, lengths = zip(*made, strict=True)
+        return np.concatenate(ids), np.concatenate(lengths)
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +387,10 @@ def encode_articles(articles: DataFrame, tokenizer: str, lexicon_words: int = LE
         text = file.read()
     vocab = vocabulary(text)
     exact = Encoder(vocab, Lexicon(Lexicon.compiled({})))
-    table = Lexicon.compiled({w.encode(): exact.exact(w) for w in frequent_words(articles, lexicon_words) if w})
+    frequent = [w for w in frequent_words(articles, lexicon_words) if w]
+    ids, lengths = exact.exact(frequent)
+    ends = np.cumsum(lengths)[:-1] if frequent else []
+    table = Lexicon.compiled({w.encode(): tuple(run.tolist()) for w, run in zip(frequent, np.split(ids, ends))})
     sc = articles.sparkSession.sparkContext
     # The driver serves this file to the executors; nothing else reads it.
     handle, path = tempfile.mkstemp(prefix="lexicon-")
@@ -294,10 +404,8 @@ def encode_articles(articles: DataFrame, tokenizer: str, lexicon_words: int = LE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary(shared.value), _mapped(name))
         for batch in _groups(batches):
-            ids = [encoder.encode(t.as_py() or "") for t in batch.column("title")]
-            offsets = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-            made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            ids, lengths = encoder.encode_in_parts(t.as_py() or "" for t in batch.column("title"))
+            made = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*columns, "token_ids"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
