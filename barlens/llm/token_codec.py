@@ -18,6 +18,8 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
+from barlens.session import stored
+
 #: Words in the lexicon at most.
 LEXICON_WORDS = 131_072
 #: Words a task counts before it hands them on, and word encodings a task remembers.
@@ -367,7 +369,21 @@ def word_counts(articles: DataFrame) -> DataFrame:
 
 
 def frequent_words(articles: DataFrame, limit: int) -> list[str]:
-    return [r["word"] for r in word_counts(articles).filter("n > 1").orderBy(F.desc("n"), "word").limit(limit).collect()]
+    """The most frequent words, ``limit`` at most.
+
+    Counts fall into levels, sixteen to a doubling; whole levels are taken while they fit,
+    so that no more than ``limit`` words ever reach the driver."""
+    counts = word_counts(articles).filter("n > 1").withColumn("level", F.floor(16 * F.log2("n")).cast("int"))
+    counts = stored(counts, "word-counts")
+    fitting = None
+    for r in counts.groupBy("level").count().orderBy(F.desc("level")).collect():
+        limit -= r["count"]
+        if limit < 0:
+            break
+        fitting = r["level"]
+    if fitting is None:
+        return []
+    return [r["word"] for r in counts.filter(F.col("level") >= fitting).select("word").collect()]
 
 
 def encode_articles(articles: DataFrame, tokenizer: str, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
