@@ -152,12 +152,14 @@ def universe_stats(candidates: DataFrame, selected: DataFrame) -> DataFrame:
 def board_candidates(ranks: DataFrame, master: DataFrame, min_price: float = 1000.0) -> DataFrame:
     """Per-board turnover ranks joined to the master on code and board; best score per symbol.
 
+    Of equal scores the better position counts, then the board later by name.
     ``ranks``: as_of, board, stk_cd, cur_prc, position.
     """
     r = ranks.select("as_of", "board", base_symbol(F.col("stk_cd")).alias("symbol"), F.abs("cur_prc").alias("price"), "position")
     j = r.join(master, "symbol").filter((F.col("exchange") == F.col("board")) & (F.col("price") >= min_price))
     j = j.withColumn("rank_score", F.greatest(F.lit(0.0), 500.0 - F.col("position")))
-    best = j.groupBy("as_of", "symbol").agg(F.max_by(F.struct("board", "price", "position", "sector", "rank_score"), F.col("rank_score")).alias("b"))
+    best = j.groupBy("as_of", "symbol").agg(F.max_by(F.struct("board", "price", "position", "sector", "rank_score"),
+                                                      F.struct(F.col("rank_score"), -F.col("position"), F.col("board"))).alias("b"))
     return best.select("as_of", "symbol", "b.*")
 
 
