@@ -68,6 +68,11 @@ def bucket_counts(scanned: DataFrame) -> DataFrame:
 
 
 def bucket_lists(scanned: DataFrame) -> DataFrame:
-    """The report lists: the first 80 interest, 60 wait and 40 avoid rows."""
-    limit = F.create_map(*[x for k, v in BUCKET_LIMITS.items() for x in (F.lit(k), F.lit(v))])
-    return scanned.filter(F.col("bucket_position") <= F.element_at(limit, F.col("final_action")))
+    """The report lists: the first 80 interest, 60 wait and 40 avoid rows.
+
+    A row with any other action fails the job: it belongs to no list."""
+    limit = F.lit(None).cast("int")
+    for action, rows in BUCKET_LIMITS.items():
+        limit = F.when(F.col("final_action") == action, rows).otherwise(limit)
+    unknown = F.raise_error(F.concat(F.lit("unknown action: "), F.coalesce("final_action", F.lit("null")))).cast("int")
+    return scanned.filter(F.col("bucket_position") <= F.coalesce(limit, unknown))
