@@ -17,20 +17,33 @@ def _stem() -> Column:
 
 
 def price_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Price files; the date column may be called timestamp, date or datetime.
+    """Price files, each read by its own header; the date is the first of timestamp, date, datetime.
 
-    A date that cannot be read fails the job: a silent gap would shift every window.
+    Files may differ in the order and number of their columns; a file without a date
+    column gives no rows.  A date that cannot be read fails the job: a silent gap would
+    shift every window.  Quoted fields hold no line breaks.
     """
-    raw = spark.read.option("header", True).csv(path)
-    dated = [F.col(c) for c in ("timestamp", "date", "datetime") if c in raw.columns]
-    if not dated:
-        raise ValueError("no date column")
-    day = F.coalesce(*dated)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select(
+        F.regexp_replace("value", "^\ufeff", "").alias("value"), F.col("_metadata.file_path").alias("file"), _stem().alias("stem"), place.alias("place"),
+    ).filter(F.trim("value") != "")
+    heads = lines.groupBy("file").agg(F.min("place").alias("top"), F.min_by("value", "place").alias("head")).select(
+        "file", "top", F.transform(F.split("head", ","), lambda c: F.regexp_replace(c, '^"(.*)"$', "$1")).alias("names"))
+    # Column names only: as many as the formats have, however many the files.
+    seen = heads.select(F.size("names").alias("width"), F.explode("names").alias("name")).agg(F.max("width").alias("width"), F.collect_set("name").alias("names")).first()
+    wanted = [c for c in AMOUNTS if c in seen["names"]] + sorted(c for c in seen["names"] if c.startswith(("raw_", "adjusted_", "adjustment_")))
+    fields = F.from_csv(F.col("value"), ", ".join(f"c{k} string" for k in range(seen["width"] or 1)))
+    rows = lines.join(heads, "file").filter(F.col("place") > F.col("top")).withColumn("row", fields)
+    rows = rows.withColumn("cells", F.array(*[F.col(f"row.c{k}") for k in range(seen["width"] or 1)]))
+
+    def at(name: str) -> Column:
+        return F.nullif(F.array_position("names", F.lit(name)), F.lit(0)).cast("int") - 1
+
+    rows = rows.withColumn("_date", F.coalesce(*[at(c) for c in ("timestamp", "date", "datetime")])).filter("_date is not null")
+    day = F.get("cells", F.col("_date"))
     parsed = day.try_cast("date")
     parsed = F.when(day.isNotNull() & parsed.isNull(), F.raise_error(F.concat(F.lit("bad date: "), day)).cast("date")).otherwise(parsed)
-    extra = [c for c in raw.columns if c.startswith(("raw_", "adjusted_", "adjustment_"))]
-    nums = [F.col(c).try_cast("double").alias(c) for c in (*AMOUNTS, *extra) if c in raw.columns]
-    return raw.select(F.upper(_stem()).alias("stem"), parsed.alias("session_date"), *nums)
+    return rows.select(F.upper("stem").alias("stem"), parsed.alias("session_date"), *[F.get("cells", at(c)).try_cast("double").alias(c) for c in wanted])
 
 
 def truthy(value: Column) -> Column:
