@@ -287,11 +287,36 @@ def ingest(incoming: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def touched(store: DataFrame, new: DataFrame) -> DataFrame:
-    """Stored events a new event can still cluster with: same key, at most 36 hours apart."""
-    reach = F.expr(f"interval {WINDOW_HOURS} hours")
-    span = new.groupBy(*SCOPE, "event_type").agg(F.min("event_time").alias("lo"), F.max("event_time").alias("hi"))
-    return store.join(span, [*SCOPE, "event_type"]).filter(
-        (F.col("event_time") >= F.col("lo") - reach) & (F.col("event_time") <= F.col("hi") + reach)).drop("lo", "hi")
+    """Stored events whose clusters a new event can bear on.
+
+    Rows of one market, symbol and type more than 36 hours apart never match, so
+    clusters stay inside runs without such a gap: all rows of a run that holds a new
+    event are taken, its first leader included, and nothing of the other runs.
+    """
+    group = [*SCOPE, "event_type"]
+    marks = store.select(*group, "event_id", "event_time", F.lit(0).alias("_new")).unionByName(
+        new.select(*group, "event_id", "event_time", F.lit(1).alias("_new")))
+    # A group without new events cannot change.
+    marks = marks.join(new.select(*group).distinct(), group, "left_semi")
+    turn = Window.partitionBy(*group).orderBy("event_time", "event_id")
+    gap = F.unix_micros("event_time") - F.unix_micros(F.lag("event_time").over(turn)) > WINDOW_HOURS * 3_600_000_000
+    runs = marks.withColumn("_gap", F.coalesce(gap.cast("int"), F.lit(0))).withColumn("_run", F.sum("_gap").over(turn))
+    hit = runs.filter("_new = 1").select(*group, "_run").distinct()
+    ids = runs.filter("_new = 0").join(hit, [*group, "_run"], "left_semi").select("event_id")
+    return store.join(ids, "event_id", "left_semi")
+
+
+def ingest_clustered(incoming: DataFrame, store: DataFrame) -> DataFrame:
+    """Events to append, each with its cluster_id and cluster_method.
+
+    They are clustered together with the stored events they can meet; stored events
+    keep the cluster they were given.
+    """
+    plain = [c for c in incoming.columns if c not in ("cluster_id", "cluster_method")]
+    new = cut(ingest(incoming.select(*plain), store).select(*plain))
+    near = touched(store, new).select(*plain)
+    found = cluster(near.unionByName(new)).select("event_id", "cluster_id", "cluster_method")
+    return new.join(found, "event_id")
 
 
 # ---- headlines ------------------------------------------------------------------------------------

@@ -36,20 +36,22 @@ def first_observations(events: DataFrame, delay: str = "36 hours") -> DataFrame:
 
 
 def ingest_batch(batch: DataFrame, store_path: str) -> None:
-    """Append the articles of one micro-batch that nothing in the store matches.
+    """Append the articles of one micro-batch that nothing in the store matches, with their clusters.
 
     Rerunning a batch appends nothing: its rows then match themselves by id.
     """
     spark = batch.sparkSession
     prepared = ev.prepared_events(batch)
+    stored = prepared.schema
+    for name in ("cluster_id", "cluster_method"):
+        stored = stored.add(name, "string")
     try:
-        store = spark.read.schema(prepared.schema).parquet(store_path)
-        new = ev.ingest(prepared, store)
+        store = spark.read.schema(stored).parquet(store_path)
     except Exception as error:  # first batch: no folder yet
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        new = ev.deduplicate(prepared)
-    new.select(*prepared.columns).write.mode("append").parquet(store_path)
+        store = spark.createDataFrame([], stored)
+    ev.ingest_clustered(prepared, store).select(*stored.names).write.mode("append").parquet(store_path)
 
 
 def ingest_stream(events: DataFrame, store_path: str, checkpoint: str) -> StreamingQuery:
@@ -59,7 +61,7 @@ def ingest_stream(events: DataFrame, store_path: str, checkpoint: str) -> Stream
 
 
 def clusters_touched(store: DataFrame, new: DataFrame) -> DataFrame:
-    """Re-cluster only what new events can change: same key within 36 hours."""
+    """Clusters of all events in the runs that new events fall into; other runs keep theirs."""
     near = ev.touched(store, new)
     return ev.cluster(near.unionByName(new.select(*near.columns)).dropDuplicates(["event_id"]))
 

@@ -69,6 +69,34 @@ def test_cluster_rounds_do_not_change_the_result(spark):
     assert small == large and len(small) == 60
 
 
+CHAIN = "Acme wins supply contract in Spain"
+
+
+def test_touched_clusters_keep_their_leaders(spark):
+    # e1 leads e2; e3 is too far from e1, and e2 is no leader: e3 leads.
+    rows = [event(1, CHAIN, minutes=0), event(2, CHAIN + " today", minutes=30 * 60), event(3, CHAIN + " now", minutes=60 * 60),
+            event(4, CHAIN + " again", minutes=400 * 60), event(5, CHAIN, minutes=0, symbol="BBB")]
+    ready = made(spark, rows)
+    whole = {r["event_id"]: (r["leader_id"], r["cluster_id"], r["cluster_method"]) for r in ev.cluster(ready).collect()}
+    assert whole["e002"][0] == "e001" and whole["e003"][0] == "e003"
+    late = ready.filter("event_id = 'e003'")
+    got = {r["event_id"]: (r["leader_id"], r["cluster_id"], r["cluster_method"]) for r in jobs.clusters_touched(ready.filter("event_id <> 'e003'"), late).collect()}
+    assert got == {k: whole[k] for k in ("e001", "e002", "e003")}
+
+
+def test_ingest_in_batches_gives_the_clusters_of_one_run(spark, tmp_path):
+    g = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    rows = [event(k, " ".join(g.sample(words, 4)) + " " + chr(97 + k) * 5, minutes=k * 200 + g.randint(0, 900), symbol=g.choice(["AAA", "BBB"])) for k in range(24)]
+    want = {(r["event_id"], r["cluster_id"], r["cluster_method"]) for r in ev.cluster(ev.deduplicate(made(spark, rows))).collect()}
+    by_time = sorted(rows, key=lambda r: (r[3], r[0]))
+    folder = str(tmp_path / "store")
+    for part in (by_time[:9], by_time[9:17], by_time[9:17], by_time[17:]):  # a repeated batch adds nothing
+        jobs.ingest_batch(spark.createDataFrame(part, SCHEMA), folder)
+    got = [(r["event_id"], r["cluster_id"], r["cluster_method"]) for r in spark.read.parquet(folder).collect()]
+    assert len(got) == len(want) == 24 and set(got) == want and len({c for _, c, _ in got}) < 24
+
+
 def test_visibility_reasons(spark):
     rows = spark.createDataFrame([(T0, T0), (T0 + dt.timedelta(hours=2), T0), (T0, T0 + dt.timedelta(hours=2)), (T0, None)], "event_time timestamp, first_seen_at timestamp")
     got = [r[0] for r in rows.select(ev.visibility(F.lit("2024-06-03 01:00:00").cast("timestamp"))).collect()]
@@ -170,6 +198,18 @@ def test_price_files_and_dataset(spark, tmp_path):
     assert rows["US"]["symbol"] == "*" and rows["KR"]["environment_score"] == 50 and rows["KR"]["generated_at"] is None
 
 
+def test_price_files_have_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("date,open,high,low,close,volume\n2024-01-02,1,4,0.5,3,10\n")
+    (tmp_path / "b.csv").write_text('close,"timestamp",open,low,high,raw_close\n30,2024-01-03,10,5,40,31\n\n30,"2024-01-04",11,5,40,\n')
+    (tmp_path / "c.csv").write_text("\ufeffdatetime,date,close\n2024-01-05,2024-01-06,7\n")
+    (tmp_path / "d.csv").write_text("open,close\n1,2\n")
+    (tmp_path / "e.csv").write_text("")
+    rows = files.price_csv(spark, str(tmp_path / "*.csv")).collect()
+    got = sorted((r["stem"], str(r["session_date"]), r["open"], r["high"], r["low"], r["close"], r["volume"], r["raw_close"]) for r in rows)
+    assert got == [("A", "2024-01-02", 1, 4, 0.5, 3, 10, None), ("B", "2024-01-03", 10, 40, 5, 30, None, 31), ("B", "2024-01-04", 11, 40, 5, 30, None, None),
+                   ("C", "2024-01-06", None, None, None, 7, None, None)]
+
+
 def test_quality_codes(spark):
     n = 90
     days = pd.bdate_range("2024-01-02", periods=n).date
