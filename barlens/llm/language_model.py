@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,9 +16,8 @@ from barlens.session import stored
 
 #: Rows of every HELD_OUT-th fold are scored, never learned from.
 HELD_OUT = 10
-#: Contexts: how the word before ends.  There are no more than these.
-KINDS = ("start of the text", "letter beyond ASCII", "sentence end", "other sign", "digit", "vowel", "consonant")
-CONTEXTS = len(KINDS)
+#: Contexts of the small in-memory model that tests enumerate; the corpus has one per word.
+CONTEXTS = 7
 #: Gibbs sweeps, and how many of the first are left out of the average.
 SWEEPS, BURN_IN = 4, 1
 #: Concentrations of the contexts' restaurants and of the one they share.
@@ -27,22 +26,11 @@ CONCENTRATION, SHARED_CONCENTRATION = 5.0, 50.0
 SINGLY = 64
 #: Weight that the base gives a token it never saw.
 ADDED = 0.1
-#: Tokens numbered together, and words remembered by a task.
-BATCH_TOKENS, WORD_CACHE = 5_000_000, 300_000
+#: Tokens numbered together, words remembered by a task, and pairs whose tables a task adds up at a time.
+BATCH_TOKENS, WORD_CACHE, SUMMED = 5_000_000, 300_000, 1_000_000
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word holds a line end
 
 
-def _kind(last: int) -> int:
-    if last >= 128:
-        return 1
-    letter = chr(last)
-    return 2 if letter in ".!?" else 5 if letter in "aeiou" else 6 if letter.isalpha() else 4 if letter.isdigit() else 3
-
-
-#: Context by last byte; 256 stands for the start.
-CONTEXT_OF = np.array([_kind(b) for b in range(256)] + [0], np.int32)
-
-
 def _uniform(*parts: np.ndarray | int) -> np.ndarray:
     x = np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
@@ -73,9 +61,9 @@ def seated(customers: np.ndarray, weight: np.ndarray, discount: float, *key: np.
 def numbered(articles: DataFrame) -> DataFrame:
     """Texts as numbers of (context, word) types, in batches of bounded size.
 
-    Rows are of two kinds: texts (batch, event_id, held_out, tokens) and the batch's types
-    (batch, at, word, context, n), n counting training tokens only.  Frequent types have
-    small numbers."""
+    The context is the word before, or the end of a text before its first word.  Rows are of
+    two kinds: texts (batch, event_id, held_out, tokens) and the batch's types (batch, at,
+    word, context, n), n counting training tokens only.  Frequent types have small numbers."""
     kind = articles.schema["event_id"].dataType
     rows = articles.select("event_id", "title", F.coalesce(fold("event_id", HELD_OUT) == 0, F.lit(False)).alias("held_out"))
     names = ["batch", "event_id", "held_out", "tokens", "at", "word", "context", "n"]
@@ -91,7 +79,7 @@ def numbered(articles: DataFrame) -> DataFrame:
             context = np.concatenate([h[3] for h in held])
             train = np.repeat([not h[1] for h in held], [len(h[2]) for h in held])
             with np.errstate(over="ignore"):
-                both = (word ^ (context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+                both = (word ^ (context * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
             _, first, inverse, counts = np.unique(both, return_index=True, return_inverse=True, return_counts=True)
             order = np.argsort(-counts, kind="stable")
             number = np.empty(len(order), np.int32)
@@ -105,10 +93,10 @@ def numbered(articles: DataFrame) -> DataFrame:
             empty = lambda size, type_: pa.nulls(size, type_)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, batch)), pa.array([h[0] for h in held], ids), pa.array([h[1] for h in held]),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens)), empty(n, pa.int32()), empty(n, pa.int64()), empty(n, pa.int32()), empty(n, pa.int64())], names)
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens)), empty(n, pa.int32()), empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.int64())], names)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(m, batch)), empty(m, ids), empty(m, pa.bool_()), empty(m, pa.list_(pa.int32())), pa.array(np.arange(m, dtype=np.int32)),
-                 pa.array(word[first].view(np.int64)), pa.array(context[first]), pa.array(learned)], names)
+                 pa.array(word[first].view(np.int64)), pa.array(context[first].view(np.int64)), pa.array(learned)], names)
 
         for batch in batches:
             ids = batch.schema.field("event_id").type
@@ -121,7 +109,7 @@ def numbered(articles: DataFrame) -> DataFrame:
                 word = np.empty(len(parts) + 1, np.uint64)
                 word[:-1] = np.fromiter(map(known.__getitem__, parts), np.uint64, len(parts))
                 word[-1] = END
-                context = CONTEXT_OF[[256] + [w[-1] for w in parts]]
+                context = np.roll(word, 1)
                 held.append((event_id, out, word, context))
                 total += len(word)
                 if total >= BATCH_TOKENS:
@@ -130,12 +118,31 @@ def numbered(articles: DataFrame) -> DataFrame:
         if held:
             yield from flush()
 
-    return rows.mapInArrow(run, f"batch bigint, event_id {kind.simpleString()}, held_out boolean, tokens array<int>, at int, word bigint, context int, n bigint")
+    return rows.mapInArrow(run, f"batch bigint, event_id {kind.simpleString()}, held_out boolean, tokens array<int>, at int, word bigint, context bigint, n bigint")
+
+
+def shared_probability(joined, tables, totals: tuple[float, float], kinds: int, discount: float):
+    """Of a word in the shared restaurant, whose base is uniform over the words seen and one for all others."""
+    return (joined - discount * tables + (SHARED_CONCENTRATION + discount * totals[1]) / (kinds + 1)) / (SHARED_CONCENTRATION + totals[0])
+
+
+def probability(n: np.ndarray, tables: np.ndarray, all_tables: np.ndarray, customers: np.ndarray, p: np.ndarray, discount: float) -> np.ndarray:
+    """Of dishes in their contexts' restaurants, ``p`` being the shared restaurant's."""
+    return (n - discount * tables + (CONCENTRATION + discount * all_tables) * p) / (CONCENTRATION + customers)
+
+
+def reseated(n: np.ndarray, all_tables: np.ndarray, p: np.ndarray, discount: float, word: np.ndarray, context: np.ndarray, sweep: int) -> np.ndarray:
+    """Tables of dishes, all their customers seated anew given the last sweep's tables."""
+    return seated(n, (CONCENTRATION + discount * all_tables) * p, discount, word, context, sweep)
+
+
+def reseated_shared(joined: np.ndarray, totals: tuple[float, float], kinds: int, discount: float, word: np.ndarray, sweep: int) -> np.ndarray:
+    opened = np.full(len(joined), (SHARED_CONCENTRATION + discount * totals[1]) / (kinds + 1))
+    return seated(joined, opened, discount, word, sweep)
 
 
 class Model:
-    """What all tasks share: counts by context and, for every sweep so far, tables by context,
-    customers and tables of the shared restaurant.  Its size does not depend on the data."""
+    """The same model in memory, contexts being numbers: what ``score_titles`` is held against."""
 
     def __init__(self, tokens: int, kinds: int, customers: np.ndarray, pairs: int, discount: float, shared_discount: float, tables: np.ndarray) -> None:
         self.tokens, self.kinds, self.customers, self.discount, self.shared = tokens, kinds, customers, discount, shared_discount
@@ -143,63 +150,63 @@ class Model:
         self.tables = [tables]
         self.totals = [(float(pairs), float(kinds))]
 
-    def sweeps(self, word: np.ndarray, context: np.ndarray, n: np.ndarray, own: np.ndarray, size: int):
-        """For the dishes given (``own``: which word each belongs to), per sweep that is known:
-        tables, customers and tables in the shared restaurant, and the shared probability before it."""
+    def sweeps(self, word: np.ndarray, context: np.ndarray, n: np.ndarray, own: np.ndarray, size: int, names: np.ndarray | None = None):
+        """For the dishes given (``own``: which word each belongs to; ``names``: of the contexts,
+        if not their numbers), per sweep that is known: tables, customers and tables in the
+        shared restaurant, and the shared probability before it."""
         tables = np.minimum(n, 1).astype(float)
-        uniform = 1.0 / (self.kinds + 1)
         first = np.zeros(size, np.int64)
         first[own[::-1]] = np.arange(len(own))[::-1]
-        for sweep, (by_context, (customers, shared)) in enumerate(zip(self.tables, self.totals, strict=True)):
+        for sweep, (by_context, totals) in enumerate(zip(self.tables, self.totals, strict=True)):
             joined = np.bincount(own, tables, size)
             if sweep == 0:
                 parent_tables = np.minimum(joined, 1)
-            p = (joined - self.shared * parent_tables + (SHARED_CONCENTRATION + self.shared * shared) * uniform) / (SHARED_CONCENTRATION + customers)
+            p = shared_probability(joined, parent_tables, totals, self.kinds, self.shared)
             yield tables, joined, parent_tables, p
-            weight = (CONCENTRATION + self.discount * by_context[context]) * p[own]
-            tables = seated(n, weight, self.discount, word, context, sweep)
+            tables = reseated(n, by_context[context], p[own], self.discount, word, context if names is None else names[context], sweep)
             joined = np.bincount(own, tables, size)
-            opened = np.full(size, (SHARED_CONCENTRATION + self.shared * shared) * uniform)
-            parent_tables = seated(joined, opened, self.shared, word[first], sweep)
+            parent_tables = reseated_shared(joined, totals, self.kinds, self.shared, word[first], sweep)
         yield tables, np.bincount(own, tables, size), parent_tables, None
 
     def predicted(self, context: np.ndarray, n: np.ndarray, own: np.ndarray, sweeps: list) -> np.ndarray:
         """Probability of every dish in its context, averaged over the sweeps after the burn-in."""
         total, kept = np.zeros(len(n)), 0
         for (tables, _, _, p), by_context in list(zip(sweeps, self.tables, strict=False))[BURN_IN + 1:]:
-            all_tables = by_context[context]
-            total += (n - self.discount * tables + (CONCENTRATION + self.discount * all_tables) * p[own]) / (CONCENTRATION + self.customers[context])
+            total += probability(n, tables, by_context[context], self.customers[context], p[own], self.discount)
             kept += 1
         return total / kept
 
 
-def _flat(batch: pa.RecordBatch):
-    dishes = batch.column("dishes")
-    inner, offsets = dishes.values, dishes.offsets.to_numpy()
-    context, n = inner.field("context").to_numpy(), inner.field("n").to_numpy()
-    context, n = context[offsets[0]:offsets[-1]], n[offsets[0]:offsets[-1]]
-    own = np.repeat(np.arange(len(batch)), np.diff(offsets))
-    return batch.column("word").to_numpy()[own].view(np.uint64), context, n, own
-
+def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy() for c in names]
 
-def _sweep(words: DataFrame, model: Model) -> tuple[np.ndarray, tuple[float, float]]:
-    """One Gibbs sweep over all restaurants; tasks send sums by context only."""
-    shared = words.sparkSession.sparkContext.broadcast(model)
 
+def _tables(rows: DataFrame, discount: float, sweep: int) -> DataFrame:
+    """(of_word, key, tables): the tables of every word and of every context after a sweep over
+    the pairs; tasks add up before the shuffle, a bounded number of pairs at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, customers, tables = np.zeros(CONTEXTS), 0.0, 0.0
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            t = np.concatenate([h[2] for h in held])
+            for side in (0, 1):
+                key, inverse = np.unique(np.concatenate([h[side] for h in held]), return_inverse=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(key), side == 0)), pa.array(key), pa.array(np.bincount(inverse, t, len(key)).astype(np.int64))], ["of_word", "key", "tables"])
+
         for batch in batches:
-            word, context, n, own = _flat(batch)
-            *_, (t, joined, parent, _) = shared.value.sweeps(word, context, n, own, len(batch))
-            sums += np.bincount(context, t, CONTEXTS)
-            customers, tables = customers + joined.sum(), tables + parent.sum()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CONTEXTS + 2)), pa.array(np.concatenate([sums, [customers, tables]]))], ["k", "x"])
+            word, context, n, all_tables, p = _columns(batch, "word", "context", "n", "all_tables", "p")
+            held.append((word, context, reseated(n, all_tables, p, discount, word, context, sweep)))
+            size += len(batch)
+            if size >= SUMMED:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
 
-    found = words.mapInArrow(run, "k bigint, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(CONTEXTS + 2)
-    for r in found:
-        out[r["k"]] = r["x"]
-    return out[:-2], (out[-2], out[-1])
+    made = rows.mapInArrow(run, "of_word boolean, key bigint, tables bigint")
+    return made.groupBy("of_word", "key").agg(F.sum("tables").alias("tables"))
 
 
 def score_titles(articles: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
@@ -210,11 +217,13 @@ def score_titles(articles: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
     (words, A-Z lower-cased, and one end), ``n_known`` (tokens seen in training),
     ``train_tokens``, ``base_score`` (add-0.1 unigram) and ``score``.
 
-    Every context (how the word before ends) is a restaurant whose dishes are the next words; all share one parent restaurant over words, whose base is uniform over
-    the words seen in training and one for all others.  Gibbs sweeps reseat all customers
-    of a dish given everybody else's tables; probabilities are averaged over the sweeps
-    after the burn-in.  Discounts come from the counts of counts.  Counts, sweeps and
-    averages cover all training texts; only sums by context reach the driver.
+    Every context (the word before) is a restaurant whose dishes are the next words; all share
+    one parent restaurant over words, whose base is uniform over the words seen in training
+    and one for all others.  Gibbs sweeps reseat all customers of a dish given everybody
+    else's tables; probabilities are averaged over the sweeps after the burn-in.  Discounts
+    come from the counts of counts.  Counts, sweeps and averages cover all training texts.
+    Pairs are flat rows that meet the tables of their context and the shared probability of
+    their word in joins; only totals reach the driver.
 
     A null or empty title is its end alone; a row without an id is learned from and not
     held out; repeated rows and ties count like any other; without training rows every
@@ -222,34 +231,55 @@ def score_titles(articles: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
     """
     table = stored(numbered(articles), "numbered-titles")
     types = table.filter(F.col("word").isNotNull()).select("batch", "at", "word", "context", "n")
-    counts = types.groupBy("word", "context").agg(F.sum("n").alias("n"))
-    words = stored(counts.groupBy("word").agg(F.collect_list(F.struct("context", "n")).alias("dishes")), "word-counts")
-    total = F.aggregate("dishes", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
-    seen = F.size(F.filter("dishes", lambda x: x["n"] > 0))
-    ones = lambda k: F.sum(F.size(F.filter("dishes", lambda x: x["n"] == k)))
-    tokens, kinds, pairs, p1, p2, w1, w2 = [x or 0 for x in words.select("dishes", total.alias("c"), seen.alias("seen")).agg(
-        F.sum("c"), F.count_if(F.col("c") > 0), F.sum("seen"), ones(1), ones(2), F.count_if(F.col("seen") == 1), F.count_if(F.col("seen") == 2)).first()]
-    by_context = words.select(F.explode("dishes").alias("d")).groupBy("d.context").agg(F.sum("d.n").alias("n"), F.count_if(F.col("d.n") > 0).alias("t")).collect()
-    customers, tables = np.zeros(CONTEXTS), np.zeros(CONTEXTS)
-    for r in by_context:
-        customers[r["context"]], tables[r["context"]] = r["n"], r["t"]
-    discount = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a + b else 0.5
-    model = Model(tokens, kinds, customers, pairs, discount(p1, p2), discount(w1, w2), tables)
-    for _ in range(sweeps):
-        by, totals = _sweep(words, model)
-        model.tables.append(by)
-        model.totals.append(totals)
-    shared = words.sparkSession.sparkContext.broadcast(model)
+    dishes = stored(types.groupBy("word", "context").agg(F.sum("n").alias("n")), "word-pairs")
+    words = stored(dishes.groupBy("word").agg(F.sum("n").alias("c"), F.count_if(F.col("n") > 0).alias("joined")), "words")
+    tokens, kinds, pairs, w1, w2 = [x or 0 for x in words.agg(
+        F.sum("c"), F.count_if(F.col("c") > 0), F.sum("joined"), F.count_if(F.col("joined") == 1), F.count_if(F.col("joined") == 2)).first()]
+    p1, p2 = dishes.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).first()
+    between = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a + b else 0.5
+    discount, shared_discount = between(p1, p2), between(w1, w2)
+    # Before the first sweep every dish of a restaurant has one table.
+    totals = (float(pairs), float(kinds))
+    one = shared_probability(F.col("joined"), F.least("joined", F.lit(1)), totals, kinds, shared_discount)
+    words = stored(words.select("word", "c", F.array(one).alias("p")), "words-0")
+    contexts = stored(dishes.groupBy("context").agg(F.sum("n").alias("customers"), F.array(F.count_if(F.col("n") > 0)).alias("tables")), "contexts-0")
+
+    def seat_shared(totals: tuple[float, float], sweep: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                word, joined = _columns(batch, "word", "joined")
+                parent = reseated_shared(joined, totals, kinds, shared_discount, word, sweep)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parent.astype(np.int64))], [*batch.schema.names, "parent"])
+        return run
+
+    for sweep in range(sweeps):
+        rows = dishes.filter("n > 0").join(contexts.select("context", F.element_at("tables", -1).alias("all_tables")), "context").join(
+            words.select("word", F.element_at("p", -1).alias("p")), "word")
+        made = stored(_tables(rows, discount, sweep), f"tables-{sweep + 1}")
+        side = lambda of_word, key, name: made.filter(F.col("of_word") == of_word).select(F.col("key").alias(key), F.col("tables").alias(name))  # noqa: B023, E731
+        zero = F.lit(0).cast("bigint")
+        joined = words.join(side(True, "word", "joined"), "word", "left").withColumn("joined", F.coalesce("joined", zero))
+        seats = stored(joined.mapInArrow(seat_shared(totals, sweep), "word bigint, c bigint, p array<double>, joined bigint, parent bigint"), f"shared-{sweep + 1}")
+        totals = tuple(float(x or 0) for x in seats.agg(F.sum("joined"), F.sum("parent")).first())
+        p = shared_probability(F.col("joined"), F.col("parent"), totals, kinds, shared_discount)
+        words = seats.select("word", "c", F.array_append("p", p).alias("p"))
+        contexts = stored(contexts.join(side(False, "context", "new"), "context", "left").select(
+            "context", "customers", F.array_append("tables", F.coalesce("new", zero)).alias("tables")), f"contexts-{sweep + 1}")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            word, context, n, own = _flat(batch)
-            p = shared.value.predicted(context, n, own, list(shared.value.sweeps(word, context, n, own, len(batch)))[:-1])
-            c = np.bincount(own, n, len(batch))[own].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(context), pa.array(np.log10(p).astype(np.float32)), pa.array(c)],
-                                             ["word", "context", "score", "c"])
-
-    known = words.mapInArrow(predict, "word bigint, context int, score float, c bigint")
+            word, context, n, customers, c = _columns(batch, "word", "context", "n", "customers", "c")
+            per_sweep = lambda name: batch.column(name).flatten().to_numpy().reshape(len(batch), sweeps + 1).T  # noqa: B023, E731
+            total, t = np.zeros(len(n)), np.minimum(n, 1).astype(float)
+            for sweep, (all_tables, p) in enumerate(zip(per_sweep("tables"), per_sweep("p"), strict=True)):
+                if sweep > BURN_IN:
+                    total += probability(n, t, all_tables, customers, p, discount)
+                if sweep < sweeps:
+                    t = reseated(n, all_tables, p, discount, word, context, sweep)
+            score = np.log10(total / (sweeps - BURN_IN)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(context), pa.array(score), pa.array(c)], ["word", "context", "score", "c"])
+
+    known = dishes.join(contexts, "context").join(words, "word").mapInArrow(predict, "word bigint, context bigint, score float, c bigint")
     told = types.select("batch", "at", "word", "context").join(known, ["word", "context"]).select(F.col("batch").alias("part"), "at", "score", "c")
     texts = table.filter(F.col("tokens").isNotNull()).select("batch", "event_id", "held_out", "tokens")
     kind = articles.schema["event_id"].dataType.simpleString()

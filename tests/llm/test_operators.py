@@ -274,3 +274,37 @@ def test_repeated_passages(frame, titles):
     got = repeated_passages.repeated_passages(rows).collect()
     assert sorted((str(r["event_id"]), r["n_bytes"], sum(x["end"] - x["start"] for x in r["runs"]), hashlib.sha256(r["kept"]).hexdigest()) for r in got) == sorted(want)
     assert repeated_passages.repeated_passages(rows.limit(0)).count() == 0
+
+
+def test_language_model_learns_from_the_word_before(frame):
+    """Which of twenty words follows is told by the word before only; all of them end alike."""
+    draw = random.Random(8)
+    lead, tail = [f"a{k}n" for k in range(20)], [f"b{k}n" for k in range(20)]
+    texts = [" ".join(w for k in (draw.randrange(20) for _ in range(30)) for w in (lead[k], tail[k])) for _ in range(200)]
+    got = language_model.score_titles(table(frame, texts)).filter("held_out and event_id is not null").collect()
+    assert got and all(r["score"] > r["base_score"] + 30 for r in got if r["n_tokens"] == 61)
+
+
+def test_language_model_in_memory(frame, titles):
+    """Every score of the joins is that of the whole model in one array."""
+    rows = table(frame, [*titles, *[prose(500 + i % 5, 40) for i in range(30)]])
+    hashed = lambda w: np.uint64(language_model.xxhash.xxh3_64_intdigest(w))
+    texts = [(r["event_id"], [b"\n", *(r["title"] or "").encode().lower().split(), b"\n"]) for r in rows.collect()]
+    learned = Counter(p for i, ws in texts if i is None or zlib.crc32(str(i).encode()) % 10 for p in zip(ws, ws[1:]))
+    pairs = sorted({p for _, ws in texts for p in zip(ws, ws[1:])}, key=lambda p: p[1])
+    words, contexts = (sorted({p[k] for p in pairs}) for k in (1, 0))
+    own, context = np.array([words.index(w) for _, w in pairs]), np.array([contexts.index(c) for c, _ in pairs])
+    n = np.array([learned[p] for p in pairs])
+    by = lambda x: np.bincount(context, x, len(contexts))
+    seen = np.bincount(own, n > 0, len(words))
+    d = [min(0.95, max(0.05, a / (a + 2 * b))) for a, b in (((n == 1).sum(), (n == 2).sum()), ((seen == 1).sum(), (seen == 2).sum()))]
+    model = language_model.Model(int(n.sum()), int((seen > 0).sum()), by(n), int((n > 0).sum()), *d, by(n > 0))
+    run = lambda: list(model.sweeps(np.array([hashed(words[k]) for k in own]), context, n, own, len(words), np.array([hashed(c) for c in contexts])))
+    for _ in range(language_model.SWEEPS):
+        t, joined, parent, _ = run()[-1]
+        model.tables.append(by(t))
+        model.totals.append((joined.sum(), parent.sum()))
+    p = dict(zip(pairs, np.log10(model.predicted(context, n, own, run()[:-1]))))
+    want = sorted((str(i), sum(p[x] for x in zip(ws, ws[1:]))) for i, ws in texts)
+    got = sorted((str(r["event_id"]), r["score"]) for r in language_model.score_titles(rows).collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-5, atol=1e-4)
