@@ -25,16 +25,16 @@ MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|breadcrumbs?|comments?|replies|cookies?|consent|notice|gdpr|disclaimer|copyright|"
     r"footer|header|masthead|menu|nav|navbar|navigation|newsletter|subscribe|pagination|pager|popup|modal|related|recommended|share|sharing|"
     r"sidebar|side|social|toolbar|widget|login|search|complementary|contentinfo)(?:$|[\s_-])", re.IGNORECASE)
-#: Width of the smoothing, in lines, and the share of content a container must hold to be entered.
+#: Width of the smoothing, in lines, and the share of content that article or main elements must hold to be the region.
 SIGMA, SHARE = 1.0, 0.9
 
 
 class Lines(HTMLParser):
-    """Collects one line per block from the parser's events: its text, its tags, its containers."""
+    """Collects one line per block from the parser's events: its text, its tags, its containers, is it a headline."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
         self.kinds: list[str] = []  # of every container seen
         self.stack: list[tuple[str, bool, int | None]] = []  # tag, left out, container
         self.text: list[str] = []
@@ -44,7 +44,8 @@ class Lines(HTMLParser):
     def close_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, tuple(c for _, _, c in self.stack if c is not None)))
+            block = next((tag for tag, _, _ in reversed(self.stack) if tag in BLOCK), "")
+            self.lines.append((text, self.tags, tuple(c for _, _, c in self.stack if c is not None), block == "h1"))
             self.tags = 0
         self.text = []
 
@@ -118,24 +119,30 @@ def main_text(html: str | None) -> str:
     parser.close()
     if not parser.lines:
         return ""
-    ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in parser.lines]))
+    ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, *_ in parser.lines]))
     # Lines from the spread of the smoothed ratios on are content; at least the densest one is.
     content = ratios >= min(ratios.std(), ratios.max())
-    mass: dict[int, float] = {}
-    for (text, _, containers), is_content in zip(parser.lines, content, strict=True):
+    mass: dict[int, int] = {}
+    total = 0
+    for (text, _, containers, _), is_content in zip(parser.lines, content, strict=True):
         if is_content:
+            total += len(text)
             for c in containers:
-                mass[c] = mass.get(c, 0.0) + len(text)
-    articles = [c for c in mass if parser.kinds[c] == "article"] or [c for c in mass if parser.kinds[c] == "main"]
-    if articles:
-        region = set(articles)
+                mass[c] = mass.get(c, 0) + len(text)
+
+    def held(region: set[int]) -> int:
+        return sum(len(text) for (text, _, containers, _), k in zip(parser.lines, content, strict=True) if k and region.intersection(containers))
+
+    for kind in ("article", "main"):
+        region = {c for c in mass if parser.kinds[c] == kind}
+        if region and held(region) >= SHARE * total:
+            break
     else:
-        # Descend while one container inside holds nearly all of the content.
-        region, total = set(), sum(len(t) for (t, _, _), k in zip(parser.lines, content, strict=True) if k)
-        deep = [c for c in sorted(mass) if mass[c] >= SHARE * total]
-        if deep:
-            region = {deep[-1]}
-    return "\n".join(text for text, _, containers in parser.lines if not region or region.intersection(containers))
+        # The innermost container around all of the content; the whole page if there is none.
+        region = {c for c in [max((c for c in mass if mass[c] == total), default=None)] if c is not None}
+    # Content and headlines beside the region are text too.
+    return "\n".join(text for (text, _, containers, headline), k in zip(parser.lines, content, strict=True)
+                     if not region or k or headline or region.intersection(containers))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -144,10 +151,11 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     Input: ``article_id``, ``source_url``, ``html`` (the whole page; other columns are ignored).
     Output per input row: ``article_id``, ``source_url``, ``text``.  Parser events are gathered
     into one line per block, each with its ratio of text to tags; ratios are smoothed with
-    a Gaussian, lines from the spread of the ratios on are content, and the region is the
-    article element, or else the innermost block, that holds them.  All lines of the region
-    are kept, in page order, but for menus, headers, footers, asides, notices, adverts,
-    forms and reader comments.
+    a Gaussian, lines from the spread of the ratios on are content.  The region is the article
+    elements, or else main, if they hold nearly all of the content, or else the innermost
+    block around all of it.  All lines of the region and all content and h1 headlines beside it
+    are kept, in page order, but for menus, headers, footers, asides, notices, adverts, forms
+    and reader comments.
 
     A null or empty page, or one without text, has an empty text; broken markup is read as
     far as it goes; rows without an id, repeated rows and very long pages are read alike.

@@ -308,3 +308,18 @@ def test_language_model_in_memory(frame, titles):
     want = sorted((str(i), sum(p[x] for x in zip(ws, ws[1:]))) for i, ws in texts)
     got = sorted((str(r["event_id"]), r["score"]) for r in language_model.score_titles(rows).collect())
     assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-5, atol=1e-4)
+
+
+def test_page_text_beside_the_region():
+    a, b, c = (prose(k, 60) for k in (1, 2, 3))
+    menu = "<nav><a href=x>menu</a></nav><div class=share>Share it</div>"
+    pages = {
+        f"<body>{menu}<main><h1>Title</h1><article><p>{a}</p><p>{b}</p></article></main></body>": ["Title", a, b],
+        f"<body>{menu}<div><p>{a}</p><p>{b}</p></div><div><article><p>A card of a few words, no more</p></article></div></body>": [a, b],
+        f"<body>{menu}<article><p>{a}</p></article><div><p>{b}</p><p>{c}</p></div></body>": [a, b, c],
+        f"<body>{menu}<div><p>{prose(4, 12)}</p></div><div><p>{a}</p><p>{b}</p><p>{c}</p></div><div><p>{prose(5, 14)}</p></div></body>": [prose(4, 12), a, b, c, prose(5, 14)],
+        f"<body>{menu}<article><p>{a}</p><p>{b}</p><p>{c}</p></article><section><p>{prose(6, 14)}</p></section></body>": [a, b, c, prose(6, 14)],
+        f"<h1>Title</h1><p>{a}</p>": ["Title", a]}
+    for page, want in pages.items():
+        got = page_text.main_text(page).split("\n")
+        assert [line for line in got if not line.startswith("A card")] == want
