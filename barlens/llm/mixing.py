@@ -65,23 +65,28 @@ def permuted(index: pd.Series, size: pd.Series, key: pd.Series) -> pd.Series:
 
 
 def laid_out(articles: DataFrame) -> DataFrame:
-    """(event_id, source_name, size, text_key, start): each article's first word in its source's stream.
+    """(event_id, source_name, size, text_key, copy, start): each article's first word in its
+    source's stream.  ``copy`` numbers the rows that are equal in all else, from 0.
 
     A source's stream is laid out in buckets of hashed ids, so that no window sees more
-    than a bucket of one source; bucket totals are summed first."""
+    than a bucket of one source; bucket totals are summed first.  Copies are counted in the
+    tasks and lie one after the other, so that thousands of them are one row until then."""
     rows = stored(articles.select(
         "event_id", "source_name", F.coalesce(F.regexp_count("title", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         F.xxhash64("title").alias("text_key")), "article-sizes")
     buckets = bucket_count(rows.count(), ARTICLES_PER_BUCKET)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("event_id", "text_key"), F.lit(buckets)))
-    totals = rows.groupBy("source_name", "bucket").agg(F.sum("size").alias("words"))
+    rows = rows.groupBy("event_id", "source_name", "size", "text_key").agg(F.count(F.lit(1)).alias("copies"))
+    rows = rows.withColumn("words", F.col("size") * F.col("copies")).withColumn("bucket", F.pmod(F.xxhash64("event_id", "text_key"), F.lit(buckets)))
+    totals = rows.groupBy("source_name", "bucket").agg(F.sum("words").alias("words"))
     ahead = Window.partitionBy("source_name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("source_name", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("offset"))
     within = Window.partitionBy("source_name", "bucket").orderBy("event_id", "text_key").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    rows = rows.withColumn("inside", F.coalesce(F.sum("words").over(within), F.lit(0)))
     same = F.col("a.source_name").eqNullSafe(F.col("b.source_name")) & (F.col("a.bucket") == F.col("b.bucket"))
     return rows.alias("a").join(offsets.alias("b"), same).select(
-        "a.event_id", "a.source_name", "a.size", "a.text_key", (F.col("offset") + F.col("inside")).alias("start"))
+        "a.event_id", "a.source_name", "a.size", "a.text_key", (F.col("offset") + F.col("inside")).alias("first"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy")).select(
+        "event_id", "source_name", "size", "text_key", "copy", (F.col("first") + F.col("copy") * F.col("size")).alias("start"))
 
 
 def block_takes(sources: DataFrame, seed: int = 1, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
@@ -113,7 +118,7 @@ def mix_articles(articles: DataFrame, seed: int = 1, block_words: int = BLOCK_WO
     """Mix ``event_id``, ``title`` (the whole text), ``source_name`` to the target weights.
 
     Returns the articles, one row per input row: ``event_id``, ``source_name``, ``size``
-    (words), ``text_key`` (hash of the title), ``source_size``, ``target``, ``taken`` (words
+    (words), ``text_key`` (hash of the title), ``copy`` (number among equal rows), ``source_size``, ``target``, ``taken`` (words
     the mix takes, repeats counted) and ``parts``, the taken runs of words as (pass, start,
     end); and the slots of the output shards (see ``block_takes``).
 
@@ -133,10 +138,10 @@ def mix_articles(articles: DataFrame, seed: int = 1, block_words: int = BLOCK_WO
     runs = F.transform("passes", lambda p: F.struct(p.alias("pass"), lo.alias("start"), hi.alias("end")))
     taken = (
         pieces.alias("p").join(passes.alias("t"), same, "left")
-        .select("p.event_id", "p.source_name", "size", "text_key", F.col("p.start").alias("start"), runs.alias("runs"))
-        .groupBy("event_id", "source_name", "size", "text_key", "start").agg(F.flatten(F.collect_list("runs")).alias("parts")))
+        .select("p.event_id", "p.source_name", "size", "text_key", "copy", runs.alias("runs"))
+        .groupBy("event_id", "source_name", "size", "text_key", "copy").agg(F.flatten(F.collect_list("runs")).alias("parts")))
     words: Column = F.aggregate("parts", F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["start"])
     out = taken.alias("a").join(F.broadcast(sources).alias("s") if sources.count() <= 100_000 else sources.alias("s"),
                                 F.col("a.source_name").eqNullSafe(F.col("s.source_name")))
-    return out.select("event_id", "a.source_name", "size", "text_key", "source_size", "target", words.alias("taken"),
+    return out.select("event_id", "a.source_name", "size", "text_key", "copy", "source_size", "target", words.alias("taken"),
                       F.sort_array("parts").alias("parts")), slots

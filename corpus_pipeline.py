@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from barlens.llm import catalog, mixing, near_duplicates, quality_rules, secrets, token_codec
 from barlens.session import prepare, stored
@@ -57,9 +57,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     that pass (the whole text where all are taken)."""
     prepare(spark)
     mixed, _ = mixing.mix_articles(_articles(docs))
-    parts = mixed.filter("taken > 0").select("event_id", F.col("text_key").alias("key"), "size", "parts").distinct()
-    rows = _articles(docs).withColumn("text_key", F.xxhash64("title")).alias("d")
-    same = F.col("d.event_id").eqNullSafe(F.col("m.event_id")) & (F.col("text_key") == F.col("m.key"))
+    parts = mixed.filter("taken > 0").select("event_id", "source_name", F.col("text_key").alias("key"), F.col("copy").alias("of_copy"), "size", "parts")
+    # A row is told from its equals by its number among them, as in the layout.
+    equal = Window.partitionBy("event_id", "source_name", "text_key").orderBy("lang", "n_chars")
+    rows = _articles(docs).withColumn("text_key", F.xxhash64("title"))
+    rows = rows.withColumn("copy", F.row_number().over(equal).cast("bigint") - 1).alias("d")
+    same = (F.col("d.event_id").eqNullSafe(F.col("m.event_id")) & F.col("d.source_name").eqNullSafe(F.col("m.source_name"))
+            & (F.col("text_key") == F.col("m.key")) & (F.col("copy") == F.col("of_copy")))
     rows = rows.join(parts.alias("m"), same).withColumn("pass", F.explode(F.array_distinct(F.transform("parts", lambda p: p["pass"]))))
     mine = F.sort_array(F.transform(F.filter("parts", lambda p: p["pass"] == F.col("pass")), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"))))
     rows = rows.select("d.*", "size", mine.alias("runs"), F.regexp_extract_all("title", F.lit(PIECE), F.lit(0)).alias("pieces"))

@@ -323,3 +323,12 @@ def test_page_text_beside_the_region():
     for page, want in pages.items():
         got = page_text.main_text(page).split("\n")
         assert [line for line in got if not line.startswith("A card")] == want
+
+
+def test_mix_keeps_repeated_rows(frame):
+    """Equal rows stay rows of their own, with or without words."""
+    rows = frame([(None, prose(1, 7), "w")] * 3000 + [(None, "", None)] * 5 + [(4, None, "w")] * 3 + [(5, prose(2, 9), "w")] * 2, "event_id bigint, title string, source_name string")
+    got = mixing.mix_articles(rows)[0].collect()
+    assert len(got) == 3010 and len({(r["event_id"], r["source_name"], r["text_key"], r["copy"]) for r in got}) == 3010
+    target = {r["source_name"]: r["target"] for r in got}["w"]
+    assert abs(sum(r["taken"] for r in got) - target) <= 2 * mixing.BLOCK_WORDS and all(r["taken"] <= 2 * r["size"] for r in got)

@@ -39,3 +39,13 @@ def test_stages(spark, folder):
 def test_run(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert rows and all(r["exact"] and r["n_tokens"] == len(r["token_ids"]) for r in rows)
+
+
+def test_mix_of_rows_without_an_id(spark, folder):
+    """Thousands of copies without an id get the words the mix takes, no more."""
+    text = " ".join(f"w{k}" for k in range(9))
+    docs = spark.createDataFrame([(None, text, "en", "wire0", 0)] * 3000 + [(None, text, "en", "wire1", 0)] * 40 + [(7, text, "en", "wire1", 0)],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    taken = corpus_pipeline.mixing.mix_articles(corpus_pipeline._articles(docs))[0].agg({"taken": "sum"}).first()[0]
+    mixed = corpus_pipeline.mix(spark, docs, folder).collect()
+    assert sum(len(r["text"].split()) for r in mixed) == taken <= 2 * 9 * 3041
