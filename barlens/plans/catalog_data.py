@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from barlens.functions import text as t
 from barlens.operators import cleaning, clock, quality, universe
@@ -46,10 +46,26 @@ def delivered(spark, sf) -> DataFrame:
         F.date_add(F.lit("2001-12-31").cast("date"), (-number * 10).cast("int")).alias("delisting_date"))
 
 
+#: Order positions numbered together.
+POSITIONS = 1_000_000
+
+
 def unique_delivered(spark, sf) -> DataFrame:
-    """The same with a total arrival order (ties in the order key are given their own position)."""
-    d = delivered(spark, sf)
-    return d.withColumn("ingest_order", F.col("ingest_order") * 1_000_000 + F.col("l_partkey") * 100 + F.col("l_suppkey") % 100).drop("l_partkey", "l_suppkey")
+    """The same with a total arrival order: the rows of a symbol are numbered from 1 by order
+    position, part and supplier (then by their values, equal rows being alike)."""
+    return arrival_numbers(delivered(spark, sf)).drop("l_partkey", "l_suppkey")
+
+
+def arrival_numbers(d: DataFrame) -> DataFrame:
+    """``ingest_order`` replaced by the row's number within its symbol; stretches of order
+    positions are counted first, so that no window sees more than one of them."""
+    keys = ["market", "symbol"]
+    d = d.withColumn("_stretch", F.floor(F.col("ingest_order") / POSITIONS))
+    ahead = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    counts = d.groupBy(*keys, "_stretch").agg(F.count(F.lit(1)).alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+    within = Window.partitionBy(*keys, "_stretch").orderBy("ingest_order", "l_partkey", "l_suppkey", "session_date", "open", "high", "close", "volume")
+    d = d.withColumn("_at", F.row_number().over(within)).join(counts.drop("_n"), [*keys, "_stretch"])
+    return d.withColumn("ingest_order", F.col("_ahead") + F.col("_at")).drop("_stretch", "_at", "_ahead")
 
 
 def issues(spark, sf):
