@@ -110,6 +110,28 @@ def neighbors(frame: DataFrame, decide: Column) -> DataFrame:
     return rows.groupBy(*GROUP).applyInPandas(_nearest, NEIGHBOR_SCHEMA)
 
 
+def _scales(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("i")
+    rows, usable = pdf["i"].to_numpy(), pdf["_usable"].to_numpy(dtype=bool)
+    hist_rows, hist_x = rows[usable], pdf.loc[usable, COLUMNS].to_numpy(dtype=float)
+    out = []
+    for at in np.nonzero(pdf["_decide"].to_numpy(dtype=bool))[0]:
+        n = int(np.searchsorted(hist_rows, rows[at] - HORIZON, side="right"))
+        if n:
+            out.extend((pdf["session_date"].iloc[at], f, n, x) for f, x in zip(FEATURES, robust_scale(hist_x[:n])))
+    made = pd.DataFrame(out, columns=["session_date", "feature", "candidates", "scale"])
+    return made.assign(market=pdf["market"].iloc[0], symbol=pdf["symbol"].iloc[0])
+
+
+def decision_scales(frame: DataFrame, decide: Column) -> DataFrame:
+    """Robust scale per feature of the candidates of each row where ``decide`` holds and
+    there are any (``frame`` from ``with_candidates``)."""
+    rows = frame.withColumn("_decide", decide).filter(F.col("_usable") | F.col("_decide"))
+    rows = rows.select(*GROUP, "i", "session_date", *COLUMNS, "_usable", "_decide")
+    return rows.groupBy(*GROUP).applyInPandas(
+        _scales, "market string, symbol string, session_date date, feature string, candidates bigint, scale double")
+
+
 def summarise(chosen: DataFrame) -> DataFrame:
     """Outcome summary of each decision row's neighbours (at most 30 rows per group)."""
     ret = F.col("pattern_return_pct")

@@ -191,11 +191,15 @@ def latest_scale(spark, sf):
     return mad.select(*keys, "candidates", F.round(F.when(scale > 1e-8, scale).otherwise(1.0), 4).alias("scale"))
 
 
-def latest_patterns(spark, sf):
-    """The 18-field pattern summary of each symbol's latest row (the scan's view)."""
-    df = shared.frame(spark, sf)
-    last = F.col("i") == F.max("i").over(Window.partitionBy("market", "symbol"))
-    return similarity.with_similarity(df.withColumn("_now", last), F.col("_now")).select(
+def decision_scales(spark, sf):
+    """Robust scale of the candidates of every decision row, per feature."""
+    return similarity.decision_scales(shared.frame(spark, sf), F.col("on_grid")).select(
+        "symbol", "session_date", "feature", "candidates", F.round("scale", 4).alias("scale"))
+
+
+def decision_patterns(spark, sf):
+    """The 18-field pattern summary of every decision row."""
+    return similarity.with_similarity(shared.frame(spark, sf), F.col("on_grid")).select(
         *ID, "sample_count", "up_count", "up_rate", "median_return_pct", "recent_sample_count", "recent_up_count",
         "recent_up_rate", "nearest_distance", "similarity_status", "candidate_count", "average_up_return_pct",
         "average_down_return_pct", "invalidation_count", "invalidation_rate", "expected_return_pct",
@@ -428,7 +432,8 @@ QUERIES = {
     "agg10_quartiles": quartiles,
     "agg11_similarity_overall": similarity_overall,
     "agg12_robust_scale": latest_scale,
-    "agg13_pattern_summary": latest_patterns,
+    "agg12_decision_scales": decision_scales,
+    "agg13_pattern_summary": decision_patterns,
     "agg14_weekly": weekly,
     "agg15_profile": profile_histogram,
     "agg16_market_score": metric_score,

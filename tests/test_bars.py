@@ -255,3 +255,28 @@ def _weekday_bars(spark):
     first = datetime.date(2024, 1, 1)
     days = [first + datetime.timedelta(d) for d in range(0, 120) if (first + datetime.timedelta(d)).weekday() < 5]
     return spark.createDataFrame([("US", "A", d) for d in days], "market string, symbol string, session_date date")
+
+
+def test_scales_of_every_decision_row(spark):
+    f = replay.pattern_frame(cleaning.clean_bars(spark.createDataFrame(walk(330))))
+    rows = f.orderBy("i").toPandas()
+    got = similarity.decision_scales(f, F.col("i") > 300).toPandas()
+    for at in range(301, 330):
+        cur, hist = rows.loc[at], rows[:at - 9]
+        same = hist[hist["_usable"] & (hist[indicators.STATES] == cur[indicators.STATES]).all(axis=1)]
+        mine = got[got["session_date"] == cur["session_date"]].set_index("feature")
+        assert len(mine) == (len(indicators.FEATURES) if len(same) else 0)
+        for c in indicators.FEATURES if len(same) else ():
+            x = same[f"f_{c}"].astype(float)
+            mad = (x - x.median()).abs().median() * 1.4826
+            scale = mad if mad > 1e-8 else x.std(ddof=0)
+            assert mine.loc[c, "candidates"] == len(same) and mine.loc[c, "scale"] == pytest.approx(scale if scale > 1e-8 else 1.0)
+
+
+def test_pattern_summary_of_every_decision_row(spark):
+    from barlens.plans import catalog_bars, shared
+
+    sf = "/root/testdata/sf0.001"
+    want = {(r["symbol"], r["session_date"]) for r in shared.frame(spark, sf).filter("on_grid").collect()}
+    got = [(r["symbol"], r["session_date"]) for r in catalog_bars.QUERIES["agg13_pattern_summary"](spark, sf).collect()]
+    assert len(got) == len(want) and set(got) == want
