@@ -1,4 +1,4 @@
-"""Removal of repeated passages by distributed prefix doubling."""
+"""Removal of repeated passages found by sampled fingerprints."""
 
 from __future__ import annotations
 
@@ -186,9 +186,9 @@ def repeated_passages(articles: DataFrame) -> DataFrame:
     ignored).  Output per input row: ``event_id``, ``n_bytes``, ``runs`` (removed byte ranges,
     end exclusive, maximal, in order) and ``kept`` (the remaining bytes).
 
-    Prefix doubling over positions sampled by content, one at least in any 128 in a row
+    Fingerprints of windows at positions sampled by content, one at least in any 128 in a row
     and the same ones in every copy of a string: pairs of 128-byte ranks at offset 128 are
-    sorted and counted, positions with a unique pair drop out; the others are ranked past
+    hashed and counted, positions with a unique pair drop out; the others are ranked past
     the threshold, over all strings that start since the sampled position before.  What
     that leaves open, at the edges of a repeated passage, is ranked string by string.
     Ranks are 64-bit names, equal for equal bytes.  Copies of a text count as one text
