@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from barlens.llm import classifier, language_model, mixing, near_duplicates, neighbours, page_text, quality_rules, repeated_passages, secrets, token_codec
+from barlens.llm import classifier, conversations, hard_negatives, held_out_passages, language_model, mixing, near_duplicates, neighbours, oracle, page_text, quality_rules, repeated_passages, secrets, token_codec
 from barlens.session import prepare
 
 
@@ -97,8 +97,45 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    damaged = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    patterns = rows.select(F.col("vec_id").alias("symbol"), F.col("embedding").alias("features"), damaged.alias("outcome"))
+    found = hard_negatives.mine_hard_negatives(patterns, F.col("symbol") % 100 == 0, key=("symbol",), label="outcome", features="features")
+    return found.select(F.col("anchor.symbol").alias("anchor_id"), F.col("positive.symbol").alias("positive_id"), "rank",
+                        F.col("negative.symbol").alias("negative_id"), "positive_score", "negative_score")
+
+
+def op12_held_out_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("event_id"), F.col("text").alias("title"))
+    rows = held_out_passages.flag_held_out(articles(spark, sf_dir).select("event_id", "title"), held_out)
+    return rows.select(F.col("event_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                       F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """The given damage, drawn from each row's conversation and turn: a row lost, emptied, without its full stops, repeated, or of the wrong role."""
+    or_space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    draw = F.crc32(F.concat(or_space("conv_id"), F.lit(":"), or_space("turn")).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", or_space("role").alias("role"), or_space("text").alias("text"), draw.alias("draw")).filter("draw != 0")
+    text = F.when(F.col("draw") == 1, "").when(F.col("draw") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    times = F.array_repeat(F.lit(1), F.when(F.col("draw") == 3, 2).otherwise(1))
+    return rows.select("conv_id", "turn", F.when(F.col("draw") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(times)).drop("col")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    report = conversations.conversation_report(conversations.repair_conversations(damaged_turns(turns))).alias("r")
+    ids = turns.select(F.col("conv_id").alias("id")).distinct()
+    rows = ids.join(report, F.col("id").eqNullSafe(F.col("r.conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return rows.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                       F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secrets, op2_near_duplicates, op3_mixing, op4_quality_classifier, op5_quality_rules, op6_page_text, op7_token_codec, op8_neighbours, op9_language_model, op10_repeated_passages)}
+    f.__name__: f for f in (op1_secrets, op2_near_duplicates, op3_mixing, op4_quality_classifier, op5_quality_rules, op6_page_text, op7_token_codec, op8_neighbours, op9_language_model, op10_repeated_passages,
+                              op11_hard_negatives, op12_held_out_passages, op13_conversation_repair)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -109,4 +146,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
