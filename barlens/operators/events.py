@@ -4,21 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlens.functions import classify, fixed_values as fixed, text as t
+from barlens.operators.leaders import HEADS, SCOPE, WINDOW_HOURS, cluster_name, comparable, order, rarity, settle
 from barlens.session import cut
 
-SCOPE = ["market", "symbol"]
-WINDOW_HOURS = 36
-SIMILAR, SIMILAR_WITH_NUMBERS = 0.58, 0.35
-BATCH = 1000  # rows of one group settled per round
-
-
-def order() -> Column:
-    return F.struct("event_time", "source_type", "event_id")
-
 
 def prepared_events(events: DataFrame) -> DataFrame:
     """Add the derived keys every evidence operator compares."""
@@ -122,142 +113,16 @@ def deduplicate(events: DataFrame) -> DataFrame:
 # ---- event clusters -------------------------------------------------------------------------
 
 
-def _prefix(tokens: Column, threshold: float) -> Column:
-    """Tokens of which two sets at least this similar must share one.
-
-    Any fixed order works; long words come first because they are the rarer ones.
-    """
-    ranked = F.array_sort(F.transform(tokens, lambda w: F.struct((-F.length(w)).alias("a"), F.xxhash64(w).alias("b"), w.alias("w"))))
-    size = F.size(tokens)
-    keep = size - F.ceil(size * threshold).cast("int") + 1
-    return F.transform(F.slice(ranked, F.lit(1), F.greatest(keep, F.lit(0))), lambda x: x["w"])
-
-
-def comparable(events: DataFrame) -> DataFrame:
-    return events.select(
-        *SCOPE, "event_type", "event_id", "event_time", "explicit_key", order().alias("ord"),
-        t.title_tokens(F.col("title_key")).alias("tokens"),
-        F.array_sort(t.numeric_facts(F.col("title"))).alias("numbers"),
-        F.array_distinct(F.filter(F.transform("entities", t.normalize_title), lambda x: x != "")).alias("names"),
-        (F.coalesce("title", F.lit("")) != "").alias("titled"),
-    )
-
-
-def match_method(a: str, b: str) -> Column:
-    """How row ``a`` matches representative ``b``; null when it does not."""
-    x = lambda c: F.col(f"{a}.{c}")
-    y = lambda c: F.col(f"{b}.{c}")
-    apart = F.abs(F.unix_micros(x("event_time")) - F.unix_micros(y("event_time"))) > WINDOW_HOURS * 3_600_000_000
-    disjoint = lambda c: (F.size(x(c)) > 0) & (F.size(y(c)) > 0) & ~F.arrays_overlap(x(c), y(c))
-    blocked = apart | disjoint("numbers") | disjoint("names")
-    near = t.jaccard(x("tokens"), y("tokens"))
-    titled = x("titled") & y("titled")
-    return (
-        F.when(blocked, None)
-        .when((x("explicit_key") != "") & (x("explicit_key") == y("explicit_key")), "source_event_id")
-        .when(titled & (near >= SIMILAR), "title_entity_time_candidate")
-        .when(titled & (F.size(x("numbers")) > 0) & (x("numbers") == y("numbers")) & (near >= SIMILAR_WITH_NUMBERS),
-              "title_number_entity_time_candidate")
-    )
-
-
-def _buckets(rows: DataFrame) -> DataFrame:
-    """Hash buckets such that every matching pair shares one (linear in tokens, no pairs)."""
-    slot = F.floor(F.unix_seconds("event_time") / (WINDOW_HOURS * 3600))
-    numbered = F.concat(F.lit("n|"), F.array_join("numbers", ","), F.lit("|"))
-    names = F.concat(
-        F.transform(_prefix(F.col("tokens"), SIMILAR), lambda w: F.concat(F.lit("j|"), w)),
-        F.when(F.size("numbers") > 0, F.transform(_prefix(F.col("tokens"), SIMILAR_WITH_NUMBERS), lambda w: F.concat(numbered, w)))
-        .otherwise(F.array().cast("array<string>")),
-        F.when(F.col("explicit_key") != "", F.array(F.concat(F.lit("x|"), F.col("explicit_key")))).otherwise(F.array().cast("array<string>")),
-    )
-    spread = rows.select(*SCOPE, "event_type", "event_id", "ord", slot.alias("slot"), F.explode(names).alias("name"))
-    return spread.select("event_id", "ord", F.explode(F.array(F.col("slot"), F.col("slot") + 1)).alias("s"), *SCOPE, "event_type", "name").select(
-        "event_id", "ord", F.xxhash64(*SCOPE, "event_type", "name", "s").alias("bucket"))
-
-
-def _lead_batch(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sequential leader rule over one bounded batch of one group."""
-    pdf = pdf.sort_values(["event_time", "source_type", "event_id"])
-    reach = pd.Timedelta(hours=WINDOW_HOURS)
-    leaders: list[tuple] = []
-    out = []
-    for row in pdf.itertuples(index=False):
-        me = (row.event_id, row.event_time, row.explicit_key, frozenset(row.tokens), frozenset(row.numbers), frozenset(row.names), row.titled)
-        chosen, method = row.event_id, "singleton"
-        for other in leaders:
-            if me[1] - other[1] > reach or (me[4] and other[4] and me[4].isdisjoint(other[4])) or (
-                    me[5] and other[5] and me[5].isdisjoint(other[5])):
-                continue
-            if me[2] and me[2] == other[2]:
-                chosen, method = other[0], "source_event_id"
-                break
-            if me[6] and other[6] and me[3] and other[3]:
-                shared = len(me[3] & other[3])
-                near = shared / (len(me[3]) + len(other[3]) - shared)
-                if near >= SIMILAR:
-                    chosen, method = other[0], "title_entity_time_candidate"
-                    break
-                if me[4] and me[4] == other[4] and near >= SIMILAR_WITH_NUMBERS:
-                    chosen, method = other[0], "title_number_entity_time_candidate"
-                    break
-        if method == "singleton":
-            leaders = [x for x in leaders if me[1] - x[1] <= reach]
-            leaders.append(me)
-        out.append((row.event_id, chosen, method))
-    return pd.DataFrame(out, columns=["event_id", "leader_id", "method"])
-
-
-def _follow(rest: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Rows of ``rest`` that match one of the earlier ``leaders``: the first such leader.
-
-    Rows meet leaders only in shared hash buckets; every pair is then verified.
-    """
-    led = _buckets(leaders).select("bucket", F.col("event_id").alias("leader_id"))
-    pairs = _buckets(rest).select("bucket", "event_id").join(led, "bucket").select("event_id", "leader_id").distinct()
-    a, b = rest.alias("a"), leaders.alias("b")
-    checked = pairs.alias("p").join(a, F.col("p.event_id") == F.col("a.event_id")).join(b, F.col("p.leader_id") == F.col("b.event_id"))
-    same = (F.col("a.market") == F.col("b.market")) & (F.col("a.symbol") == F.col("b.symbol")) & (F.col("a.event_type") == F.col("b.event_type"))
-    checked = checked.filter(same).select(
-        "p.event_id", F.col("b.ord").alias("leader_ord"), match_method("a", "b").alias("method")).filter("method is not null")
-    first = checked.groupBy("event_id").agg(F.min_by(F.struct("leader_ord.event_id", "method"), "leader_ord").alias("m"))
-    return first.select("event_id", F.col("m.event_id").alias("leader_id"), "m.method")
-
-
-def cluster(events: DataFrame, batch: int = BATCH) -> DataFrame:
+def cluster(events: DataFrame, batch: int = HEADS) -> DataFrame:
     """Leader clusters: (event_id, leader_id, cluster_id, cluster_method).
 
-    In time order a row joins the first earlier leader that matches it, else it
-    leads.  Each round settles the first ``batch`` open rows of every (market,
-    symbol, type) exactly, one bounded task per group, and then removes from the
-    remaining rows all followers of the new leaders.  Those leaders precede every
-    remaining row, so a follower's choice is final; a hot group of near copies
-    is gone after one round.  Callers run ``deduplicate`` first.
+    In time order a row joins the first earlier leader that matches it, else it leads; ``batch`` bounds how many
+    rows of a key the others are compared with at a time (see ``leaders``).  Callers run ``deduplicate`` first.
     """
-    group = [*SCOPE, "event_type"]
-    rows = cut(comparable(events).withColumn("source_type", F.col("ord.source_type")))
-    turn = Window.partitionBy(*group).orderBy("event_time", "source_type", "event_id")
-    settled = None
-    open_rows = rows
-    while True:
-        head = cut(open_rows.withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= batch).drop("_turn"))
-        done = cut(head.groupBy(*group).applyInPandas(_lead_batch, "event_id string, leader_id string, method string"))
-        settled = done if settled is None else settled.unionByName(done)
-        rest = cut(open_rows.join(head.select("event_id"), "event_id", "left_anti"))
-        if rest.isEmpty():
-            break
-        leaders = head.join(done.filter("method = 'singleton'").select("event_id"), "event_id", "left_semi")
-        followers = cut(_follow(rest, leaders))
-        settled = settled.unionByName(followers)
-        open_rows = cut(rest.join(followers.select("event_id"), "event_id", "left_anti"))
-        if open_rows.isEmpty():
-            break
-    seed = F.coalesce(F.nullif("explicit_key", F.lit("")), F.nullif("title_key", F.lit("")), F.nullif("article_id", F.lit("")), F.col("event_id"))
-    names = events.select(
-        F.col("event_id").alias("leader_id"),
-        t.stable_id("cluster", F.col("market"), F.col("symbol"), F.col("event_type"), F.to_date("event_time"), seed).alias("cluster_id"))
-    return settled.join(names, "leader_id").select(
-        "event_id", "leader_id", "cluster_id", F.col("method").alias("cluster_method"))
+    rows = cut(comparable(events))
+    settled = settle(rows, rarity(rows), most_heads=batch)
+    names = events.select(F.col("event_id").alias("leader_id"), cluster_name().alias("cluster_id"))
+    return settled.join(names, "leader_id").select("event_id", "leader_id", "cluster_id", F.col("method").alias("cluster_method"))
 
 
 # ---- store merge ------------------------------------------------------------------------------

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from barlens.operators import events as ev
+from barlens.operators.event_store import EventStore
 
 BUCKET = "60 minutes"
 
@@ -35,28 +38,18 @@ def first_observations(events: DataFrame, delay: str = "36 hours") -> DataFrame:
     return events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def ingest_batch(batch: DataFrame, store_path: str) -> None:
-    """Append the articles of one micro-batch that nothing in the store matches, with their clusters.
+def ingest_batch(batch: DataFrame, store_path: str, name: str | None = None) -> None:
+    """Add the articles of one micro-batch that nothing in the store matches, with their clusters.
 
-    Rerunning a batch appends nothing: its rows then match themselves by id.
+    A batch that runs again under its name replaces what it wrote; under another name its rows match themselves.
     """
-    spark = batch.sparkSession
-    prepared = ev.prepared_events(batch)
-    stored = prepared.schema
-    for name in ("cluster_id", "cluster_method"):
-        stored = stored.add(name, "string")
-    try:
-        store = spark.read.schema(stored).parquet(store_path)
-    except Exception as error:  # first batch: no folder yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        store = spark.createDataFrame([], stored)
-    ev.ingest_clustered(prepared, store).select(*stored.names).write.mode("append").parquet(store_path)
+    EventStore(batch.sparkSession, store_path).ingest(ev.prepared_events(batch), name)
 
 
 def ingest_stream(events: DataFrame, store_path: str, checkpoint: str) -> StreamingQuery:
     """Incremental ingest of an event stream into the store."""
-    writer = events.writeStream.foreachBatch(lambda df, _: ingest_batch(df, store_path))
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    writer = events.writeStream.foreachBatch(lambda df, number: ingest_batch(df, store_path, f"{stream}-{number}"))
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
