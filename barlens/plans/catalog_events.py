@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from barlens.functions import classify, text as t, times
 from barlens.operators import environment, events as ev
+from barlens.operators.event_store import EventStore
 from barlens.plans import shared
+from barlens.session import shared_folder
 from barlens.sources import driver_tables as tables
+from barlens.streaming.jobs import observe, usable_view
 
 AS_OF = "2024-01-01 12:00:00"
 
@@ -164,6 +169,49 @@ def store_after_ingest(spark, sf):
     return merged.groupBy("market", "symbol").agg(F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
 
 
+def _folder(spark, name):
+    return f"{shared_folder(spark).rstrip('/')}/barlens-{name}-{uuid.uuid4().hex}"
+
+
+def store_clusters(spark, sf):
+    """Deduplicated news taken into an event store in three batches of their time."""
+    kept = shared.keep(spark, sf, "kept_news", lambda: ev.deduplicate(shared.news(spark, sf)))
+    span = kept.agg(F.min("event_time").alias("a"), F.max("event_time").alias("b")).first()
+    store = EventStore(spark, _folder(spark, "store"))
+    seconds = lambda c: F.unix_seconds(c)
+    a, b = seconds(F.lit(span["a"])), seconds(F.lit(span["b"]))
+    third = F.floor((seconds(F.col("event_time")) - a) * 3 / (b - a + 1))
+    for k in range(3):
+        store.ingest(kept.filter(third == k), f"third-{k}")
+    return store.events(kept.withColumns({"cluster_id": F.lit(""), "cluster_method": F.lit("")}).schema).select("event_id", "cluster_id", "cluster_method")
+
+
+def _observed(spark, rows, parts, name):
+    """``rows`` arrive in ``parts`` runs of one stream over a growing folder."""
+    feed, out, log = (_folder(spark, f"{name}-{x}") for x in ("feed", "out", "log"))
+    for k in range(parts):
+        rows.filter(F.col("part") == k).write.mode("append").parquet(feed)
+        observe(spark.readStream.schema(rows.schema).parquet(feed), out, log).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+def first_observations(spark, sf):
+    """Events in four arrivals: thirds of January, then replays of every tenth with what had been held back."""
+    e = tables.table(spark, sf, "events").select(F.concat(F.lit("evt_"), "event_id").alias("event_id"), F.col("ts").cast("timestamp").alias("event_time"), F.col("event_id").alias("n"))
+    part = F.when(F.col("event_time") < "2024-01-11", 0).when(F.col("event_time") < "2024-01-21", 1).otherwise(2)
+    held = (F.col("n") % 23 == 0) & ((F.col("event_time") < "2024-01-15") | (F.col("event_time") >= "2024-01-30"))
+    arrivals = e.withColumn("part", F.when(held, 3).otherwise(part)).unionByName(e.filter((F.col("n") % 10 == 0) & ~held).withColumn("part", F.lit(3)))
+    return _observed(spark, arrivals, 4, "first").select("event_id", "part")
+
+
+def streamed_view(spark, sf):
+    """News in the order of their first sighting through the stream, then the view at a time."""
+    n = shared.news(spark, sf)
+    part = F.when(F.col("first_seen_at") <= at("2024-01-01 06:00:00"), 0).when(F.col("first_seen_at") <= at(), 1).otherwise(2)
+    rows = n.select("event_id", "market", "symbol", "event_time", "first_seen_at", part.alias("part"))
+    return usable_view(_observed(spark, rows, 3, "seen"), at()).select("event_id", "market", "symbol")
+
+
 def headlines(spark, sf):
     return ev.first_headlines(shared.news(spark, sf)).select("market", "symbol", "event_id")
 
@@ -246,7 +294,8 @@ QUERIES = {
     "scl_d1_datetimes": datetimes, "scl_d2_last_session": completed_sessions, "scl_d6_display_time": display_times,
     "flt14_visibility": visibility, "flt15_as_of": lenient_view, "flt19_find_events": found, "flt20_official_items": official,
     "set1_deduplicated": deduplicated, "set2_clusters": clusters, "join15_store_matches": store_matches,
-    "set6_ingest": store_after_ingest, "set3_headlines": headlines, "top6_headlines": top_headlines,
+    "set6_ingest": store_after_ingest, "set6_store_clusters": store_clusters, "str2_first_observations": first_observations, "str3_streamed_view": streamed_view,
+    "set3_headlines": headlines, "top6_headlines": top_headlines,
     "agg17_agg18_scores": news_scores, "agg22_counts": audit_counts, "agg22_quality": audit_quality, "agg22_coverage": coverage,
     "agg24_lineage": lineage, "agg24_counts": snapshot_counts, "snk10_capture": capture_records, "join16_missing_lineage": missing_lineage,
     "snk12_outcomes": snapshot_outcomes,

@@ -38,6 +38,17 @@ def first_observations(events: DataFrame, delay: str = "36 hours") -> DataFrame:
     return events.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def observe(events: DataFrame, out_path: str, checkpoint: str, delay: str = "36 hours") -> StreamingQuery:
+    """Append the first observation of every event of a stream to a table.
+
+    Files are taken in the order of their arrival.  An id is remembered until the watermark (the newest event time
+    less ``delay``) has passed its event; what is older than the watermark itself is late and left out, so a replay
+    is never taken for new.  The table is written exactly once: the file sink logs its batches in the folder.
+    """
+    writer = first_observations(events, delay).writeStream.format("parquet").outputMode("append")
+    return writer.option("path", out_path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def ingest_batch(batch: DataFrame, store_path: str, name: str | None = None) -> None:
     """Add the articles of one micro-batch that nothing in the store matches, with their clusters.
 

@@ -160,6 +160,10 @@ def oracles() -> dict[str, str]:
         "set6_ingest": f"""WITH RECURSIVE {NEWS}, inc AS (SELECT * FROM ev WHERE NOT ({STORE})), {dedup('inc')}, {matched('ev')},
  al AS (SELECT market, symbol, event_id FROM ev WHERE {STORE} UNION ALL SELECT market, symbol, event_id FROM mm WHERE coalesce(ba, bu, bt) IS NULL AND event_id IN (SELECT event_id FROM kept))
  SELECT market, symbol, count(*) AS events, min(event_id) AS first, max(event_id) AS last FROM al GROUP BY market, symbol""",
+        "set6_store_clusters": f"SELECT event_id, cluster_id, cluster_method FROM ({clusters()})",
+        "str2_first_observations": """SELECT 'evt_' || event_id AS event_id, CASE WHEN event_id % 23 = 0 AND ts >= '2024-01-30' THEN 3 WHEN ts < '2024-01-11' THEN 0 WHEN ts < '2024-01-21' THEN 1 ELSE 2 END AS part
+ FROM events WHERE NOT (event_id % 23 = 0 AND ts < '2024-01-15')""",
+        "str3_streamed_view": f"WITH {NEWS} SELECT event_id, market, symbol FROM ev WHERE {SEEN} = 'visible'",
         "set3_headlines": f"WITH {NEWS}, {FIRST} SELECT market, symbol, event_id FROM fh WHERE r = 1 AND hk <> ''",
         "top6_headlines": f"""WITH {NEWS}, {FIRST}, p AS (SELECT market, symbol, event_id, row_number() OVER (PARTITION BY market, symbol ORDER BY event_time, source_type, event_id) AS position FROM fh WHERE r = 1 AND hk <> '')
  SELECT * FROM p WHERE position <= 8""",
