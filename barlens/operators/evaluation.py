@@ -84,17 +84,15 @@ def cross_sections(outcomes: DataFrame, scores: list[str], min_rows: int) -> Dat
     return long.withColumns({
         "score_rank": average_rank(keys, F.col("score_value")),
         "return_rank": average_rank(keys, F.col("forward_return_pct")),
-        "descending_pct": average_rank(keys, -F.col("score_value")) / F.col("_n"),
-    })
+    }).withColumn("descending_pct", (F.col("_n") + 1 - F.col("score_rank")) / F.col("_n"))
 
 
 def rank_ic(sections: DataFrame) -> DataFrame:
+    """Mean and median over the dates; a group holds one row per date, so the plain median serves."""
     daily = sections.groupBy("as_of", "horizon", "score").agg(
         correlation(F.col("score_rank"), F.col("return_rank")).alias("spearman"))
-    mean = daily.groupBy("horizon", "score").agg(
-        F.count_distinct("as_of").alias("date_count"), F.avg("spearman").alias("mean_spearman"))
-    median = exact_quantiles(daily, ["horizon", "score"], "spearman", {"median_spearman": 0.5})
-    return mean.join(median, ["horizon", "score"], "left")
+    return daily.groupBy("horizon", "score").agg(
+        F.count_distinct("as_of").alias("date_count"), F.avg("spearman").alias("mean_spearman"), F.median("spearman").alias("median_spearman"))
 
 
 def rank_groups(sections: DataFrame) -> DataFrame:

@@ -1,128 +1,95 @@
-"""Exact order statistics without bringing a group into one task.
-
-``percentile``/``median`` keep every distinct value of a group in one hash map
-and a rank window sorts the group in one task; neither survives a group of
-billions.  Values are binned instead: equal-width bins between the group's
-bounds, then equal-width bins inside each bin.  Binning is monotone, so ranks
-add up from bin counts, and only the last, tiny bins are sorted.  Each step
-shuffles counts (combined map-side), never the rows of a group.
-
-Group keys must be closed enumerations (grade, action, split, horizon ...), at
-most ``MAX_GROUPS`` combinations: that is what makes the broadcast of one row
-per group, and of one row per wanted rank, bounded.
+"""Exact order statistics by radix selection, without bringing a group into one task.
+
+``percentile``/``median`` keep every distinct value of a group in one hash map and a rank window sorts the group in
+one task; neither survives a group of billions.  A double's bits, read as a signed integer, order like the doubles
+themselves, so a wanted rank is found digit by digit: rows are counted by their leading digit (combined map-side), the
+digit that holds the rank is kept, and only rows with that digit are counted by their next one.  Three digits of
+at most 23 bits settle a rank whatever the values; what one task sorts are the counts of one digit, at most 2**23 rows.
+
+Groups may be any number of any columns, null included.  The places found so far are broadcast while their counted
+rows are few; beyond that the passes are joins.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlens.session import cut
 
-BINS = 1024
-MAX_GROUPS = 10_000
-
+#: Bits below the first digit, and below the second.
+FIRST, SECOND = 46, 23
+#: So many located places (a few numbers each) may be broadcast.
+MOST_BROADCAST = 1 << 16
 
-def _bin(v: Column, low: Column, high: Column) -> Column:
-    wide = F.least(F.floor((v - low) / (high - low) * BINS), F.lit(BINS - 1)).cast("int")
-    return F.when(high > low, wide).otherwise(0)
 
+def ordered_image(v: Column) -> Column:
+    """The double's bits as a long that orders like it; both zeros are 0, NaN comes last."""
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), v + F.lit(0.0)).cast("bigint")
+    # Below zero the bits without the sign count downwards; -0.0 + 0.0 is 0.0.
+    return F.when(F.isnan(v) | (v >= 0), bits).otherwise(-bits.bitwiseAND((1 << 63) - 1))
 
-def _same(left: str, right: str, keys: list[str]) -> Column:
-    """Null-safe key equality between two aliased frames."""
-    return reduce(lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
+def _digits(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(g, v, d1, d2, d3) of all values; ``g`` is the group as a struct, whose nulls are equal."""
+    group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
+    rows = df.select(group.alias("g"), F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull()).withColumn("image", ordered_image(F.col("v")))
+    low = (1 << SECOND) - 1
+    return rows.select("g", "v", F.shiftright("image", FIRST).alias("d1"), F.shiftright("image", SECOND).bitwiseAND(low).alias("d2"), F.col("image").bitwiseAND(low).alias("d3"))
 
-def _attach(rows: DataFrame, small: DataFrame, keys: list[str], extra: list[str]) -> DataFrame:
-    """Join one bounded row per key (see module note) to the rows."""
-    if not keys:
-        keys = ["_all"]
-        rows, small = rows.withColumn("_all", F.lit(1)), small.withColumn("_all", F.lit(1))
-    on = _same("r", "s", keys)
-    joined = rows.alias("r").join(F.broadcast(small.alias("s")), on)
-    return joined.select("r.*", *[F.col(f"s.{c}") for c in extra]).drop("_all")
 
+def _at(places: DataFrame) -> DataFrame:
+    return F.broadcast(places) if places.count() <= MOST_BROADCAST else places
 
-def _before(counts: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Rows of the group in earlier bins; a group has at most BINS bins here."""
-    w = Window.partitionBy(*keys).orderBy(order) if keys else Window.partitionBy(F.lit(1)).orderBy(order)
-    upto = F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumn("before", upto - F.col("c"))
 
-
-def binned(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows with ``bin``, per-bin counts with ``before``, per-group bounds).
-
-    Bounds and bin counts are a few rows per group; they are checkpointed so that
-    the later steps read them back instead of planning their scans again.
-    """
-    rows = df.select(*keys, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    bounds = cut(rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")))
-    rows = _attach(rows, bounds, keys, ["low", "high"])
-    rows = rows.withColumn("bin", _bin(F.col("v"), F.col("low"), F.col("high"))).drop("low", "high")
-    bins = cut(rows.groupBy(*keys, "bin").agg(
-        F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high")))
-    return rows, _before(bins, keys, "bin"), bounds
-
-
-def _subdivide(rows: DataFrame, bins: DataFrame, keys: list[str]) -> DataFrame:
-    rows = _attach(rows, bins, [*keys, "bin"], ["low", "high"])
-    return rows.withColumn("sub", _bin(F.col("v"), F.col("low"), F.col("high"))).drop("low", "high")
-
-
-def _locate(ranks: DataFrame, counts: DataFrame, on: list[str], take: list[str]) -> DataFrame:
-    """The bin each wanted rank falls into, and the rank left inside it."""
-    match = _same("k", "c", on) if on else F.lit(True)
-    hit = (F.col("k.rest") >= F.col("c.before")) & (F.col("k.rest") < F.col("c.before") + F.col("c.c"))
-    return cut(ranks.alias("k").join(F.broadcast(counts.alias("c")), match & hit).select(
-        *[F.col(f"k.{c}") for c in ranks.columns if c != "rest"],
-        *[F.col(f"c.{c}") for c in take],
-        (F.col("k.rest") - F.col("c.before")).alias("rest"),
-    ))
+def _within(counts: DataFrame, on: list[str], digit: str, wanted: Column, carry: list[str]) -> DataFrame:
+    """The digits that hold wanted ranks: ``wanted`` is an array of (rank, rest), rest counted within ``on``."""
+    upto = Window.partitionBy(*on).orderBy(digit).rowsBetween(Window.unboundedPreceding, 0)
+    rows = counts.withColumn("before", F.sum("c").over(upto) - F.col("c"))
+    inside = F.filter(wanted, lambda w: (w["rest"] >= F.col("before")) & (w["rest"] < F.col("before") + F.col("c")))
+    rows = rows.withColumn("wanted", F.transform(inside, lambda w: F.struct(w["rank"].alias("rank"), (w["rest"] - F.col("before")).alias("rest")))).filter(F.size("wanted") > 0)
+    return rows.select(*on, digit, "wanted", *carry)
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """One row per group with a linearly interpolated quantile per name in ``probs``.
+    """One row per group with a linearly interpolated quantile per name in ``probs``; groups without a value have none.
 
-    Four passes over the input (keep it persisted), each a map-side combined count.
+    Three passes over the input (keep it persisted), each a map-side combined count.
     """
-    rows, bins, bounds = binned(df, keys, value)
+    rows = _digits(df, keys, value)
     spots = [(F.col("n") - 1) * p for p in probs.values()]
-    wanted = F.array_distinct(F.flatten(F.array(*[
-        F.array(F.floor(s).cast("long"), F.ceil(s).cast("long")) for s in spots])))
-    ranks = bounds.select(*keys, F.explode(wanted).alias("rank")).withColumn("rest", F.col("rank"))
-    ranks = _locate(ranks, bins, keys, ["bin", "low", "high"])
-    rows = _subdivide(rows, ranks.select(*keys, "bin", "low", "high").distinct(), keys)
-    subs = rows.groupBy(*keys, "bin", "sub").agg(F.count(F.lit(1)).alias("c"))
-    ranks = _locate(ranks.drop("low", "high"), _before(subs, [*keys, "bin"], "sub"), [*keys, "bin"], ["sub"])
-    spot = [*keys, "bin", "sub"]
-    values = _attach(rows, ranks.select(*spot).distinct(), spot, []).groupBy(*spot, "v").agg(F.count(F.lit(1)).alias("c"))
-    found = _locate(ranks, _before(values, spot, "v"), spot, ["v"])
-    lookup = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
-    joined = _attach(bounds, lookup, keys, ["at"])
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(s).cast("bigint"), F.ceil(s).cast("bigint")) for s in spots])))
+    counts = rows.groupBy("g", "d1").agg(F.count(F.lit(1)).alias("c"))
+    counts = counts.withColumn("n", F.sum("c").over(Window.partitionBy("g")))
+    every = F.transform(ranks, lambda k: F.struct(k.alias("rank"), k.alias("rest")))
+    places = cut(_within(counts, ["g"], "d1", every, ["n"]))
+    counts = rows.join(_at(places), ["g", "d1"]).groupBy("g", "d1", "d2").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("wanted").alias("asked"))
+    places = cut(_within(counts, ["g", "d1"], "d2", F.col("asked"), ["n"]))
+    counts = rows.join(_at(places), ["g", "d1", "d2"]).groupBy("g", "d1", "d2", "d3").agg(
+        F.count(F.lit(1)).alias("c"), F.min("v").alias("v"), F.first("n").alias("n"), F.first("wanted").alias("asked"))
+    found = _within(counts, ["g", "d1", "d2"], "d3", F.col("asked"), ["n", "v"])
+    found = found.select("g", "n", F.explode(F.transform("wanted", lambda w: w["rank"])).alias("rank"), "v")
+    found = found.groupBy("g", "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
     out = []
-    for (name, _), s in zip(probs.items(), spots):
-        low = F.element_at("at", F.floor(s).cast("long"))
-        high = F.element_at("at", F.ceil(s).cast("long"))
+    for (name, _), s in zip(probs.items(), spots, strict=True):
+        low, high = (F.element_at("at", f(s).cast("bigint")) for f in (F.floor, F.ceil))
         out.append((low + (high - low) * (s - F.floor(s))).alias(name))
-    return joined.select(*keys, *out)
+    return found.select(*[F.col(f"g.{k}").alias(k) for k in keys], *out)
 
 
 def average_ranks(df: DataFrame, value: str) -> DataFrame:
-    """(v, rank): average rank of every distinct value over the whole input."""
-    rows, bins, _ = binned(df, [], value)
-    bins = cut(bins)
-    values = _subdivide(rows, bins, []).groupBy("bin", "sub", "v").agg(F.count(F.lit(1)).alias("c"))
-    inner = Window.partitionBy("bin", "sub").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    """(v, rank): average rank of every distinct value over the whole input.
+
+    Ranks add up from the counts of the first digit (at most 2**18 rows) and, within it, of the values.
+    """
+    rows = _digits(df, [], value)
+    values = rows.groupBy("d1", "d2", "d3").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("v"))
+    inner = Window.partitionBy("d1").orderBy("d2", "d3").rowsBetween(Window.unboundedPreceding, 0)
     values = values.withColumn("_upto", F.sum("c").over(inner))
-    subs = _before(values.groupBy("bin", "sub").agg(F.sum("c").alias("c")), ["bin"], "sub")
-    subs = subs.select("bin", "sub", F.col("before").alias("sub_before"))
-    ranked = values.join(subs, ["bin", "sub"])
-    ranked = _attach(ranked, bins.select("bin", "before"), ["bin"], ["before"])
-    first = F.col("before") + F.col("sub_before") + F.col("_upto") - F.col("c")
-    return ranked.select("v", (first + (F.col("c") + 1) / 2.0).alias("rank"))
+    cells = rows.groupBy("d1").agg(F.count(F.lit(1)).alias("c"))
+    over = Window.partitionBy(F.lit(1)).orderBy("d1").rowsBetween(Window.unboundedPreceding, 0)
+    cells = cells.select("d1", (F.sum("c").over(over) - F.col("c")).alias("before"))
+    first = F.col("before") + F.col("_upto") - F.col("c")
+    return values.join(cells, "d1").select("v", (first + (F.col("c") + 1) / 2.0).alias("rank"))
 
 
 def spearman(df: DataFrame, left: str, right: str) -> DataFrame:

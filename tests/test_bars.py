@@ -188,6 +188,15 @@ def test_exact_quantiles_and_ranks(spark):
     assert rho == pytest.approx(pdf["x"].rank().corr(pdf["y"].rank()))
 
 
+def test_images_order_like_the_values(spark):
+    values = sorted({0.0, 5e-324, 2.2250738585072014e-308, 1e-310, 1.0, 1.0 + 2**-52, 2.0, 3.5, 1e308, float("inf"), 2.0**-1, 1 - 2**-53, 0.1, 1e16})
+    values = [-v for v in reversed(values) if v] + values + [float("nan")]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").select("k", quantiles.ordered_image(F.col("v")).alias("image"))
+    assert [r["k"] for r in df.orderBy("image").collect()] == list(range(len(values))) and df.select("image").distinct().count() == len(values)
+    zeros = spark.createDataFrame([(0.0,), (-0.0,)], "v double").select(quantiles.ordered_image(F.col("v")).alias("image")).collect()
+    assert [r["image"] for r in zeros] == [0, 0]
+
+
 def test_summary_and_ordering(spark):
     rows = spark.createDataFrame(pd.DataFrame({
         "as_of": ["d1", "d2"], "horizon": [5, 5], "grade": ["A", "A"], "action": ["interest", "interest"], "forward_return_pct": [10.0, -5.0],
