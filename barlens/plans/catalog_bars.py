@@ -199,15 +199,14 @@ def decision_scales(spark, sf):
 
 def decision_patterns(spark, sf):
     """The 18-field pattern summary of every decision row."""
-    return similarity.with_similarity(shared.frame(spark, sf), F.col("on_grid")).select(
-        *ID, "sample_count", "up_count", "up_rate", "median_return_pct", "recent_sample_count", "recent_up_count",
-        "recent_up_rate", "nearest_distance", "similarity_status", "candidate_count", "average_up_return_pct",
-        "average_down_return_pct", "invalidation_count", "invalidation_rate", "expected_return_pct",
-        "downside_p25_pct", "payoff_ratio")
+    return rounded(similarity.with_similarity(shared.frame(spark, sf), F.col("on_grid")), [
+        *ID, "sample_count", "up_count", "recent_sample_count", "recent_up_count", "similarity_status", "candidate_count", "invalidation_count"], [
+        "up_rate", "median_return_pct", "recent_up_rate", "nearest_distance", "average_up_return_pct", "average_down_return_pct",
+        "invalidation_rate", "expected_return_pct", "downside_p25_pct", "payoff_ratio"])
 
 
 def nearest_neighbors(spark, sf):
-    return similarity.neighbors(shared.frame(spark, sf), F.col("on_grid"))
+    return rounded(similarity.neighbors(shared.frame(spark, sf), F.col("on_grid")), ["market", "symbol", "i", "neighbor_i", "pattern_hit"], ["distance", "pattern_return_pct"])
 
 
 def weekly(spark, sf):

@@ -355,6 +355,19 @@ def oracles() -> dict[str, str]:
  md AS (SELECT symbol, feature, median(x) AS m, stddev_pop(x) AS sd, count(x) AS candidates FROM lng GROUP BY ALL),
  ma AS (SELECT l.symbol, l.feature, sd, candidates, median(abs(x - m)) * 1.4826 AS mad FROM lng l JOIN md USING (symbol, feature) GROUP BY ALL)
  SELECT symbol, feature, candidates, round(CASE WHEN (CASE WHEN mad > 1e-8 THEN mad ELSE sd END) > 1e-8 THEN (CASE WHEN mad > 1e-8 THEN mad ELSE sd END) ELSE 1.0 END, 4) AS scale FROM ma""",
+        "agg12_decision_scales": f"{FEAT}, {SCALES} SELECT symbol, session_date, {_NAMES}[f] AS feature, candidates, round(scale, 4) AS scale FROM sc",
+        "top4_neighbors": f"""{FEAT}, {NEAREST} SELECT market, symbol, i::INT AS i, k::INT AS neighbor_i, round(largest, 4) AS distance, round(ret, 4) AS pattern_return_pct, hit AS pattern_hit FROM near""",
+        "agg13_pattern_summary": f"""{FEAT}, {NEAREST},
+ turn AS (SELECT *, row_number() OVER (PARTITION BY symbol, i ORDER BY k DESC) AS age, count(*) OVER (PARTITION BY symbol, i) AS n FROM near),
+ g AS (SELECT symbol, i, count(*) AS n, count(*) FILTER (ret > 0) AS up, median(ret) AS med, min(largest) AS nearest, avg(ret) FILTER (ret > 0) AS au, avg(ret) FILTER (ret <= 0) AS ad,
+  count(*) FILTER (hit) AS inv, avg(ret) AS mean, quantile_cont(ret, 0.25) AS p25, count(*) FILTER (age <= greatest(1, ceil(n * 0.25))) AS rn, count(*) FILTER (age <= greatest(1, ceil(n * 0.25)) AND ret > 0) AS ru FROM turn GROUP BY symbol, i)
+ SELECT c.symbol, c.session_date, coalesce(g.n, 0)::INT AS sample_count, coalesce(up, 0)::INT AS up_count, round(up / g.n * 100.0, 4) AS up_rate, round(med, 4) AS median_return_pct, coalesce(rn, 0)::INT AS recent_sample_count,
+  coalesce(ru, 0)::INT AS recent_up_count, round(ru / rn * 100.0, 4) AS recent_up_rate, round(nearest, 4) AS nearest_distance,
+  CASE WHEN NOT ({' AND '.join(f'c.f_{c} IS NOT NULL' for c in FEATURES)} AND history_count >= 25) THEN 'too_little_history' WHEN g.n IS NULL THEN 'no_match' WHEN g.n < 15 THEN 'small_sample' WHEN g.n < 25 THEN 'caution'
+   WHEN up / g.n * 100.0 >= 65 AND ru / rn * 100.0 >= 50 THEN 'favourable' WHEN up / g.n * 100.0 < 45 THEN 'unfavourable' ELSE 'no_edge' END AS similarity_status,
+  candidate_count, round(au, 4) AS average_up_return_pct, round(ad, 4) AS average_down_return_pct, coalesce(inv, 0)::INT AS invalidation_count, round(inv / g.n * 100.0, 4) AS invalidation_rate,
+  round(mean, 4) AS expected_return_pct, round(p25, 4) AS downside_p25_pct, round(au / abs(nullif(ad, 0)), 4) AS payoff_ratio
+ FROM us c JOIN cnt USING (symbol, i) LEFT JOIN g USING (symbol, i) WHERE c.i >= 79 AND c.i <= c.n - 1 - 20""",
         "agg14_weekly": f"WITH {BARS}, {WEEKLY} SELECT symbol, session_date, open, high, low, close, volume, round(trade_value / 1e6, 6) AS trade_value FROM wk",
         "agg15_profile": f"""WITH {BARS}, n AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY session_date) - 1 AS i, (high + low + close) / 3.0 AS p, volume FROM bars),
  e AS (SELECT a.symbol, a.i, b.p, b.volume FROM n a JOIN n b ON a.symbol = b.symbol AND b.i BETWEEN a.i - 139 AND a.i WHERE a.i >= 79),
@@ -390,6 +403,26 @@ def oracles() -> dict[str, str]:
     }
 
 
+_NAMES = "[" + ", ".join(f"'{c}'" for c in FEATURES) + "]"
+_VALUES = lambda t: "[" + ", ".join(f"{t}.f_{c}" for c in FEATURES) + "]"
+#: Every decision row with its same-state candidates, feature by feature, and the robust scale of each feature.
+SCALES = f"""us AS (SELECT *, {USABLE} AS usable FROM feat),
+cnt AS (SELECT c.symbol, c.i, count(h.i) AS history_count, count(h.i) FILTER ({SAME}) AS candidate_count
+ FROM us c LEFT JOIN (SELECT * FROM us WHERE usable) h ON c.symbol = h.symbol AND h.i <= c.i - 10 WHERE c.i >= 79 GROUP BY ALL),
+cand AS (SELECT c.market, c.symbol, c.session_date, c.i, h.i AS k, {_VALUES('c')} AS cx, {_VALUES('h')} AS hx, h.pattern_return_pct AS ret, h.pattern_hit AS hit
+ FROM us c JOIN us h ON c.symbol = h.symbol AND {SAME} AND h.i <= c.i - 10 AND h.usable WHERE c.i >= 79 AND c.i <= c.n - 1 - 20),
+lng AS (SELECT symbol, session_date, i, k, f, hx[f] AS x, cx[f] AS y FROM cand, range(1, {len(FEATURES)} + 1) AS r(f)),
+md AS (SELECT symbol, i, f, median(x) AS m, stddev_pop(x) AS sd, count(x) AS candidates FROM lng GROUP BY ALL),
+ma AS (SELECT l.symbol, l.session_date, l.i, l.f, sd, candidates, median(abs(x - m)) * 1.4826 AS mad FROM lng l JOIN md USING (symbol, i, f) GROUP BY ALL),
+sc AS (SELECT *, CASE WHEN (CASE WHEN mad > 1e-8 THEN mad ELSE sd END) > 1e-8 THEN (CASE WHEN mad > 1e-8 THEN mad ELSE sd END) ELSE 1.0 END AS scale FROM ma)"""
+#: Nearest candidates by the largest, then the mean scaled difference, each more than ten rows from those taken before.
+NEAREST = f"""{SCALES},
+ready AS (SELECT c.symbol, c.i FROM us c JOIN cnt USING (symbol, i) WHERE history_count >= 25 AND candidate_count > 0 AND {' AND '.join(f'c.f_{c} IS NOT NULL' for c in FEATURES)}),
+dist AS (SELECT l.symbol, l.i, l.k, max(abs((x - y) / scale)) AS largest, avg(abs((x - y) / scale)) AS mean FROM lng l JOIN sc USING (symbol, i, f) JOIN ready USING (symbol, i) GROUP BY ALL),
+kept AS (SELECT symbol, i, unnest(list_reduce(list_transform(list(k ORDER BY largest, mean, k), lambda x: [x]),
+  lambda acc, x: CASE WHEN len(acc) < 30 AND len(list_filter(acc, lambda y: abs(y - x[1]) <= 10)) = 0 THEN list_concat(acc, x) ELSE acc END)) AS k FROM dist GROUP BY symbol, i),
+near AS (SELECT c.market, c.symbol, c.session_date, c.i, c.k, d.largest, c.ret, c.hit FROM kept JOIN cand c USING (symbol, i, k) JOIN dist d USING (symbol, i, k))"""
+
 COUNTS_CTE = f"""us AS (SELECT *, {USABLE} AS usable FROM feat),
 cnt AS (SELECT c.symbol, c.session_date, count(h.i) AS history_count, count(h.i) FILTER ({SAME}) AS candidate_count
  FROM us c LEFT JOIN (SELECT * FROM us WHERE usable) h ON c.symbol = h.symbol AND h.i <= c.i - 10 WHERE c.i >= 79 GROUP BY ALL)"""
