@@ -270,6 +270,41 @@ def snapshot_counts(lineage: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("visible_events"), F.count_distinct("raw_hash").alias("raw_hashes"))
 
 
+def visible_from() -> Column:
+    """When an event first may be used; null while its first sighting is unknown."""
+    return F.when(F.col("first_seen_at").isNotNull(), F.greatest("event_time", "first_seen_at"))
+
+
+def lineage_deltas(analyses: DataFrame, events: DataFrame) -> DataFrame:
+    """The evidence that each analysis sees and none of its symbol's earlier ones did: one row per event.
+
+    An analysis's whole evidence is its delta and those before it, so daily analyses cost the events once, not once a
+    day.  Every event joins its scope's analyses of one day, and the first one of a later day.
+    """
+    day = [*SCOPE, "_day"]
+    runs = analyses.groupBy(*SCOPE, F.to_date("analysis_timestamp").alias("_day")).agg(F.sort_array(F.collect_list(F.struct("analysis_timestamp", "analysis_id"))).alias("_runs"))
+    seen = events.withColumn("visible_from", visible_from()).filter("visible_from is not null").withColumn("_day", F.to_date("visible_from"))
+    calendar = seen.select(*day).distinct().join(runs, day, "full")
+    after = Window.partitionBy(*SCOPE).orderBy("_day").rowsBetween(1, Window.unboundedFollowing)
+    calendar = calendar.withColumn("_later", F.first(F.get("_runs", F.lit(0)), ignorenulls=True).over(after))
+    joined = seen.join(calendar, day).withColumn("_run", F.coalesce(F.get(F.filter("_runs", lambda r: r["analysis_timestamp"] >= F.col("visible_from")), F.lit(0)), F.col("_later")))
+    return joined.filter("_run is not null").select(F.col("_run.analysis_id").alias("analysis_id"), F.col("_run.analysis_timestamp").alias("analysis_timestamp"),
+                                                    *SCOPE, "event_id", "source_type", "visible_from")
+
+
+def running_counts(analyses: DataFrame, events: DataFrame) -> DataFrame:
+    """Visible events of every analysis, by source group and in all: running sums of the deltas."""
+    group = F.when(F.lit(False), "")
+    for source, name in SOURCE_GROUPS.items():
+        group = group.when(F.col("source_type") == source, name)
+    names = [*dict.fromkeys(SOURCE_GROUPS.values())]
+    new = lineage_deltas(analyses, events).withColumn("_group", group).groupBy("analysis_id").agg(
+        *[F.count_if(F.col("_group") == n).alias(n) for n in names], F.count(F.lit(1)).alias("visible_events"))
+    so_far = Window.partitionBy(*SCOPE).orderBy("analysis_timestamp", "analysis_id")
+    rows = analyses.join(new, "analysis_id", "left")
+    return rows.select("analysis_id", *[F.coalesce(F.sum(n).over(so_far), F.lit(0)).alias(n) for n in (*names, "visible_events")])
+
+
 def missing_lineage(lineage: DataFrame, events: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Lineage rows whose event or raw artifact is gone."""
     no_event = lineage.join(events.select("event_id").distinct(), "event_id", "left_anti").select(

@@ -54,6 +54,49 @@ def robust_scale(history: np.ndarray) -> np.ndarray:
     return np.where(scale > 1e-8, scale, 1.0)
 
 
+class Expanding:
+    """Robust scale of a history that grows row by row.
+
+    Each feature's values stay sorted, so the median is read off, and the median deviation from it is found by
+    halving: the values nearest to the median are a stretch of the sorted ones.  A decision costs the logarithm of
+    its history instead of a sort of it.
+    """
+
+    def __init__(self, rows: np.ndarray):
+        self.rows, self.n = rows, 0
+        self.ordered = np.empty((rows.shape[1], len(rows)))
+
+    def grow(self, n: int) -> None:
+        """Take in the rows up to ``n``."""
+        for row in self.rows[self.n:n]:
+            for values, x in zip(self.ordered, row, strict=True):
+                at = int(np.searchsorted(values[:self.n], x))
+                values[at + 1:self.n + 1] = values[at:self.n]
+                values[at] = x
+            self.n += 1
+
+    def _deviation(self, median: np.ndarray, k: int) -> np.ndarray:
+        """The k-th smallest deviation from the median, per feature."""
+        every = np.arange(len(median))
+        low, high = np.zeros(len(median), int), np.full(len(median), self.n - k)
+        while (low < high).any():
+            middle = (low + high) // 2
+            move = (low < high) & (median - self.ordered[every, middle] > self.ordered[every, np.minimum(middle + k, self.n - 1)] - median)
+            low, high = np.where(move, middle + 1, low), np.where(move | (low >= high), high, middle)
+        return np.maximum(median - self.ordered[every, low], self.ordered[every, low + k - 1] - median)
+
+    def scale(self) -> np.ndarray:
+        """As ``robust_scale`` of the rows taken in."""
+        n = self.n
+        median = (self.ordered[:, (n - 1) // 2] + self.ordered[:, n // 2]) / 2
+        upper = self._deviation(median, n // 2 + 1)
+        mad = (upper if n % 2 else (self._deviation(median, n // 2) + upper) / 2) * 1.4826
+        flat = ~(mad > 1e-8)
+        if flat.any():
+            mad[flat] = self.rows[:n, flat].std(axis=0)
+        return np.where(mad > 1e-8, mad, 1.0)
+
+
 def purged(order: np.ndarray, positions: np.ndarray, limit: int, embargo: int = HORIZON) -> list[int]:
     """Indices kept in order, each more than ``embargo`` rows from every kept one."""
     kept: list[int] = []
@@ -76,14 +119,19 @@ def _nearest(pdf: pd.DataFrame) -> pd.DataFrame:
     usable = pdf["_usable"].to_numpy(dtype=bool)
     hist_rows, hist_x = rows[usable], x[usable]
     out_i, out_k, out_d = [], [], []
+    seen = Expanding(hist_x)
     for at in np.nonzero(pdf["_decide"].to_numpy(dtype=bool))[0]:
         n = int(np.searchsorted(hist_rows, rows[at] - HORIZON, side="right"))
         if n == 0:
             continue
         history = hist_x[:n]
-        difference = np.abs((history - x[at]) / robust_scale(history))
+        seen.grow(n)
+        difference = np.abs((history - x[at]) / seen.scale())
         largest = difference.max(axis=1)
-        order = np.lexsort((difference.mean(axis=1), largest))
+        # A taken row keeps at most 2 * HORIZON others out, so rows beyond that many times the limit are never asked.
+        most = (2 * HORIZON + 1) * max(10, NEIGHBORS)
+        near = np.arange(n) if n <= most else np.flatnonzero(largest <= np.partition(largest, most - 1)[most - 1])
+        order = near[np.lexsort((difference[near].mean(axis=1), largest[near]))]
         kept = purged(order, hist_rows[:n], min(max(10, NEIGHBORS), n))
         out_i.extend([rows[at]] * len(kept))
         out_k.extend(kept)
@@ -114,11 +162,12 @@ def _scales(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("i")
     rows, usable = pdf["i"].to_numpy(), pdf["_usable"].to_numpy(dtype=bool)
     hist_rows, hist_x = rows[usable], pdf.loc[usable, COLUMNS].to_numpy(dtype=float)
-    out = []
+    out, seen = [], Expanding(hist_x)
     for at in np.nonzero(pdf["_decide"].to_numpy(dtype=bool))[0]:
         n = int(np.searchsorted(hist_rows, rows[at] - HORIZON, side="right"))
         if n:
-            out.extend((pdf["session_date"].iloc[at], f, n, x) for f, x in zip(FEATURES, robust_scale(hist_x[:n])))
+            seen.grow(n)
+            out.extend((pdf["session_date"].iloc[at], f, n, x) for f, x in zip(FEATURES, seen.scale(), strict=True))
     made = pd.DataFrame(out, columns=["session_date", "feature", "candidates", "scale"])
     return made.assign(market=pdf["market"].iloc[0], symbol=pdf["symbol"].iloc[0])
 

@@ -270,6 +270,37 @@ def eligible_on(day: Column) -> Column:
     return inside & F.lower("security_type").isin("common_stock", "common", "cs", "stock")
 
 
+def point_in_time_slice(bars: DataFrame, requests: DataFrame, history: DataFrame, zone: str, time: str = "session_date") -> DataFrame:
+    """Bars that each request may know: (request_id and the bar's columns).
+
+    ``requests``: request_id, market, symbol, as_of (a date).  ``history``: market, symbol, security_type and the dates
+    of listing, delisting and ticker use, one row per ticker range.  Bars carry a session date, or an instant in
+    ``time``, which counts by its day in the market's ``zone``.  A symbol with history rows has bars only if one of its
+    ranges is eligible on the day asked for; a symbol without any is not checked.  No session is filled in.
+    """
+    keys = ["market", "symbol"]
+    h = history.select(*keys, "security_type", "listing_date", "delisting_date", "ticker_start_date", "ticker_end_date")
+    ranges = requests.select(*keys, "request_id", "as_of").join(h, keys).groupBy("request_id").agg(F.max(eligible_on(F.col("as_of")).cast("int")).alias("_eligible"))
+    asked = requests.select("request_id", *keys, "as_of").join(ranges, "request_id", "left").filter(F.coalesce(F.col("_eligible"), F.lit(1)) == 1)
+    day = F.col(time) if dict(bars.dtypes)[time] == "date" else F.to_date(F.from_utc_timestamp(time, zone))
+    return bars.withColumn("_day", day).join(asked.select("request_id", *keys, "as_of"), keys).filter(F.col("_day") <= F.col("as_of")).select("request_id", *bars.columns)
+
+
+def security_metadata(requests: DataFrame, assets: DataFrame) -> DataFrame:
+    """Metadata of the published stocks: assets of kind ``stock`` with a processed file, with the request's names.
+
+    ``requests``: market, symbol, name, sector, position (of repeated requests the last counts).  ``assets``: market,
+    symbol, kind, processed_path, exchange, security_type, listing_date, delisting_date.
+    """
+    keys = ["market", "symbol"]
+    last = requests.groupBy(*keys).agg(F.max_by(F.struct("name", "sector"), "position").alias("r"))
+    stocks = assets.filter((F.col("kind") == "stock") & (F.coalesce("processed_path", F.lit("")) != ""))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    return stocks.join(last, keys).select(
+        *keys, "exchange", "r.name", F.col("r.name").alias("korean_name"), F.col("r.name").alias("english_name"), "r.sector", "security_type",
+        F.lit(False).alias("is_etf"), text("listing_date"), text("delisting_date"), F.lit("").alias("permanent_id"))
+
+
 def tail_rows(bars: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     """The newest ``n`` rows per key; the rank filter limits each task before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(F.col(order).desc())

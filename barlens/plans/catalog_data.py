@@ -292,6 +292,43 @@ def eligible_days(spark, sf):
     return b.filter(universe.eligible_on(F.col("session_date"))).groupBy("symbol").agg(F.count(F.lit(1)).alias("days"), F.max("session_date").alias("last"))
 
 
+def _ranges(b):
+    """Two ticker ranges a symbol, of which the first ends before the second begins."""
+    number = F.regexp_extract("symbol", "([0-9]+)$", 1).cast("int")
+    rows = b.select("market", "symbol").distinct().withColumn("n", number).select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
+    return rows.select(
+        "market", "symbol", F.when(F.col("n") % 5 == 0, "etf").otherwise("CS").alias("security_type"), F.date_add(F.lit("1993-01-01").cast("date"), F.col("n") * 9).alias("listing_date"),
+        F.when(F.col("n") % 2 == 0, F.lit("1997-06-30").cast("date")).alias("delisting_date"), F.when(F.col("k") == 2, F.lit("1996-01-01").cast("date")).alias("ticker_start_date"),
+        F.when(F.col("k") == 1, F.lit("1995-03-31").cast("date")).alias("ticker_end_date"))
+
+
+def sliced_bars(spark, sf):
+    """What requests of three days may know of every symbol's bars; a third of the symbols has no history rows."""
+    b = shared.bars(spark, sf)
+    days = F.explode(F.array(*[F.lit(d).cast("date") for d in ("1995-02-01", "1995-08-01", "1997-12-31")])).alias("as_of")
+    asked = b.select("market", "symbol").distinct().select("market", "symbol", days).withColumn("request_id", F.concat_ws("|", "symbol", "as_of"))
+    history = _ranges(b).filter(F.regexp_extract("symbol", "([0-9]+)$", 1).cast("int") % 3 != 0)
+    return universe.point_in_time_slice(b, asked, history, "America/New_York").select("request_id", "session_date", "close")
+
+
+def sliced_ticks(spark, sf):
+    """Ticks as instants: the day in Seoul decides."""
+    ticks = tables.minute_bars(spark, sf).select("market", "symbol", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    asked = ticks.select("market", "symbol").distinct().select("market", "symbol", F.lit("2024-01-09").cast("date").alias("as_of"), F.col("symbol").alias("request_id"))
+    return universe.point_in_time_slice(ticks, asked, _ranges(ticks).limit(0), "Asia/Seoul", "ts").select("request_id", "event_id")
+
+
+def metadata(spark, sf):
+    """Customers asked for, some twice, against assets of suppliers of the same number."""
+    c = tables.table(spark, sf, "customer")
+    asked = c.select(F.lit("US").alias("market"), (F.col("c_custkey") % 90).cast("string").alias("symbol"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("sector"), F.col("c_custkey").alias("position"))
+    s = tables.table(spark, sf, "supplier")
+    k = F.col("s_suppkey")
+    assets = s.select(F.lit("US").alias("market"), k.cast("string").alias("symbol"), F.when(k % 4 == 0, "proxy").otherwise("stock").alias("kind"), F.when(k % 5 != 0, F.concat(F.lit("p/"), k.cast("string"))).alias("processed_path"),
+                      F.when(k % 2 == 0, "NYSE").otherwise("NASDAQ").alias("exchange"), F.lit("common_stock").alias("security_type"), F.when(k % 3 == 0, F.lit("1995-01-01")).alias("listing_date"), F.lit(None).cast("string").alias("delisting_date"))
+    return universe.security_metadata(asked, assets)
+
+
 def board_rows(spark, sf):
     """Daily turnover ranks per board joined to a master; the best score per symbol and date."""
     daily, _ = tables.cross_section_rows(spark, sf)
@@ -374,7 +411,8 @@ QUERIES = {
     "flt9_regular_session": regular_minutes, "flt10_completed_minutes": completed_minutes, "flt3_us_common": us_filter, "flt4_kr_common": kr_filter,
     "flt5_security_type": types, "join1_rankings": blended, "join2_rul18_candidates": candidates, "top1_win_r2_selection": selected,
     "agg25_stats": stats, "src9_join4_cross_section": cross_section, "win_r1_turnover_rank": cross_section_totals, "src9_prices": cross_prices,
-    "src10_index_rows": index_rows, "agg23_membership": membership, "join5_members": member_bars, "flt12_flt13_eligible": eligible_days,
+    "src10_index_rows": index_rows, "agg23_membership": membership, "join5_members": member_bars, "flt12_flt13_eligible": eligible_days, "flt13_sliced_bars": sliced_bars, "flt13_sliced_ticks": sliced_ticks, "join20_metadata": metadata,
+   
     "join3_board_candidates": board_candidates, "top2_board_selection": board_selection, "flt18_resolution": resolved, "top8_tails": tails,
     "src13_batch_gaps": batch_gaps, "scl_s12_symbols": symbols, "scl_s11_numbers": numbers, "str1_closed_buckets": hourly_buckets,
 }

@@ -254,6 +254,14 @@ def snapshot_counts(spark, sf):
     return ev.snapshot_counts(ev.snapshot_lineage(analyses(spark, sf), shared.news(spark, sf)))
 
 
+def running_counts(spark, sf):
+    """An analysis of every symbol each second hour of the first two days."""
+    hours = F.explode(F.sequence(F.lit(0), F.lit(48), F.lit(2))).alias("hour")
+    a = shared.news(spark, sf).select("market", "symbol").distinct().select("market", "symbol", hours)
+    a = a.select(F.concat_ws("|", "market", "symbol", "hour").alias("analysis_id"), "market", "symbol", (at("2024-01-01 00:00:00") + F.make_dt_interval(hours="hour")).alias("analysis_timestamp"))
+    return ev.running_counts(a, shared.news(spark, sf))
+
+
 def capture_records(spark, sf):
     """Distinct evidence ids and raw hashes of each analysis, in long form."""
     line = ev.snapshot_lineage(analyses(spark, sf), shared.news(spark, sf))
@@ -297,6 +305,6 @@ QUERIES = {
     "set6_ingest": store_after_ingest, "set6_store_clusters": store_clusters, "str2_first_observations": first_observations, "str3_streamed_view": streamed_view,
     "set3_headlines": headlines, "top6_headlines": top_headlines,
     "agg17_agg18_scores": news_scores, "agg22_counts": audit_counts, "agg22_quality": audit_quality, "agg22_coverage": coverage,
-    "agg24_lineage": lineage, "agg24_counts": snapshot_counts, "snk10_capture": capture_records, "join16_missing_lineage": missing_lineage,
+    "agg24_lineage": lineage, "agg24_counts": snapshot_counts, "agg24_running_counts": running_counts, "snk10_capture": capture_records, "join16_missing_lineage": missing_lineage,
     "snk12_outcomes": snapshot_outcomes,
 }

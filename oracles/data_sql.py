@@ -124,6 +124,13 @@ def oracles() -> dict[str, str]:
         "join5_members": f"WITH {BARS}, {CAL} SELECT symbol, count(*) AS rows FROM bars SEMI JOIN cal USING (session_date) WHERE volume >= 200000 GROUP BY symbol",
         "flt12_flt13_eligible": f"""WITH {BARS}, x AS (SELECT symbol, session_date, {NUM} AS num FROM bars) SELECT symbol, count(*) AS days, max(session_date) AS last FROM x
  WHERE session_date >= DATE '1995-06-01' + (num * 9) AND (num % 2 = 1 OR session_date <= DATE '2001-06-01' - (num * 9)) AND session_date <= DATE '2001-09-30' AND num % 5 <> 0 GROUP BY symbol""",
+        "flt13_sliced_bars": f"""WITH {BARS}, x AS (SELECT symbol, session_date, close, {NUM} AS num FROM bars), q AS (SELECT DISTINCT symbol, num, unnest([DATE '1995-02-01', DATE '1995-08-01', DATE '1997-12-31']) AS as_of FROM x),
+ e AS (SELECT * FROM q WHERE num % 3 = 0 OR (num % 5 <> 0 AND as_of >= DATE '1993-01-01' + (num * 9) AND (num % 2 = 1 OR as_of <= DATE '1997-06-30') AND (as_of <= DATE '1995-03-31' OR as_of >= DATE '1996-01-01')))
+ SELECT symbol || '|' || as_of AS request_id, session_date, close FROM e JOIN x USING (symbol) WHERE session_date <= as_of""",
+        "flt13_sliced_ticks": """SELECT event_type AS request_id, event_id FROM events WHERE ((ts AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Seoul')::DATE <= DATE '2024-01-09'""",
+        "join20_metadata": """WITH r AS (SELECT (c_custkey % 90)::VARCHAR AS symbol, arg_max(c_name, c_custkey) AS name, arg_max(c_mktsegment, c_custkey) AS sector FROM customer GROUP BY ALL)
+ SELECT 'US' AS market, symbol, CASE WHEN s_suppkey % 2 = 0 THEN 'NYSE' ELSE 'NASDAQ' END AS exchange, name, name AS korean_name, name AS english_name, sector, 'common_stock' AS security_type, false AS is_etf,
+ CASE WHEN s_suppkey % 3 = 0 THEN '1995-01-01' ELSE '' END AS listing_date, '' AS delisting_date, '' AS permanent_id FROM supplier JOIN r ON symbol = s_suppkey::VARCHAR WHERE s_suppkey % 4 <> 0 AND s_suppkey % 5 <> 0""",
         "join3_board_candidates": f"""WITH {SECTION}, sc AS (SELECT p_brand AS symbol, arg_min(p_type, p_partkey) AS sector FROM part GROUP BY p_brand),
  r AS (SELECT b.session_date AS as_of, code AS symbol, board, sector, close, row_number() OVER (PARTITION BY b.session_date, board ORDER BY round(close) * volume DESC, code) AS k FROM bars b JOIN bx USING (symbol) JOIN sc USING (symbol))
  SELECT as_of, symbol, board, sector, greatest(0.0, 500.0 - k)::DOUBLE AS rank_score FROM r WHERE close >= 5000""",

@@ -181,6 +181,9 @@ def oracles() -> dict[str, str]:
         "agg24_lineage": f"WITH {NEWS}, {LINE} SELECT * EXCLUDE (source_type) FROM line",
         "agg24_counts": f"""WITH {NEWS}, {LINE} SELECT analysis_id, {", ".join(f"count(*) FILTER (source_group = '{g}') AS {g}" for g in ('dart_event_ids', 'edgar_event_ids', 'naver_news_ids', 'google_news_ids', 'gdelt_candidate_ids'))},
  count(*) AS visible_events, count(DISTINCT raw_hash) AS raw_hashes FROM line GROUP BY analysis_id""",
+        "agg24_running_counts": f"""WITH {NEWS}, a AS (SELECT market, symbol, h, TIMESTAMP '2024-01-01' + to_hours(h::INT) AS t FROM (SELECT DISTINCT market, symbol FROM ev), range(0, 49, 2) AS r(h))
+ SELECT a.market || '|' || a.symbol || '|' || a.h AS analysis_id, {", ".join(f"count(*) FILTER (source_type IN ({s})) AS {g}" for g, s in (('dart_event_ids', "'OPENDART'"), ('edgar_event_ids', "'SEC_EDGAR'"), ('naver_news_ids', "'NAVER_NEWS'"), ('google_news_ids', "'GOOGLE_NEWS_RSS'"), ('gdelt_candidate_ids', "'GDELT_GKG', 'GDELT_DOC'")))},
+ count(event_id) AS visible_events FROM a LEFT JOIN ev ON ev.market = a.market AND ev.symbol = a.symbol AND ev.event_time <= t AND ev.first_seen_at <= t GROUP BY a.market, a.symbol, a.h""",
         "snk10_capture": f"WITH {NEWS}, {LINE} SELECT analysis_id, 'event' AS kind, event_id AS reference FROM line UNION SELECT analysis_id, 'raw', raw_hash FROM line",
         "join16_missing_lineage": f"""WITH {NEWS}, {LINE} SELECT analysis_id, event_id AS reference, 'event' AS missing FROM line WHERE source_type = 'GDELT_DOC'
  UNION ALL SELECT analysis_id, raw_hash, 'raw' FROM line WHERE raw_hash NOT IN (SELECT raw_hash FROM ev WHERE source_type <> 'NAVER_NEWS')""",

@@ -188,6 +188,17 @@ def test_exact_quantiles_and_ranks(spark):
     assert rho == pytest.approx(pdf["x"].rank().corr(pdf["y"].rank()))
 
 
+def test_scale_of_a_growing_history():
+    g = np.random.default_rng(7)
+    rows = np.round(g.normal(size=(300, 5)), 1)
+    rows[:, 1] = 3.0
+    rows[:, 2] = np.where(np.arange(300) % 40 == 0, 1.0, 0.0)  # no median deviation: the population deviation counts
+    seen = similarity.Expanding(rows)
+    for n in (*range(1, 40), 77, 150, 151, 300):
+        seen.grow(n)
+        np.testing.assert_allclose(seen.scale(), similarity.robust_scale(rows[:n]), rtol=1e-12)
+
+
 def test_images_order_like_the_values(spark):
     values = sorted({0.0, 5e-324, 2.2250738585072014e-308, 1e-310, 1.0, 1.0 + 2**-52, 2.0, 3.5, 1e308, float("inf"), 2.0**-1, 1 - 2**-53, 0.1, 1e16})
     values = [-v for v in reversed(values) if v] + values + [float("nan")]
