@@ -140,7 +140,11 @@ def semicolon_values(text: Column, strip_offsets: bool = False) -> Column:
     return F.array_distinct(items)
 
 
-def headline_key(title: Column) -> Column:
-    """Headline identity: folded word characters, the first 120 of them."""
-    return F.substring(F.regexp_replace(fold(title), r"(?U)\W+", ""), 1, 120)
+def headline_key(title: Column, length: int | None = None) -> Column:
+    """Headline identity: folded word characters, all of them or the first ``length``.
+
+    For one-line headlines 120 characters are the customary key; texts of several sentences need the whole.
+    """
+    key = F.regexp_replace(fold(title), r"(?U)\W+", "")
+    return key if length is None else F.substring(key, 1, length)
 

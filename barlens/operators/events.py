@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barlens.functions import classify, fixed_values as fixed, text as t
+from barlens.operators import environment
 from barlens.operators.leaders import HEADS, SCOPE, WINDOW_HOURS, cluster_name, comparable, order, rarity, settle
 from barlens.session import cut
 
@@ -187,9 +188,13 @@ def ingest_clustered(incoming: DataFrame, store: DataFrame) -> DataFrame:
 # ---- headlines ------------------------------------------------------------------------------------
 
 
-def first_headlines(items: DataFrame, limit: int | None = None) -> DataFrame:
-    """One item per headline key and scope, the first by order; optionally the first ``limit``."""
-    keyed = items.withColumn("_key", t.headline_key(F.col("title"))).filter(F.col("_key") != "")
+def first_headlines(items: DataFrame, limit: int | None = None, key_length: int | None = None) -> DataFrame:
+    """One item per headline key and scope, the first by order; optionally the first ``limit``.
+
+    The key is the whole folded headline, or its first ``key_length`` characters; it travels as a digest.
+    """
+    keyed = items.withColumn("_key", t.headline_key(F.col("title"), key_length)).filter(F.col("_key") != "")
+    keyed = keyed.withColumn("_key", F.sha2(F.col("_key").cast("binary"), 256))
     first = keyed.groupBy(*SCOPE, "_key").agg(F.min(order()).alias("o")).select(*SCOPE, "_key", "o.*")
     if limit is None:
         return first.drop("_key")
@@ -204,6 +209,45 @@ def official_items(events: DataFrame, now: Column, limit: int = 8) -> DataFrame:
     return seen.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit)
 
 
+def market_overview(markets: DataFrame, items: DataFrame, failures: DataFrame) -> DataFrame:
+    """The news side of every market's overview; a score is null only where its source failed.
+
+    ``markets``: market, market_score.  ``items``: market, feed (``news``, ``events``, ``fallback``), title, scope and
+    the order columns.  ``failures``: market, feed of the requests that failed.  Where the event feed failed, fallback
+    items, if there are any, take its place and the failure is made good.  Result: market, market_score, news_score,
+    event_risk, environment_score and its label, feeds (those that gave items), headlines (the first 8 ids of distinct headlines),
+    event_headlines (the first 6, with scope and relevance to the market).
+    """
+    has = lambda feed: F.max((F.col("feed") == feed).cast("int"))
+    failed = failures.groupBy("market").agg(*[has(f).alias(f"failed_{f}") for f in ("news", "events")])
+    given = items.groupBy("market").agg(*[has(f).alias(f"has_{f}") for f in ("news", "events", "fallback")])
+    state = markets.join(failed, "market", "left").join(given, "market", "left").fillna(0, [f"{p}_{f}" for p, f in (
+        ("failed", "news"), ("failed", "events"), ("has", "news"), ("has", "events"), ("has", "fallback"))])
+    state = state.withColumn("replaced", (F.col("failed_events") == 1) & (F.col("has_fallback") == 1))
+    rows = items.join(state.select("market", "replaced"), "market")
+    news = rows.filter(F.col("feed") == "news")
+    used = rows.filter(F.col("feed") == F.when(F.col("replaced"), "fallback").otherwise("events"))
+    used = used.withColumns({
+        "scope": classify.scope(F.col("title"), F.coalesce(F.nullif("scope", F.lit("")), F.lit("GLOBAL_EVENT"))),
+        "relevance": classify.context_relevance(F.col("title"), F.col("market"), F.lit(""), F.lit(""))})
+    scored = news.withColumn("sentiment", classify.sentiment(F.col("title"))).groupBy("market").agg(environment.news_score().alias("_news"))
+    risky = used.withColumn("risk", classify.headline_risk(F.col("title"))).groupBy("market").agg(environment.event_risk().alias("_risk"))
+
+    def listed(df: DataFrame, limit: int, name: str, *more: str) -> DataFrame:
+        first = first_headlines(df.withColumn("symbol", F.lit("*")), limit).select("market", "event_id", "position")
+        first = first.join(df.select("market", "event_id", *more), ["market", "event_id"])
+        return first.groupBy("market").agg(F.sort_array(F.collect_list(F.struct("position", "event_id", *more))).alias(name))
+
+    out = state.join(scored, "market", "left").join(risky, "market", "left")
+    out = out.join(listed(news, 8, "headlines"), "market", "left").join(listed(used, 6, "event_headlines", "scope", "relevance"), "market", "left")
+    no_events = (F.col("failed_events") == 1) & ~F.col("replaced") & (F.col("has_events") == 0)
+    out = out.withColumns({
+        "news_score": F.when(~((F.col("failed_news") == 1) & (F.col("has_news") == 0)), F.coalesce("_news", F.lit(50))),
+        "event_risk": F.when(~no_events, F.coalesce("_risk", F.lit(15)))})
+    feeds = F.array_compact(F.array(F.when(F.col("has_news") == 1, "news"), F.when(F.col("has_events") == 1, "events"), F.when(F.col("replaced"), "fallback")))
+    return environment.with_environment(out.select("market", "market_score", "news_score", "event_risk", feeds.alias("feeds"), "headlines", "event_headlines"))
+
+
 # ---- audit and snapshots ------------------------------------------------------------------------------
 
 

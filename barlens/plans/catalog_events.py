@@ -293,7 +293,24 @@ def news_scores(spark, sf):
     return n.groupBy("market", "symbol").agg(environment.news_score().alias("news_score"), environment.event_risk().alias("event_risk"))
 
 
+def overview(spark, sf):
+    """Every symbol's news as a market of its own; some lack a feed, and some feeds failed."""
+    n = shared.news(spark, sf)
+    number = F.coalesce(F.try_element_at(F.split("symbol", "#"), F.lit(2)).cast("int"), F.lit(0))
+    rows = n.withColumns({"n": number, "feed": F.element_at(F.array(F.lit("news"), F.lit("events"), F.lit("fallback")), (F.col("doc_id") % 3 + 1).cast("int"))})
+    kept = F.when(F.col("feed") == "news", F.col("n") % 8 != 0).when(F.col("feed") == "events", F.col("n") % 3 != 0).otherwise(F.col("n") % 2 == 1)
+    items = rows.filter(kept).select(F.col("symbol").alias("market"), "feed", "title", "scope", "event_time", "source_type", "event_id")
+    markets = n.select("symbol").distinct().withColumn("n", number)
+    failures = markets.select(F.col("symbol").alias("market"), F.explode(F.array_compact(F.array(F.when(F.col("n") % 4 == 0, "news"), F.when(F.col("n") % 3 == 0, "events")))).alias("feed"))
+    scores = markets.select(F.col("symbol").alias("market"), F.when(F.col("n") % 5 != 0, F.col("n") * 7 % 101).alias("market_score"))
+    ids = lambda c: F.coalesce(F.array_join(F.transform(c, lambda h: h["event_id"]), ","), F.lit("")).alias(c)
+    scopes = F.coalesce(F.array_join(F.transform("event_headlines", lambda h: h["scope"]), ","), F.lit("")).alias("scopes")
+    return ev.market_overview(scores, items, failures).select(
+        "market", "market_score", "news_score", "event_risk", "environment_score", "environment_label", F.array_join("feeds", ",").alias("feeds"), ids("headlines"), ids("event_headlines"), scopes)
+
+
 QUERIES = {
+    "rul20_overview": overview,
     "scl_s1_titles": titles, "scl_s2_tokens": tokens, "scl_s3_similarity": similarity_to_first,
     "scl_s4_numeric_facts": doc_query(facts=lambda: t.numeric_facts(F.col("text"))),
     "scl_s5_entities": entity_names, "scl_s6_alias": alias_match, "scl_s7_urls": urls, "scl_s8_ids": ids,

@@ -72,7 +72,7 @@ ANALYSIS = "'analysis_' || substr(sha256('2024-01-01 12:00:00' || chr(31) || mar
 LINE = f"""line AS (SELECT {ANALYSIS} AS analysis_id, event_id, CASE source_type WHEN 'OPENDART' THEN 'dart_event_ids' WHEN 'SEC_EDGAR' THEN 'edgar_event_ids'
  WHEN 'NAVER_NEWS' THEN 'naver_news_ids' WHEN 'GOOGLE_NEWS_RSS' THEN 'google_news_ids' ELSE 'gdelt_candidate_ids' END AS source_group, event_type, source_level, scope, raw_hash, source_type
  FROM ev WHERE {SEEN} = 'visible')"""
-HKEY = f"substr(regexp_replace({fold('text')}, '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+', '', 'g'), 1, 120)"
+HKEY = f"regexp_replace({fold('text')}, '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+', '', 'g')"
 FIRST = f"""fh AS (SELECT market, symbol, event_id, event_time, source_type, row_number() OVER (PARTITION BY market, symbol, {HKEY} ORDER BY event_time, source_type, event_id) AS r, {HKEY} AS hk FROM ev)"""
 SENT = f"(({HITS('ft', fixed.POSITIVE_TERMS)} - {HITS('ft', fixed.NEGATIVE_TERMS)}) / greatest(1.0, {HITS('ft', fixed.POSITIVE_TERMS)} + {HITS('ft', fixed.NEGATIVE_TERMS)}))::DOUBLE"
 RISK = f"least(1.0::DOUBLE, 0.28::DOUBLE * {HITS('ft', fixed.RISK_TERMS)} + 0.35::DOUBLE * {HITS('ft', fixed.STRONG_RISK_TERMS)})"
@@ -184,6 +184,24 @@ def oracles() -> dict[str, str]:
         "agg24_running_counts": f"""WITH {NEWS}, a AS (SELECT market, symbol, h, TIMESTAMP '2024-01-01' + to_hours(h::INT) AS t FROM (SELECT DISTINCT market, symbol FROM ev), range(0, 49, 2) AS r(h))
  SELECT a.market || '|' || a.symbol || '|' || a.h AS analysis_id, {", ".join(f"count(*) FILTER (source_type IN ({s})) AS {g}" for g, s in (('dart_event_ids', "'OPENDART'"), ('edgar_event_ids', "'SEC_EDGAR'"), ('naver_news_ids', "'NAVER_NEWS'"), ('google_news_ids', "'GOOGLE_NEWS_RSS'"), ('gdelt_candidate_ids', "'GDELT_GKG', 'GDELT_DOC'")))},
  count(event_id) AS visible_events FROM a LEFT JOIN ev ON ev.market = a.market AND ev.symbol = a.symbol AND ev.event_time <= t AND ev.first_seen_at <= t GROUP BY a.market, a.symbol, a.h""",
+        "rul20_overview": f"""WITH {NEWS}, ms AS (SELECT DISTINCT symbol AS market, coalesce(try_cast(split_part(symbol, '#', 2) AS INT), 0) AS n FROM ev),
+ it AS (SELECT e.*, ms.n, ['news', 'events', 'fallback'][CAST(substr(event_id, 5) AS INT) % 3 + 1] AS feed, {HKEY} AS hk, {SENT} AS sen, {RISK} AS rsk FROM ev e JOIN ms ON ms.market = e.symbol),
+ kp AS (SELECT * FROM it WHERE CASE feed WHEN 'news' THEN n % 8 <> 0 WHEN 'events' THEN n % 3 <> 0 ELSE n % 2 = 1 END),
+ us AS (SELECT *, feed = 'news' AS is_news FROM kp WHERE feed = 'news' OR feed = CASE WHEN n % 3 = 0 AND n % 2 = 1 AND symbol IN (SELECT symbol FROM kp WHERE feed = 'fallback') THEN 'fallback' ELSE 'events' END),
+ hd AS (SELECT *, row_number() OVER (PARTITION BY symbol, is_news ORDER BY event_time, source_type, event_id) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY symbol, is_news, hk ORDER BY event_time, source_type, event_id) AS r FROM us WHERE hk <> '') WHERE r = 1),
+ g AS (SELECT ms.market, n, CASE WHEN n % 5 <> 0 THEN n * 7 % 101 END AS market_score,
+  (SELECT CAST(round_even(greatest(0, least(100, 50 + avg(sen) * 32)), 0) AS INT) FROM us WHERE us.symbol = ms.market AND is_news) AS ns,
+  (SELECT CAST(round_even(greatest(0, least(100, 10 + 45 * avg(rsk) + 30 * max(rsk) + 10 * least(1, ln(1 + count(*)) / ln(13)))), 0) AS INT) FROM us WHERE us.symbol = ms.market AND NOT is_news) AS er,
+  (SELECT count(*) FROM kp WHERE kp.symbol = ms.market AND feed = 'news') AS cn, (SELECT count(*) FROM kp WHERE kp.symbol = ms.market AND feed = 'events') AS ce, (SELECT count(*) FROM kp WHERE kp.symbol = ms.market AND feed = 'fallback') AS cf FROM ms),
+ s AS (SELECT *, CASE WHEN n % 4 = 0 AND cn = 0 THEN NULL ELSE coalesce(ns, 50) END AS news_score, CASE WHEN n % 3 = 0 AND ce = 0 AND cf = 0 THEN NULL ELSE coalesce(er, 15) END AS event_risk FROM g),
+ c AS (SELECT *, CASE WHEN market_score IS NULL AND news_score IS NULL AND event_risk IS NULL THEN 50 ELSE CAST(round_even((coalesce(market_score * 0.55, 0) + coalesce(news_score * 0.25, 0) + coalesce((100.0 - event_risk) * 0.2, 0))
+  / (CASE WHEN market_score IS NULL THEN 0 ELSE 0.55 END + CASE WHEN news_score IS NULL THEN 0 ELSE 0.25 END + CASE WHEN event_risk IS NULL THEN 0 ELSE 0.2 END), 0) AS INT) END AS environment_score FROM s)
+ SELECT market, market_score::INT AS market_score, news_score, event_risk, environment_score, CASE WHEN market_score IS NULL AND news_score IS NULL AND event_risk IS NULL THEN 'no_info' WHEN environment_score >= 72 THEN 'very_favourable' WHEN environment_score >= 60 THEN 'favourable'
+  WHEN environment_score >= 45 THEN 'neutral' WHEN environment_score >= 35 THEN 'burden' ELSE 'heavy_burden' END AS environment_label,
+  array_to_string(list_filter([CASE WHEN cn > 0 THEN 'news' END, CASE WHEN ce > 0 THEN 'events' END, CASE WHEN n % 3 = 0 AND cf > 0 THEN 'fallback' END], lambda x: x IS NOT NULL), ',') AS feeds,
+  coalesce((SELECT string_agg(event_id, ',' ORDER BY pos) FROM hd WHERE hd.symbol = c.market AND is_news AND pos <= 8), '') AS headlines,
+  coalesce((SELECT string_agg(event_id, ',' ORDER BY pos) FROM hd WHERE hd.symbol = c.market AND NOT is_news AND pos <= 6), '') AS event_headlines,
+  coalesce((SELECT string_agg(scope, ',' ORDER BY pos) FROM hd WHERE hd.symbol = c.market AND NOT is_news AND pos <= 6), '') AS scopes FROM c""",
         "snk10_capture": f"WITH {NEWS}, {LINE} SELECT analysis_id, 'event' AS kind, event_id AS reference FROM line UNION SELECT analysis_id, 'raw', raw_hash FROM line",
         "join16_missing_lineage": f"""WITH {NEWS}, {LINE} SELECT analysis_id, event_id AS reference, 'event' AS missing FROM line WHERE source_type = 'GDELT_DOC'
  UNION ALL SELECT analysis_id, raw_hash, 'raw' FROM line WHERE raw_hash NOT IN (SELECT raw_hash FROM ev WHERE source_type <> 'NAVER_NEWS')""",
