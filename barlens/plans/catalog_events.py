@@ -11,7 +11,7 @@ from barlens.operators import environment, events as ev
 from barlens.operators.event_store import EventStore
 from barlens.plans import shared
 from barlens.session import shared_folder
-from barlens.sources import driver_tables as tables
+from barlens.sources import driver_tables as tables, sinks
 from barlens.streaming.jobs import observe, usable_view
 
 AS_OF = "2024-01-01 12:00:00"
@@ -309,7 +309,16 @@ def overview(spark, sf):
         "market", "market_score", "news_score", "event_risk", "environment_score", "environment_label", F.array_join("feeds", ",").alias("feeds"), ids("headlines"), ids("event_headlines"), scopes)
 
 
+def snapshot_round_trip(spark, sf):
+    """Snapshots written as nested records and read back."""
+    a = analyses(spark, sf)
+    folder = _folder(spark, "snapshots")
+    sinks.write_snapshots(a, ev.snapshot_lineage(a, shared.news(spark, sf)), folder)
+    return sinks.snapshot_events(sinks.read_snapshots(spark, folder)).select("analysis_id", "event_id", "source_group", "event_type", "source_level", "scope", "raw_hash")
+
+
 QUERIES = {
+    "snk11_scl_j1_snapshots": snapshot_round_trip,
     "rul20_overview": overview,
     "scl_s1_titles": titles, "scl_s2_tokens": tokens, "scl_s3_similarity": similarity_to_first,
     "scl_s4_numeric_facts": doc_query(facts=lambda: t.numeric_facts(F.col("text"))),

@@ -202,6 +202,7 @@ def oracles() -> dict[str, str]:
   coalesce((SELECT string_agg(event_id, ',' ORDER BY pos) FROM hd WHERE hd.symbol = c.market AND is_news AND pos <= 8), '') AS headlines,
   coalesce((SELECT string_agg(event_id, ',' ORDER BY pos) FROM hd WHERE hd.symbol = c.market AND NOT is_news AND pos <= 6), '') AS event_headlines,
   coalesce((SELECT string_agg(scope, ',' ORDER BY pos) FROM hd WHERE hd.symbol = c.market AND NOT is_news AND pos <= 6), '') AS scopes FROM c""",
+        "snk11_scl_j1_snapshots": f"WITH {NEWS}, {LINE} SELECT * EXCLUDE (source_type) FROM line",
         "snk10_capture": f"WITH {NEWS}, {LINE} SELECT analysis_id, 'event' AS kind, event_id AS reference FROM line UNION SELECT analysis_id, 'raw', raw_hash FROM line",
         "join16_missing_lineage": f"""WITH {NEWS}, {LINE} SELECT analysis_id, event_id AS reference, 'event' AS missing FROM line WHERE source_type = 'GDELT_DOC'
  UNION ALL SELECT analysis_id, raw_hash, 'raw' FROM line WHERE raw_hash NOT IN (SELECT raw_hash FROM ev WHERE source_type <> 'NAVER_NEWS')""",

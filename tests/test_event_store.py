@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barlens.operators import events as ev, leaders as ld
 from barlens.operators.event_store import EventStore
+from barlens.sources import sinks
 from barlens.streaming import jobs
 from tests.test_events import SCHEMA, T0, event, made
 
@@ -97,3 +98,18 @@ def test_first_observations_in_a_running_stream(spark, tmp_path):
     assert spark.read.parquet(out).filter("event_id = 'a'").count() == 1
     jobs.observe(spark.readStream.schema(schema).parquet(feed), out, str(tmp_path / "c")).awaitTermination(120)  # nothing more
     assert spark.read.parquet(out).count() == 5
+
+
+def test_snapshot_records(spark, tmp_path, monkeypatch):
+    """Nested records: several for much evidence, none lost, defaults for what a record does not have."""
+    monkeypatch.setattr(sinks, "RECORD_EVENTS", 4)
+    events = made(spark, [event(k, f"title {k}", f"http://a/{k}", f"x{k}", k) for k in range(30)])
+    analyses = spark.createDataFrame([("a1", "US", "AAA", T0 + dt.timedelta(minutes=20)), ("a2", "US", "BBB", T0)], "analysis_id string, market string, symbol string, analysis_timestamp timestamp")
+    folder = str(tmp_path / "snapshots")
+    sinks.write_snapshots(analyses, ev.snapshot_lineage(analyses, events), folder)
+    records = sinks.read_snapshots(spark, folder)
+    got = records.filter("analysis_id = 'a1'").collect()
+    assert len(got) > 1 and sorted(e for r in got for e in r["naver_news_ids"]) == sorted(e["event_id"] for r in got for e in r["lineage"]) == [f"e{k:03d}" for k in range(21)]
+    (empty,) = records.filter("analysis_id = 'a2'").collect()
+    assert (empty["part"], empty["parts"], empty["lineage"], empty["dart_event_ids"]) == (0, 1, [], [])
+    assert sinks.snapshot_events(records).groupBy("source_group").count().collect() == [("naver_news_ids", 21)]
