@@ -23,6 +23,12 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    """Each vector by the power of two that brings its largest component to 0.5 to 1: no cosine changes, and no square
+    overflows or vanishes."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
+
+
 def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, seed: int = 11):
     """Per query the ``k`` best verified candidates of the block: (query, vector, cosine) positions."""
     unit, asked = _unit(vectors), _unit(queries)
@@ -75,8 +81,8 @@ def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, quer
 def nearest_patterns(patterns: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` nearest patterns of every query by cosine.
 
-    ``patterns`` and ``queries``: ``pattern_id`` (long), ``features`` (array of numbers, one
-    length throughout).  Output: ``query_id``, ``rank`` (from 1), ``pattern_id``, ``score``; nearest
+    ``patterns`` and ``queries``: ``pattern_id`` (long), ``features`` (array of
+    numbers).  Output: ``query_id``, ``rank`` (from 1), ``pattern_id``, ``score``; nearest
     first, ties to the smaller id; a pattern with the query's id is no candidate.
 
     Every pattern is indexed, in hashed blocks of bounded size: a block holds one sorted
@@ -86,7 +92,9 @@ def nearest_patterns(patterns: DataFrame, queries: DataFrame, k: int = 5) -> Dat
     Query blocks meet all pattern blocks, so no group grows with the data.
 
     Vectors that are null, zero, or hold null or non-finite numbers take no part, nor do
-    rows without an id; repeated rows are candidates each; an empty side gives an empty result.
+    rows without an id, nor vectors of another length than most patterns have (of equally
+    frequent lengths the longer counts); finite numbers may be of any size.  Repeated rows are
+    candidates each; an empty side gives an empty result.
     """
     def usable(rows: DataFrame) -> DataFrame:
         values = F.col("features").cast("array<double>")
@@ -95,6 +103,9 @@ def nearest_patterns(patterns: DataFrame, queries: DataFrame, k: int = 5) -> Dat
         return rows.filter(F.col("pattern_id").isNotNull() & fine).select(F.col("pattern_id").cast("bigint").alias("pattern_id"), values.alias("features"))
 
     indexed, asked = stored(usable(patterns), "patterns"), stored(usable(queries), "pattern-queries")
+    length = indexed.groupBy(F.size("features").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    if length is not None:
+        indexed, asked = (rows.filter(F.size("features") == length["n"]) for rows in (indexed, asked))
     v_blocks, q_blocks = bucket_count(indexed.count(), BLOCK_VECTORS), bucket_count(asked.count(), BLOCK_QUERIES)
     blocks = indexed.withColumn("v", F.pmod(F.xxhash64("pattern_id", F.lit(1)), F.lit(v_blocks))).withColumn(
         "q", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
@@ -106,7 +117,7 @@ def nearest_patterns(patterns: DataFrame, queries: DataFrame, k: int = 5) -> Dat
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": np.empty(0, np.int64), "pattern_id": np.empty(0, np.int64), "score": np.empty(0)})
         ids, query_ids = left["pattern_id"].to_numpy(np.int64), right["pattern_id"].to_numpy(np.int64)
-        found = search_block(np.stack(left["features"].to_numpy()), ids, np.stack(right["features"].to_numpy()), query_ids, k)
+        found = search_block(_scaled(np.stack(left["features"].to_numpy())), ids, _scaled(np.stack(right["features"].to_numpy())), query_ids, k)
         if not found:
             return pd.DataFrame({"query_id": np.empty(0, np.int64), "pattern_id": np.empty(0, np.int64), "score": np.empty(0)})
         q, v, score = (np.concatenate(part) for part in zip(*found, strict=True))

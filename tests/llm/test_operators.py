@@ -225,6 +225,24 @@ def test_neighbours(frame, repeat):
     assert neighbours.nearest_patterns(patterns.limit(0), patterns).count() == 0
 
 
+def test_neighbours_of_extreme_and_ragged_vectors(frame):
+    """Finite numbers of any size have their cosine; vectors of another length take no part."""
+    draw = np.random.default_rng(6)
+    base = [v.tolist() for v in draw.standard_normal((40, 4))]
+    rows = [(i, [x * (1e200, 1.0, 1e-200)[i % 3] for x in v]) for i, v in enumerate(base)]
+    ragged = [(100, [1.0]), (150, [1.0, 2.0, 3.0]), (101, [])]
+    patterns = frame([(*r, "x") for r in rows + ragged], "pattern_id bigint, features array<double>, query_id string")
+    got: dict = {}
+    for r in neighbours.nearest_patterns(patterns, patterns.filter("pattern_id % 50 = 0 or pattern_id % 10 = 7")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["pattern_id"], r["score"]))
+    unit = np.array(base) / np.sqrt((np.array(base) ** 2).sum(1, keepdims=True))
+    assert set(got) == {0, 7, 17, 27, 37}
+    for q, found in got.items():
+        score = unit @ unit[q]
+        score[q] = -2
+        assert [p for p, _ in found] == np.argsort(-score)[:5].tolist() and all(abs(s - score[p]) < 1e-9 for p, s in found)
+
+
 def test_language_model(frame, titles):
     rows = table(frame, titles + [prose(500 + i % 5, 40) for i in range(30)])
     got = language_model.score_titles(rows).collect()
