@@ -109,6 +109,34 @@ def session_gaps(bars: DataFrame, sessions: DataFrame | None) -> DataFrame:
         extra.select(*KEYS, "session_date", F.lit("non_session_date").alias("code")))
 
 
+_OFFSET = r"(Z|[+-][0-9]{2}:?[0-9]{2})$"
+
+
+def read_stamps(bars: DataFrame, zone: Column) -> DataFrame:
+    """Add session_date, readable and off_zone from the text ``stamp`` as delivered.
+
+    The day is the one the text shows.  A stamp with an offset is off its zone when the market's clock (``zone``)
+    shows another time at that instant; one without an offset is not checked.
+    """
+    wall = F.try_to_timestamp(F.regexp_replace("stamp", _OFFSET, ""))
+    shown = F.from_utc_timestamp(F.try_to_timestamp("stamp"), zone)
+    has_offset = F.col("stamp").rlike(r"[0-9]{2}:[0-9]{2}.*" + _OFFSET)
+    return bars.withColumns({"readable": F.try_to_timestamp("stamp").isNotNull(), "session_date": F.to_date(F.when(has_offset, wall).otherwise(F.try_to_timestamp("stamp"))),
+                             "off_zone": F.coalesce(has_offset & (shown != wall), F.lit(False))})
+
+
+def inspect_stamped(bars: DataFrame, zone: Column, sessions: DataFrame | None = None, stale_after: str | None = None) -> DataFrame:
+    """``inspect`` of bars whose days are still text: a symbol with an unreadable stamp has that one issue and no
+    other; a symbol with stamps off its market's zone has a warning beside the rest."""
+    rows = read_stamps(bars, zone)
+    state = rows.groupBy(*KEYS).agg(F.min(F.col("readable").cast("int")).alias("_ok"), F.max(F.col("off_zone").cast("int")).alias("_off"))
+    code = F.when(F.col("_ok") == 0, F.struct(F.lit("error").alias("severity"), F.lit("invalid_datetime_index").alias("code"))).when(
+        F.col("_off") == 1, F.struct(F.lit("warning").alias("severity"), F.lit("timezone_mismatch").alias("code")))
+    stamps = state.withColumn("_i", code).filter("_i is not null").select(*KEYS, "_i.*", F.lit(1).cast("long").alias("count"), F.array().cast("array<string>").alias("examples"))
+    good = rows.join(state.filter("_ok = 1").select(*KEYS), KEYS, "left_semi").drop("stamp", "readable", "off_zone")
+    return inspect(good, sessions, stale_after).select(*stamps.columns).unionByName(stamps)
+
+
 def inspect(bars: DataFrame, sessions: DataFrame | None = None, stale_after: str | None = None) -> DataFrame:
     """issues(market, symbol, severity, code, count, examples) of bars as delivered.
 

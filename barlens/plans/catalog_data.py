@@ -329,6 +329,18 @@ def metadata(spark, sf):
     return universe.security_metadata(asked, assets)
 
 
+def text_stamps(spark, sf):
+    """Bars with their days as text: some unreadable, some with an offset that is or is not the market's."""
+    b = shared.raw_bars(spark, sf).select("market", "symbol", "session_date").withColumn("n", F.regexp_extract("symbol", "([0-9]+)$", 1).cast("int") % 6)
+    day = F.col("session_date").cast("string")
+    stamp = (F.when((F.col("n") == 0) & (F.dayofmonth("session_date") == 13), "n/a").when(F.col("n") == 1, F.concat(day, F.lit("T00:00:00Z")))
+             .when(F.col("n") == 2, F.concat(day, F.lit(" 00:00:00+09:00"))).otherwise(day))
+    zone = F.when(F.col("market") == "KR", "Asia/Seoul").otherwise("America/New_York")
+    rows = quality.read_stamps(b.withColumn("stamp", stamp).drop("session_date"), zone)
+    return rows.groupBy("symbol").agg(F.count_if(~F.col("readable")).alias("unreadable"), F.count_if("off_zone").alias("off_zone"),
+                                      F.count("session_date").alias("days"), F.max("session_date").alias("last"))
+
+
 def board_rows(spark, sf):
     """Daily turnover ranks per board joined to a master; the best score per symbol and date."""
     daily, _ = tables.cross_section_rows(spark, sf)
@@ -411,7 +423,7 @@ QUERIES = {
     "flt9_regular_session": regular_minutes, "flt10_completed_minutes": completed_minutes, "flt3_us_common": us_filter, "flt4_kr_common": kr_filter,
     "flt5_security_type": types, "join1_rankings": blended, "join2_rul18_candidates": candidates, "top1_win_r2_selection": selected,
     "agg25_stats": stats, "src9_join4_cross_section": cross_section, "win_r1_turnover_rank": cross_section_totals, "src9_prices": cross_prices,
-    "src10_index_rows": index_rows, "agg23_membership": membership, "join5_members": member_bars, "flt12_flt13_eligible": eligible_days, "flt13_sliced_bars": sliced_bars, "flt13_sliced_ticks": sliced_ticks, "join20_metadata": metadata,
+    "src10_index_rows": index_rows, "agg23_membership": membership, "join5_members": member_bars, "flt12_flt13_eligible": eligible_days, "agg19_text_stamps": text_stamps, "flt13_sliced_bars": sliced_bars, "flt13_sliced_ticks": sliced_ticks, "join20_metadata": metadata,
    
     "join3_board_candidates": board_candidates, "top2_board_selection": board_selection, "flt18_resolution": resolved, "top8_tails": tails,
     "src13_batch_gaps": batch_gaps, "scl_s12_symbols": symbols, "scl_s11_numbers": numbers, "str1_closed_buckets": hourly_buckets,

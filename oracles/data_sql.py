@@ -124,6 +124,8 @@ def oracles() -> dict[str, str]:
         "join5_members": f"WITH {BARS}, {CAL} SELECT symbol, count(*) AS rows FROM bars SEMI JOIN cal USING (session_date) WHERE volume >= 200000 GROUP BY symbol",
         "flt12_flt13_eligible": f"""WITH {BARS}, x AS (SELECT symbol, session_date, {NUM} AS num FROM bars) SELECT symbol, count(*) AS days, max(session_date) AS last FROM x
  WHERE session_date >= DATE '1995-06-01' + (num * 9) AND (num % 2 = 1 OR session_date <= DATE '2001-06-01' - (num * 9)) AND session_date <= DATE '2001-09-30' AND num % 5 <> 0 GROUP BY symbol""",
+        "agg19_text_stamps": f"""WITH {BARS}, x AS (SELECT market, symbol, session_date, {NUM} % 6 AS n, {NUM} % 6 = 0 AND day(session_date) = 13 AS bad FROM bars)
+ SELECT symbol, count(*) FILTER (bad) AS unreadable, count(*) FILTER (n = 1 OR (n = 2 AND market <> 'KR')) AS off_zone, count(*) FILTER (NOT bad) AS days, max(session_date) FILTER (NOT bad) AS last FROM x GROUP BY symbol""",
         "flt13_sliced_bars": f"""WITH {BARS}, x AS (SELECT symbol, session_date, close, {NUM} AS num FROM bars), q AS (SELECT DISTINCT symbol, num, unnest([DATE '1995-02-01', DATE '1995-08-01', DATE '1997-12-31']) AS as_of FROM x),
  e AS (SELECT * FROM q WHERE num % 3 = 0 OR (num % 5 <> 0 AND as_of >= DATE '1993-01-01' + (num * 9) AND (num % 2 = 1 OR as_of <= DATE '1997-06-30') AND (as_of <= DATE '1995-03-31' OR as_of >= DATE '1996-01-01')))
  SELECT symbol || '|' || as_of AS request_id, session_date, close FROM e JOIN x USING (symbol) WHERE session_date <= as_of""",
