@@ -94,7 +94,7 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repeated_passages.repeated_passages(articles(spark, sf_dir))
     removed = F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["start"])
     return rows.select(F.col("event_id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("runs").cast("bigint").alias("n_spans"),
-                       F.sha2("kept", 256).alias("kept_sha256"))
+                       F.sha2("kept", 256).alias("kept_sha256"), "shared")
 
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from barlens.llm.common import bounded
@@ -18,19 +19,23 @@ GAP, SEED = 128, 16
 #: Half of the first rank's bytes: a sampled position and twice as many bytes lie in every
 #: string of LENGTH bytes that starts up to GAP - 1 before it.
 HALF = 128
+#: Words of a passage that counts as shared between articles however few bytes it has; every run of
+#: WORD_GAP word positions holds a sampled one, chosen by WORD_SEED words.
+PASSAGE, WORD_GAP, WORD_SEED = 51, 26, 2
+#: Words whose names a task remembers.
+WORD_CACHE = 300_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
 class Ranks:
-    """64-bit names of the substrings of one text: equal bytes, equal names."""
+    """64-bit names of the runs of values (bytes or word names) of one text: equal values, equal names."""
 
-    def __init__(self, data: bytes) -> None:
-        self.bytes = np.frombuffer(data, np.uint8)
-        n = len(data)
+    def __init__(self, values: np.ndarray) -> None:
+        n = self.size = len(values)
         with np.errstate(over="ignore"):
-            x = _spread(self.bytes.astype(np.uint64))
+            x = _spread(values.astype(np.uint64))
             power, back = np.full(n, _BASE), np.full(n + 1, _INVERSE)
             if n:
                 power[0] = 1
@@ -60,18 +65,18 @@ def _rolling(x: np.ndarray, width: int, take, worst: int) -> np.ndarray:
     return take(behind[:n - width + 1], ahead[width - 1:n])
 
 
-def sampled(ranks: Ranks) -> np.ndarray:
-    """Positions whose seed name is the smallest of some GAP successive positions."""
-    n = len(ranks.bytes) - SEED + 1
-    if n < GAP:
+def sampled(ranks: Ranks, gap: int = GAP, seed: int = SEED) -> np.ndarray:
+    """Positions whose seed name is the smallest of some ``gap`` successive positions."""
+    n = ranks.size - seed + 1
+    if n < gap:
         return np.empty(0, np.int64)
     at = np.arange(n)
-    names = ranks.of(at, at + SEED)
-    low = _rolling(names, GAP, np.minimum, 2**64 - 1)
+    names = ranks.of(at, at + seed)
+    low = _rolling(names, gap, np.minimum, 2**64 - 1)
     # A position has the minimum of some window around it if the largest of their minima is its own.
-    around = np.zeros(len(low) + 2 * (GAP - 1), np.uint64)
-    around[GAP - 1:GAP - 1 + len(low)] = low
-    return np.flatnonzero(_rolling(around, GAP, np.maximum, 0) == names)
+    around = np.zeros(len(low) + 2 * (gap - 1), np.uint64)
+    around[gap - 1:gap - 1 + len(low)] = low
+    return np.flatnonzero(_rolling(around, gap, np.maximum, 0) == names)
 
 
 def runs_of(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +103,7 @@ def _positions(articles: DataFrame) -> DataFrame:
                 data = (title.as_py() or "").encode()
                 if len(data) < LENGTH:
                     continue
-                ranks = Ranks(data)
+                ranks = Ranks(np.frombuffer(data, np.uint8))
                 at = sampled(ranks)
                 at = at[at + 2 * HALF <= len(data)]
                 back = np.minimum(np.diff(at, prepend=-1), GAP)
@@ -155,7 +160,7 @@ def _strings(texts: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 data = row["title"].encode()
                 at = np.flatnonzero(_before(len(data), np.array(row["anchors"])))
-                names = Ranks(data).of(at, at + LENGTH).view(np.int64)
+                names = Ranks(np.frombuffer(data, np.uint8)).of(at, at + LENGTH).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.full(len(at), row["text"])), pa.array(at.astype(np.int32))], ["name", "text", "pos"])
 
     return texts.select("text", "title", "anchors").mapInArrow(run, "name bigint, text bigint, pos int")
@@ -179,12 +184,91 @@ def _starts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "text_key binary, starts array<int>, ends array<int>")
 
 
+class WordNames:
+    """64-bit names of the words of texts, the last ones remembered."""
+
+    def __init__(self) -> None:
+        self.known: dict[bytes, int] = {}
+
+    def of(self, title: str | None) -> np.ndarray:
+        words = (title or "").encode().split()
+        if len(self.known) > WORD_CACHE:
+            self.known.clear()
+        for w in set(words).difference(self.known):
+            self.known[w] = xxhash.xxh3_64_intdigest(w)
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+
+
+def _word_positions(texts: DataFrame) -> DataFrame:
+    """(text, pos, rank, wide): sampled word positions, the rank of the WORD_GAP words there and
+    that of the PASSAGE words there (null where the text ends before)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = WordNames()
+        for batch in batches:
+            for text, title in zip(batch.column("text"), batch.column("title"), strict=True):
+                ranks = Ranks(names.of(title.as_py()))
+                if ranks.size < PASSAGE:
+                    continue
+                at = sampled(ranks, WORD_GAP, WORD_SEED)
+                at = at[at + WORD_GAP <= ranks.size]
+                wide = ranks.of(at, np.minimum(at + PASSAGE, ranks.size)).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), text.as_py())), pa.array(at.astype(np.int32)), pa.array(ranks.of(at, at + WORD_GAP).view(np.int64)),
+                     pa.array(wide, mask=at + PASSAGE > ranks.size)], ["text", "pos", "rank", "wide"])
+
+    return texts.select("text", "title").mapInArrow(run, "text bigint, pos int, rank bigint, wide bigint")
+
+
+def _word_windows(texts: DataFrame) -> DataFrame:
+    """(name, text): every run of PASSAGE words that has a given anchor among its first WORD_GAP positions."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = WordNames()
+        for batch in batches:
+            for text, title, anchors in zip(batch.column("text"), batch.column("title"), batch.column("anchors"), strict=True):
+                ranks = Ranks(names.of(title.as_py()))
+                anchors = np.array(anchors.as_py())
+                marks = np.zeros(ranks.size - PASSAGE + 2, np.int32)
+                np.add.at(marks, np.clip(anchors - WORD_GAP + 1, 0, len(marks) - 1), 1)
+                np.add.at(marks, np.clip(anchors + 1, 0, len(marks) - 1), -1)
+                at = np.flatnonzero(np.cumsum(marks)[:-1] > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(ranks.of(at, at + PASSAGE).view(np.int64)), pa.array(np.full(len(at), text.as_py()))], ["name", "text"])
+
+    return texts.select("text", "title", "anchors").mapInArrow(run, "name bigint, text bigint")
+
+
+def _in_two_texts(rows: DataFrame, name: str) -> DataFrame:
+    return (rows.filter(F.col(name).isNotNull()).groupBy(name).agg(F.min("text").alias("x"), F.max("text").alias("y")).filter("x <> y").select(name))
+
+
+def shared_texts(rows: DataFrame, copied: DataFrame) -> DataFrame:
+    """Those texts (``text``: a 64-bit name; ``title``) that hold a passage of PASSAGE words which another row holds too.
+
+    Any such passage has a sampled position among its first WORD_GAP, followed by WORD_GAP words
+    of it.  Texts that share the whole passage from a sampled position on are told at once; those
+    that share only the WORD_GAP words are looked at passage by passage, together with their partners.
+    Texts in ``copied`` share all they have."""
+    positions = stored(_word_positions(rows), "sampled-words")
+    wide = stored(_in_two_texts(positions, "wide"), "shared-wide-ranks")
+    told = positions.join(bounded(wide, 16), "wide").select("text").union(positions.join(copied, "text", "left_semi").select("text"))
+    told = stored(told.distinct(), "shared-texts")
+    ranks = stored(_in_two_texts(positions, "rank"), "shared-word-ranks")
+    left = stored(positions.join(bounded(ranks, 16), "rank").select("text", "pos", "rank").distinct(), "shared-positions")
+    open_ = stored(left.join(bounded(told, 16), "text", "left_anti").select("rank").distinct(), "open-word-ranks")
+    anchors = stored(left.join(bounded(open_, 16), "rank").groupBy("text").agg(F.collect_set("pos").alias("anchors")), "open-word-texts")
+    texts = rows.join(bounded(anchors.select("text"), 16), "text").groupBy("text").agg(F.any_value("title").alias("title"))
+    windows = stored(_word_windows(texts.join(anchors, "text")).distinct(), "word-windows")
+    names = stored(_in_two_texts(windows, "name"), "shared-windows")
+    return told.union(windows.join(bounded(names, 16), "name").select("text")).distinct()
+
+
 def repeated_passages(articles: DataFrame) -> DataFrame:
     """Bytes of article titles that lie in a 400-byte string which also starts elsewhere.
 
     Input: ``event_id``, ``title`` (the whole text, read as UTF-8; other columns are
     ignored).  Output per input row: ``event_id``, ``n_bytes``, ``runs`` (removed byte ranges,
-    end exclusive, maximal, in order) and ``kept`` (the remaining bytes).
+    end exclusive, maximal, in order), ``kept`` (the remaining bytes) and ``shared`` (the title holds a
+    passage of 51 words, told apart by white space, that another row's title holds too, be it under
+    400 bytes; such a passage is reported, not removed).
 
     Fingerprints of windows at positions sampled by content, one at least in any 128 in a row
     and the same ones in every copy of a string: pairs of 128-byte ranks at offset 128 are
@@ -199,8 +283,12 @@ def repeated_passages(articles: DataFrame) -> DataFrame:
     repeated row is a copy); an empty table gives an empty result.
     """
     rows = articles.select("event_id", F.coalesce("title", F.lit("")).alias("title")).withColumn("text_key", F.unhex(F.md5(F.col("title").cast("binary"))))
-    whole = stored(rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"), F.max(F.octet_length("title")).alias("n_bytes"))
-                   .filter(F.col("n_bytes") >= LENGTH), "text-sizes")
+    # A passage has two bytes a word at least, but for the last one.
+    sizes = stored(rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"), F.max(F.octet_length("title")).alias("n_bytes"))
+                   .filter(F.col("n_bytes") >= 2 * PASSAGE - 1), "text-sizes")
+    whole = sizes.filter(F.col("n_bytes") >= LENGTH)
+    named = F.xxhash64("text_key").alias("text")
+    shared = stored(shared_texts(rows.select(named, "title"), sizes.filter("copies > 1").select(named)), "texts-with-shared-passages")
     positions = stored(_positions(rows), "sampled-positions")
     ranks = stored(_repeated(positions, "rank"), "repeated-ranks")
     left = stored(positions.join(bounded(ranks, 16), "rank").distinct(), "repeated-positions")
@@ -231,10 +319,11 @@ def repeated_passages(articles: DataFrame) -> DataFrame:
         .otherwise(F.concat(done, F.array(F.struct(x["starts"].alias("start"), (x["ends"] + LENGTH - 1).alias("end"))))))
     out = rows.join(bounded(info, 200), "text_key", "left").withColumn("runs", F.when(F.col("starts").isNotNull(), spans).otherwise(
         F.array().cast("array<struct<start:int,end:int>>")))
+    out = out.withColumn("text", named).join(bounded(shared.withColumn("shared", F.lit(True)), 16), "text", "left")
     data = F.col("title").cast("binary")
     kept = F.aggregate(
         F.concat("runs", F.array(F.struct(F.octet_length("title").alias("start"), F.octet_length("title").alias("end")))),
         F.struct(F.lit(0).alias("at"), F.lit(b"").alias("data")),
         lambda done, r: F.struct(r["end"].alias("at"), F.concat(done["data"], F.substring(data, done["at"] + 1, r["start"] - done["at"])).alias("data")))["data"]
     return out.select("event_id", F.octet_length("title").cast("bigint").alias("n_bytes"), "runs",
-                      F.when(F.size("runs") > 0, kept).otherwise(data).alias("kept"))
+                      F.when(F.size("runs") > 0, kept).otherwise(data).alias("kept"), F.coalesce("shared", F.lit(False)).alias("shared"))

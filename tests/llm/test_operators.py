@@ -294,6 +294,24 @@ def test_repeated_passages(frame, titles):
     assert repeated_passages.repeated_passages(rows.limit(0)).count() == 0
 
 
+def test_shared_word_passages(frame, titles):
+    """Passages of exactly 51 words, short and long ones, at every offset; 50 words don't count, nor does a repeat within one title."""
+    tiny = lambda seed, n: " ".join(random.Random(seed).choice("abcdefghij") + str(random.Random(seed * 1000 + k).randrange(100)) for k in range(n))
+    texts = list(titles)
+    for k in range(40):
+        passage = tiny(700 + k, 50 + k % 3).split()
+        texts += [" ".join([*prose(800 + k, k).split(), *passage, *prose(900 + k, 30).split()]), "\n".join([*prose(1000 + k, 60).split(), *passage])]
+    texts += [" ".join([tiny(770, 60), "between", tiny(770, 60)]), tiny(771, 51), tiny(771, 51), tiny(772, 50), tiny(772, 50)]
+    rows = table(frame, texts)
+    words = [(r["event_id"], (r["title"] or "").encode().split()) for r in rows.collect()]
+    windows = [{tuple(w[k:k + 51]) for k in range(len(w) - 50)} for _, w in words]
+    many = Counter(x for ws in windows for x in ws)
+    want = sorted((str(i), any(many[x] > 1 for x in ws)) for (i, _), ws in zip(words, windows))
+    got = repeated_passages.repeated_passages(rows)
+    assert sorted((str(r["event_id"]), r["shared"]) for r in got.collect()) == want
+    assert 0 < sum(x for _, x in want) < len(want)
+
+
 def test_language_model_learns_from_the_word_before(frame):
     """Which of twenty words follows is told by the word before only; all of them end alike."""
     draw = random.Random(8)
