@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from barlens.llm.common import bounded
@@ -22,8 +21,6 @@ HALF = 128
 #: Words of a passage that counts as shared between articles however few bytes it has; every run of
 #: WORD_GAP word positions holds a sampled one, chosen by WORD_SEED words.
 PASSAGE, WORD_GAP, WORD_SEED = 51, 26, 2
-#: Words whose names a task remembers.
-WORD_CACHE = 300_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -93,30 +90,50 @@ def _before(n: int, anchors: np.ndarray) -> np.ndarray:
     return np.cumsum(marks)[:-1] > 0
 
 
+def word_names(ranks: Ranks, data: bytes) -> np.ndarray:
+    """64-bit names of the words of a text, from those of its bytes."""
+    x = np.frombuffer(data, np.uint8)
+    starts, ends = runs_of((x != 32) & ((x < 9) | (x > 13)))
+    return ranks.of(starts, ends)
+
+
 def _positions(articles: DataFrame) -> DataFrame:
-    """(text_key, pos, back, rank, wide): sampled positions, the step from the one before, the
-    rank of the pair of 128-byte strings there, and the rank of what all strings share that
-    start between the two positions (null where the text ends before)."""
+    """(text_key, words, pos, back, rank, wide): sampled positions, of bytes and of words.
+
+    Of bytes: the step from the position before, the rank of the pair of 128-byte strings there, and
+    the rank of what all strings share that start between the two positions (null where the text
+    ends before).  Of words: the ranks of the WORD_GAP words and of the PASSAGE words there (null
+    where the text ends before)."""
+    names = ["text_key", "words", "pos", "back", "rank", "wide"]
+
+    def rows(key: bytes, words: bool, at: np.ndarray, back: np.ndarray, rank: np.ndarray, wide: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.binary()), pa.array(np.full(len(at), words)), pa.array(at.astype(np.int32)),
+                                           pa.array(back.astype(np.int32)), pa.array(rank.view(np.int64)), wide], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, title in zip(batch.column("text_key"), batch.column("title"), strict=True):
                 data = (title.as_py() or "").encode()
-                if len(data) < LENGTH:
+                if len(data) < 2 * PASSAGE - 1:
                     continue
-                ranks = Ranks(np.frombuffer(data, np.uint8))
-                at = sampled(ranks)
-                at = at[at + 2 * HALF <= len(data)]
-                back = np.minimum(np.diff(at, prepend=-1), GAP)
-                left, right = ranks.of(at, at + HALF), ranks.of(at + HALF, at + 2 * HALF)
-                with np.errstate(over="ignore"):
-                    rank = _spread(left ^ _spread(right))
-                ends = np.minimum(at + LENGTH, len(data))
-                wide = pa.array(ranks.of(at - back + 1, ends).view(np.int64), mask=at + LENGTH > len(data))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key.as_py()] * len(at), pa.binary()), pa.array(at.astype(np.int32)), pa.array(back.astype(np.int32)),
-                     pa.array(rank.view(np.int64)), wide], ["text_key", "pos", "back", "rank", "wide"])
-
-    return articles.select("text_key", "title").mapInArrow(run, "text_key binary, pos int, back int, rank bigint, wide bigint")
+                key, ranks = key.as_py(), Ranks(np.frombuffer(data, np.uint8))
+                if len(data) >= LENGTH:
+                    at = sampled(ranks)
+                    at = at[at + 2 * HALF <= len(data)]
+                    back = np.minimum(np.diff(at, prepend=-1), GAP)
+                    left, right = ranks.of(at, at + HALF), ranks.of(at + HALF, at + 2 * HALF)
+                    with np.errstate(over="ignore"):
+                        rank = _spread(left ^ _spread(right))
+                    ends = np.minimum(at + LENGTH, len(data))
+                    yield rows(key, False, at, back, rank, pa.array(ranks.of(at - back + 1, ends).view(np.int64), mask=at + LENGTH > len(data)))
+                ranks = Ranks(word_names(ranks, data))
+                if ranks.size >= PASSAGE:
+                    at = sampled(ranks, WORD_GAP, WORD_SEED)
+                    at = at[at + WORD_GAP <= ranks.size]
+                    wide = ranks.of(at, np.minimum(at + PASSAGE, ranks.size)).view(np.int64)
+                    yield rows(key, True, at, np.zeros(len(at)), ranks.of(at, at + WORD_GAP), pa.array(wide, mask=at + PASSAGE > ranks.size))
+
+    return articles.select("text_key", "title").mapInArrow(run, "text_key binary, words boolean, pos int, back int, rank bigint, wide bigint")
 
 
 def _repeated(rows: DataFrame, name: str) -> DataFrame:
@@ -184,48 +201,13 @@ def _starts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "text_key binary, starts array<int>, ends array<int>")
 
 
-class WordNames:
-    """64-bit names of the words of texts, the last ones remembered."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
-
-    def of(self, title: str | None) -> np.ndarray:
-        words = (title or "").encode().split()
-        if len(self.known) > WORD_CACHE:
-            self.known.clear()
-        for w in set(words).difference(self.known):
-            self.known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
-
-
-def _word_positions(texts: DataFrame) -> DataFrame:
-    """(text, pos, rank, wide): sampled word positions, the rank of the WORD_GAP words there and
-    that of the PASSAGE words there (null where the text ends before)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = WordNames()
-        for batch in batches:
-            for text, title in zip(batch.column("text"), batch.column("title"), strict=True):
-                ranks = Ranks(names.of(title.as_py()))
-                if ranks.size < PASSAGE:
-                    continue
-                at = sampled(ranks, WORD_GAP, WORD_SEED)
-                at = at[at + WORD_GAP <= ranks.size]
-                wide = ranks.of(at, np.minimum(at + PASSAGE, ranks.size)).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), text.as_py())), pa.array(at.astype(np.int32)), pa.array(ranks.of(at, at + WORD_GAP).view(np.int64)),
-                     pa.array(wide, mask=at + PASSAGE > ranks.size)], ["text", "pos", "rank", "wide"])
-
-    return texts.select("text", "title").mapInArrow(run, "text bigint, pos int, rank bigint, wide bigint")
-
-
 def _word_windows(texts: DataFrame) -> DataFrame:
     """(name, text): every run of PASSAGE words that has a given anchor among its first WORD_GAP positions."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = WordNames()
         for batch in batches:
             for text, title, anchors in zip(batch.column("text"), batch.column("title"), batch.column("anchors"), strict=True):
-                ranks = Ranks(names.of(title.as_py()))
+                data = title.as_py().encode()
+                ranks = Ranks(word_names(Ranks(np.frombuffer(data, np.uint8)), data))
                 anchors = np.array(anchors.as_py())
                 marks = np.zeros(ranks.size - PASSAGE + 2, np.int32)
                 np.add.at(marks, np.clip(anchors - WORD_GAP + 1, 0, len(marks) - 1), 1)
@@ -240,14 +222,13 @@ def _in_two_texts(rows: DataFrame, name: str) -> DataFrame:
     return (rows.filter(F.col(name).isNotNull()).groupBy(name).agg(F.min("text").alias("x"), F.max("text").alias("y")).filter("x <> y").select(name))
 
 
-def shared_texts(rows: DataFrame, copied: DataFrame) -> DataFrame:
+def shared_texts(rows: DataFrame, positions: DataFrame, copied: DataFrame) -> DataFrame:
     """Those texts (``text``: a 64-bit name; ``title``) that hold a passage of PASSAGE words which another row holds too.
 
-    Any such passage has a sampled position among its first WORD_GAP, followed by WORD_GAP words
+    Any such passage has one of the sampled ``positions`` (text, pos, rank, wide) among its first WORD_GAP, followed by WORD_GAP words
     of it.  Texts that share the whole passage from a sampled position on are told at once; those
     that share only the WORD_GAP words are looked at passage by passage, together with their partners.
     Texts in ``copied`` share all they have."""
-    positions = stored(_word_positions(rows), "sampled-words")
     wide = stored(_in_two_texts(positions, "wide"), "shared-wide-ranks")
     told = positions.join(bounded(wide, 16), "wide").select("text").union(positions.join(copied, "text", "left_semi").select("text"))
     told = stored(told.distinct(), "shared-texts")
@@ -288,8 +269,10 @@ def repeated_passages(articles: DataFrame) -> DataFrame:
                    .filter(F.col("n_bytes") >= 2 * PASSAGE - 1), "text-sizes")
     whole = sizes.filter(F.col("n_bytes") >= LENGTH)
     named = F.xxhash64("text_key").alias("text")
-    shared = stored(shared_texts(rows.select(named, "title"), sizes.filter("copies > 1").select(named)), "texts-with-shared-passages")
-    positions = stored(_positions(rows), "sampled-positions")
+    sampled_rows = stored(_positions(rows), "sampled-positions")
+    shared = stored(shared_texts(rows.select(named, "title"), sampled_rows.filter("words").select(named, "pos", "rank", "wide"),
+                                 sizes.filter("copies > 1").select(named)), "texts-with-shared-passages")
+    positions = sampled_rows.filter("not words").drop("words")
     ranks = stored(_repeated(positions, "rank"), "repeated-ranks")
     left = stored(positions.join(bounded(ranks, 16), "rank").distinct(), "repeated-positions")
     wide = stored(_repeated(left, "wide"), "repeated-wide-ranks").withColumn("settled", F.lit(True))
