@@ -110,6 +110,35 @@ def company_relevance(title: Column, company: Column, symbol: Column, aliases: C
     )
 
 
+def organisation_relevance(organizations: Column, company: Column, symbol: Column, aliases: Column) -> Column:
+    """struct(accepted, status, scope, matches, reason) of a record's organisations for one company.
+
+    An organisation counts if it bears one of the company's names, or its legal root together with a legal
+    suffix; a bare ticker or a part of a name never does.  One-word aliases must be the company's own name or
+    carry a corporate suffix, and generic words always need the suffix.  Missing arrays are empty.
+    """
+    nothing = F.array().cast("array<string>")
+    listed = lambda values: F.array(*[F.lit(v) for v in values])
+    words = lambda name: F.split(t.entity_name(name), " ")
+    orgs = F.array_distinct(F.filter(F.transform(F.coalesce(organizations, nothing), t.entity_name), lambda o: o != ""))
+    legal = F.filter(orgs, lambda o: F.arrays_overlap(F.split(o, " "), listed(fixed.LEGAL_SUFFIXES)))
+    roots = F.filter(F.transform(legal, t.corporate_root), lambda r: r != "")
+    names = F.array_distinct(F.concat(F.array(F.coalesce(company, F.lit(""))), F.coalesce(aliases, nothing)))
+    named = F.filter(names, lambda a: (t.entity_name(a) != "") & (t.entity_name(a) != t.entity_name(symbol)) & (
+        F.array_contains(orgs, t.entity_name(a)) | F.array_contains(roots, t.corporate_root(a))))
+    own = t.entity_name(company)
+    qualified = F.filter(named, lambda a: F.arrays_overlap(words(a), listed(fixed.CORPORATE_SUFFIXES)) | (
+        ~t.entity_name(a).isin(*fixed.GENERIC_NAMES) & ((F.size(words(a)) > 1) | (t.entity_name(a) == own))))
+
+    def verdict(found: Column, reason: str, ok: bool = False) -> Column:
+        return F.struct(F.lit(ok).alias("accepted"), F.lit("DIRECT_COMPANY" if ok else "REJECTED_GENERIC").alias("status"),
+                        F.lit("COMPANY" if ok else "SECTOR").alias("scope"), found.alias("matches"), F.lit(reason).alias("reason"))
+
+    return (F.when(F.size(qualified) > 0, verdict(qualified, "exact_organization_alias", True))
+            .when(F.size(named) > 0, verdict(named, "generic_name_without_legal_qualifier"))
+            .otherwise(verdict(nothing, "no_exact_organization_alias")))
+
+
 def context_relevance(title: Column, market: Column, sector: Column, company: Column) -> Column:
     """struct(market, sector, company) relevance of a text: HIGH, MEDIUM, LOW or UNASSESSED."""
     joined = t.entity_name(title)

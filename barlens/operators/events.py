@@ -280,6 +280,36 @@ def audit_quality(events: DataFrame) -> DataFrame:
     return seen
 
 
+def relevance_replay(events: DataFrame) -> DataFrame:
+    """Stored organisation-graph events put through the organisation gate again: the events with ``verdict``.
+
+    Needs ``organizations``, ``company_name``, ``symbol`` and ``matched_aliases`` as they were recorded.  Other
+    sources have no organisations and are left out.
+    """
+    return events.filter(F.col("source_type") == "GDELT_GKG").withColumn("verdict", classify.organisation_relevance(
+        F.col("organizations"), F.col("company_name"), F.col("symbol"), F.col("matched_aliases")))
+
+
+def relevance_quarantine(replayed: DataFrame) -> DataFrame:
+    """The events that the gate rejects now, with its reason and the names it met."""
+    return replayed.filter(~F.col("verdict.accepted")).select(*SCOPE, "event_id", "verdict.status", "verdict.reason", "verdict.matches")
+
+
+def replay_counts(replayed: DataFrame) -> DataFrame:
+    """Candidates, accepted and rejected ones by symbol; the row without a symbol is all of them."""
+    accepted = F.col("verdict.accepted")
+    return replayed.rollup("symbol").agg(
+        F.count(F.lit(1)).alias("before_candidate_count"), F.count_if(accepted).alias("accepted_candidate_count"),
+        F.count_if(~accepted).alias("rejected_candidate_count"))
+
+
+def multi_article_clusters(clustered: DataFrame) -> DataFrame:
+    """One row: how many clusters hold several events, and the events in them."""
+    sizes = clustered.filter(F.coalesce("cluster_id", F.lit("")) != "").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    several = F.col("n") > 1
+    return sizes.agg(F.count_if(several).alias("multi_article_cluster_count"), F.coalesce(F.sum(F.when(several, F.col("n"))), F.lit(0)).alias("clustered_events"))
+
+
 def coverage(events: DataFrame) -> DataFrame:
     return events.groupBy("source_type").agg(F.min("event_time").alias("start"), F.max("event_time").alias("end"))
 

@@ -232,6 +232,24 @@ def audit_quality(spark, sf):
     return ev.audit_quality(shared.news(spark, sf))
 
 
+def organisations(spark, sf):
+    """Every organisation-graph event put through the gate."""
+    rows = ev.relevance_replay(tables.graph_records(spark, sf))
+    return rows.select("event_id", "verdict.accepted", "verdict.status", "verdict.scope", "verdict.reason", F.array_join("verdict.matches", "|").alias("matches"))
+
+
+def relevance_replay(spark, sf):
+    return ev.replay_counts(ev.relevance_replay(tables.graph_records(spark, sf)))
+
+
+def relevance_quarantine(spark, sf):
+    return ev.relevance_quarantine(ev.relevance_replay(tables.graph_records(spark, sf))).withColumn("matches", F.array_join("matches", "|"))
+
+
+def multi_article_clusters(spark, sf):
+    return ev.multi_article_clusters(clusters(spark, sf))
+
+
 def coverage(spark, sf):
     return ev.coverage(shared.news(spark, sf)).select(
         "source_type", F.unix_seconds("start").alias("start"), F.unix_seconds("end").alias("end"))
@@ -331,6 +349,8 @@ QUERIES = {
     "set6_ingest": store_after_ingest, "set6_store_clusters": store_clusters, "str2_first_observations": first_observations, "str3_streamed_view": streamed_view,
     "set3_headlines": headlines, "top6_headlines": top_headlines,
     "agg17_agg18_scores": news_scores, "agg22_counts": audit_counts, "agg22_quality": audit_quality, "agg22_coverage": coverage,
+    "scl_c7_organisations": organisations, "agg22_relevance_replay": relevance_replay, "agg22_quarantine": relevance_quarantine,
+    "agg22_multi_article_clusters": multi_article_clusters,
     "agg24_lineage": lineage, "agg24_counts": snapshot_counts, "agg24_running_counts": running_counts, "snk10_capture": capture_records, "join16_missing_lineage": missing_lineage,
     "snk12_outcomes": snapshot_outcomes,
 }

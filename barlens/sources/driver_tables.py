@@ -228,6 +228,19 @@ def news_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def graph_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Organisation-graph events: those of the news items, with the organisations their record names (the text's
+    first word and one made from the row's number) and the names their company is searched by."""
+    doc, number = F.col("doc_id"), F.regexp_extract("symbol", "([0-9]+)$", 1)
+    company = F.concat(F.lit("Brand "), number, F.lit(" Works"))
+    made = F.element_at(F.array(F.upper(company), F.concat(company, F.lit(" Co., Ltd.")), F.lit("Brand"), F.lit("Apple"), F.lit("Apple Inc."),
+                                F.col("symbol"), F.concat(F.lit("New "), company)), (doc % 7 + 1).cast("int"))
+    aliases = F.concat(F.array(F.lit("Apple"), F.col("symbol")), F.when(doc % 2 == 0, F.array(F.lit("Apple Inc"))).otherwise(F.array().cast("array<string>")))
+    return news_items(spark, sf_dir).filter("source_type = 'GDELT_GKG'").select(
+        "event_id", "market", "symbol", "source_type", company.alias("company_name"), aliases.alias("matched_aliases"),
+        F.array(F.substring_index("title", " ", 1), made).alias("organizations"))
+
+
 def intelligence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Context scores per (market, as_of, symbol or *), generated some time that day."""
     o = table(spark, sf_dir, "orders")

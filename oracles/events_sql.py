@@ -66,6 +66,30 @@ def dedup(src: str, p: str = "") -> str:
 {p}kept AS MATERIALIZED (SELECT keep AS event_id FROM {p}walk WHERE keep IS NOT NULL)"""
 
 
+def entity(c: str) -> str:
+    return f"trim(regexp_replace({fold(c)}, '[^0-9a-z가-힣]+', ' ', 'g'))"
+
+
+def root(c: str) -> str:
+    return f"trim(regexp_replace({entity(c)}, '(?:(?:^| )(?:{'|'.join(fixed.LEGAL_SUFFIXES)}))+$', ''))"
+
+
+def words(values) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in values) + "]"
+
+
+GATE = f"""og AS (SELECT *, CAST(substr(event_id, 5) AS BIGINT) AS k, 'Brand ' || regexp_extract(symbol, '([0-9]+)$', 1) || ' Works' AS company FROM ev WHERE source_type = 'GDELT_GKG'),
+nm AS (SELECT *, list_concat([company, 'Apple', symbol], CASE WHEN k % 2 = 0 THEN ['Apple Inc'] ELSE [] END) AS called, list_filter(list_transform([split_part(text, ' ', 1),
+  [upper(company), company || ' Co., Ltd.', 'Brand', 'Apple', 'Apple Inc.', symbol, 'New ' || company][k % 7 + 1]], lambda o: {entity('o')}), lambda o: o <> '') AS eo FROM og),
+rt AS (SELECT *, list_filter(list_transform(list_filter(eo, lambda o: list_has_any(string_split(o, ' '), {words(fixed.LEGAL_SUFFIXES)})), lambda o: {root('o')}), lambda o: o <> '') AS roots FROM nm),
+nd AS (SELECT *, list_filter(called, lambda a: {entity('a')} <> '' AND {entity('a')} <> {entity('symbol')} AND (list_contains(eo, {entity('a')}) OR list_contains(roots, {root('a')}))) AS named FROM rt),
+ql AS (SELECT *, list_filter(named, lambda a: list_has_any(string_split({entity('a')}, ' '), {words(fixed.CORPORATE_SUFFIXES)})
+  OR (NOT list_contains({words(fixed.GENERIC_NAMES)}, {entity('a')}) AND (len(string_split({entity('a')}, ' ')) > 1 OR {entity('a')} = {entity('company')}))) AS qualified FROM nd),
+gate AS (SELECT market, symbol, event_id, len(qualified) > 0 AS accepted, CASE WHEN len(qualified) > 0 THEN 'DIRECT_COMPANY' ELSE 'REJECTED_GENERIC' END AS status, CASE WHEN len(qualified) > 0 THEN 'COMPANY' ELSE 'SECTOR' END AS scope,
+ CASE WHEN len(qualified) > 0 THEN 'exact_organization_alias' WHEN len(named) > 0 THEN 'generic_name_without_legal_qualifier' ELSE 'no_exact_organization_alias' END AS reason,
+ array_to_string(CASE WHEN len(qualified) > 0 THEN qualified ELSE named END, '|') AS matches FROM ql)"""
+
+
 SEEN = ("CASE WHEN event_time > TIMESTAMP '2024-01-01 12:00:00' THEN 'event_after_as_of' WHEN first_seen_at IS NULL THEN 'first_seen_unknown' "
         "WHEN first_seen_at > TIMESTAMP '2024-01-01 12:00:00' THEN 'first_seen_after_as_of' ELSE 'visible' END")
 ANALYSIS = "'analysis_' || substr(sha256('2024-01-01 12:00:00' || chr(31) || market || chr(31) || symbol), 1, 24)"
@@ -178,6 +202,12 @@ def oracles() -> dict[str, str]:
  count(*) - count(DISTINCT (market, symbol, url_key)) AS duplicate_canonical_url_count,
  count(*) FILTER (title_key <> '') - count(DISTINCT CASE WHEN title_key <> '' THEN (market, symbol, title_key) END) AS duplicate_normalized_title_count FROM ev""",
         "agg22_coverage": f"WITH {NEWS} SELECT source_type, epoch(min(event_time))::BIGINT AS start, epoch(max(event_time))::BIGINT AS \"end\" FROM ev GROUP BY source_type",
+        "scl_c7_organisations": f"WITH {NEWS}, {GATE} SELECT event_id, accepted, status, scope, reason, matches FROM gate",
+        "agg22_relevance_replay": f"""WITH {NEWS}, {GATE} SELECT symbol, count(*) AS before_candidate_count, count(*) FILTER (accepted) AS accepted_candidate_count,
+ count(*) FILTER (NOT accepted) AS rejected_candidate_count FROM gate GROUP BY ROLLUP (symbol)""",
+        "agg22_quarantine": f"WITH {NEWS}, {GATE} SELECT market, symbol, event_id, status, reason, matches FROM gate WHERE NOT accepted",
+        "agg22_multi_article_clusters": f"""SELECT count(*) FILTER (n > 1) AS multi_article_cluster_count, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS clustered_events
+ FROM (SELECT cluster_id, count(*) AS n FROM ({clusters()}) WHERE cluster_id <> '' GROUP BY cluster_id)""",
         "agg24_lineage": f"WITH {NEWS}, {LINE} SELECT * EXCLUDE (source_type) FROM line",
         "agg24_counts": f"""WITH {NEWS}, {LINE} SELECT analysis_id, {", ".join(f"count(*) FILTER (source_group = '{g}') AS {g}" for g in ('dart_event_ids', 'edgar_event_ids', 'naver_news_ids', 'google_news_ids', 'gdelt_candidate_ids'))},
  count(*) AS visible_events, count(DISTINCT raw_hash) AS raw_hashes FROM line GROUP BY analysis_id""",

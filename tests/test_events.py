@@ -285,3 +285,32 @@ def test_minute_rules(spark):
                                  "market string, ts timestamp")
     assert clock.regular_session(rows).count() == 2
     assert clock.completed_minutes(rows, F.lit("2024-06-03 06:30:00").cast("timestamp")).count() == 1
+
+
+def test_organisation_gate(spark):
+    """Whole names and legal roots pass; tickers, parts of names and generic words do not; missing arrays are empty."""
+    cases = [
+        (["ACME Robotics"], "Acme Robotics", "ACM", [], True, "exact_organization_alias"),
+        (["Acme Robotics Co., Ltd."], "Acme Robotics", "ACM", [], True, "exact_organization_alias"),
+        (["Acme Robotics Lab"], "Acme Robotics", "ACM", [], False, "no_exact_organization_alias"),
+        (["ACM"], "Acme Robotics", "ACM", ["acm"], False, "no_exact_organization_alias"),
+        (["Apple Inc"], "Apple Inc", "AAPL", ["Apple"], True, "exact_organization_alias"),
+        (["Apple"], "Orchard", "AAPL", ["Apple"], False, "generic_name_without_legal_qualifier"),
+        (["Robo"], "Acme Robotics", "ACM", ["Robo"], False, "generic_name_without_legal_qualifier"),
+        (["Acme"], "Acme", "ACM", None, True, "exact_organization_alias"),
+        (None, "Acme", "ACM", [], False, "no_exact_organization_alias"),
+        (["Acme"], None, None, ["", "Acme Motors"], False, "no_exact_organization_alias"),
+        ([], "", "", [], False, "no_exact_organization_alias"),
+    ]
+    rows = spark.createDataFrame([("US", f"S{k % 2}", f"e{k}", "GDELT_GKG", o, c, a, s) for k, (o, c, s, a, *_) in enumerate(cases)]
+                                 + [("US", "S0", "other", "OPENDART", ["Acme"], "Acme", [], "ACM")],
+                                 "market string, listed string, event_id string, source_type string, organizations array<string>, company_name string, matched_aliases array<string>, symbol string")
+    replayed = ev.relevance_replay(rows).cache()
+    got = {r["event_id"]: (r["verdict"]["accepted"], r["verdict"]["reason"]) for r in replayed.collect()}
+    assert got == {f"e{k}": c[4:] for k, c in enumerate(cases)}
+    assert {r["event_id"] for r in ev.relevance_quarantine(replayed).collect()} == {f"e{k}" for k, c in enumerate(cases) if not c[4]}
+    whole = max(ev.replay_counts(replayed).collect(), key=lambda r: r["before_candidate_count"])
+    assert tuple(whole)[1:] == (len(cases), sum(c[4] for c in cases), sum(not c[4] for c in cases))
+    clustered = spark.createDataFrame([("a", "c1"), ("b", "c1"), ("c", "c2"), ("d", None), ("e", "")], "event_id string, cluster_id string")
+    assert tuple(ev.multi_article_clusters(clustered).first()) == (1, 2)
+    assert tuple(ev.multi_article_clusters(clustered.limit(0)).first()) == (0, 0)
