@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import itertools
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barlens.functions import classify, text as t, times
@@ -132,9 +138,33 @@ def minute_records(records: DataFrame) -> DataFrame:
 # ---- tab-separated feeds ---------------------------------------------------------------------
 
 
+#: Lines of an archive member handed on at a time.
+MEMBER_LINES = 10_000
+
+
+def member_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value``: the lines of the first member of every zip archive under ``path``, one archive a row of the task's input.
+
+    A member is unpacked as a stream, MEMBER_LINES lines at a time; only the archive itself, compressed, is held whole.
+    Undecodable bytes are replaced; an archive without members has no lines, one that is no archive fails the job."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
+                    members = [m for m in archive.infolist() if not m.is_dir()]
+                    if not members:
+                        continue
+                    with archive.open(members[0]) as raw, io.TextIOWrapper(raw, encoding="utf-8", errors="replace") as text:
+                        while lines := list(itertools.islice(text, MEMBER_LINES)):
+                            yield pa.RecordBatch.from_arrays([pa.array([x.rstrip("\n") for x in lines], pa.string())], ["value"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "value string")
+
+
 def tab_rows(spark: SparkSession, path: str, least: int) -> DataFrame:
-    """Lines split at tabs; lines with fewer than ``least`` fields are skipped."""
-    lines = spark.read.text(path).select(F.split("value", "\t").alias("f"))
+    """Lines split at tabs; lines with fewer than ``least`` fields are skipped.  A path ending in .zip names archives."""
+    lines = member_lines(spark, path) if path.lower().endswith(".zip") else spark.read.text(path)
+    lines = lines.select(F.split("value", "\t").alias("f"))
     return lines.filter(F.size("f") >= least)
 
 

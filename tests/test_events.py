@@ -314,3 +314,28 @@ def test_organisation_gate(spark):
     clustered = spark.createDataFrame([("a", "c1"), ("b", "c1"), ("c", "c2"), ("d", None), ("e", "")], "event_id string, cluster_id string")
     assert tuple(ev.multi_article_clusters(clustered).first()) == (1, 2)
     assert tuple(ev.multi_article_clusters(clustered.limit(0)).first()) == (0, 0)
+
+
+def test_zipped_feeds(spark, tmp_path):
+    """Archives read like their unpacked first members, however many lines they have."""
+    import zipfile
+
+    folder = {k: tmp_path / k for k in ("plain", "zipped", "broken")}
+    for f in folder.values():
+        f.mkdir()
+    long = files.MEMBER_LINES + 5
+    for k, count in enumerate((3, long, 0)):
+        lines = ["\t".join([f"{k}-{i}", *["x"] * 59, f"http://a/{k}/{i}"]) for i in range(count)] + ["too\tshort"]
+        data = ("\n".join(lines) + ("\n" if k else "\r\n")).encode() + b"\xff" * 3
+        (folder["plain"] / f"{k}.csv").write_bytes(data)
+        with zipfile.ZipFile(folder["zipped"] / f"{k}.zip", "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.mkdir("folder")
+            archive.writestr(f"folder/{k}.csv", data)
+            archive.writestr("second.csv", "\t".join(["no"] * 61))
+    zipfile.ZipFile(folder["zipped"] / "none.zip", "w").close()
+    want = files.event_export(spark, str(folder["plain"])).collect()
+    got = files.event_export(spark, str(folder["zipped"] / "*.zip")).collect()
+    assert sorted(got) == sorted(want) and len(want) == long + 3
+    (folder["broken"] / "x.zip").write_bytes(b"not an archive")
+    with pytest.raises(Exception, match="zip"):
+        files.event_export(spark, str(folder["broken"] / "*.zip")).collect()
