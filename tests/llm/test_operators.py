@@ -321,8 +321,9 @@ def test_language_model_learns_from_the_word_before(frame):
     assert got and all(r["score"] > r["base_score"] + 30 for r in got if r["n_tokens"] == 61)
 
 
-def test_language_model_in_memory(frame, titles):
-    """Every score of the joins is that of the whole model in one array."""
+@pytest.mark.parametrize(("part_words", "bucket_tokens"), [(10**6, 10**6), (700, 2500)])
+def test_language_model_in_memory(frame, titles, part_words, bucket_tokens):
+    """Every score from many parts and buckets, or one, is that of the whole model in one array."""
     rows = table(frame, [*titles, *[prose(500 + i % 5, 40) for i in range(30)]])
     hashed = lambda w: np.uint64(language_model.xxhash.xxh3_64_intdigest(w))
     texts = [(r["event_id"], [b"\n", *(r["title"] or "").encode().lower().split(), b"\n"]) for r in rows.collect()]
@@ -333,16 +334,26 @@ def test_language_model_in_memory(frame, titles):
     n = np.array([learned[p] for p in pairs])
     by = lambda x: np.bincount(context, x, len(contexts))
     seen = np.bincount(own, n > 0, len(words))
+    # Draws are keyed by the words' numbers: in parts by hash, frequent words first.
+    table_ = language_model.numbered(rows).select("sums").collect()
+    parts = -(-sum(r["sums"][1] for r in table_) // part_words)
+    assert part_words > 1000 or parts > 2
+    hashes = np.array([hashed(w) for w in words])
+    c = np.bincount(own, n, len(words))
+    number, home = {}, language_model.spread(hashes, parts)
+    for part in range(parts):
+        mine = sorted(np.flatnonzero(home == part), key=lambda k: (-c[k], hashes[k]))
+        number.update((words[k], rank * parts + part) for rank, k in enumerate(mine))
     d = [min(0.95, max(0.05, a / (a + 2 * b))) for a, b in (((n == 1).sum(), (n == 2).sum()), ((seen == 1).sum(), (seen == 2).sum()))]
     model = language_model.Model(int(n.sum()), int((seen > 0).sum()), by(n), int((n > 0).sum()), *d, by(n > 0))
-    run = lambda: list(model.sweeps(np.array([hashed(words[k]) for k in own]), context, n, own, len(words), np.array([hashed(c) for c in contexts])))
+    run = lambda: list(model.sweeps(np.array([number[words[k]] for k in own]), context, n, own, len(words), np.array([number[c] for c in contexts])))
     for _ in range(language_model.SWEEPS):
         t, joined, parent, _ = run()[-1]
         model.tables.append(by(t))
         model.totals.append((joined.sum(), parent.sum()))
     p = dict(zip(pairs, np.log10(model.predicted(context, n, own, run()[:-1]))))
     want = sorted((str(i), sum(p[x] for x in zip(ws, ws[1:]))) for i, ws in texts)
-    got = sorted((str(r["event_id"]), r["score"]) for r in language_model.score_titles(rows).collect())
+    got = sorted((str(r["event_id"]), r["score"]) for r in language_model.score_titles(rows, part_words=part_words, bucket_tokens=bucket_tokens).collect())
     assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-5, atol=1e-4)
 
 
